@@ -125,7 +125,7 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_chi2: float = 25.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 12, rate: float = 0.02, decay: float = 0.1, seed: int = 7
+    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_chi2: float = 25.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.02, seed: int = 7
 ) -> Machine:
     """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` bounds the model."""
     spark = documents.sparkSession
