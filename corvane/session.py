@@ -63,4 +63,4 @@ def release(df: DataFrame) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the rows of ``df``."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
