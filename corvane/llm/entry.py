@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, toxicity
+from . import chat, decontaminate, fingerprint, html, linededup, mixing, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,48 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(_table(spark, sf_dir, "pages"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(_table(spark, sf_dir, "conversations"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
+    "op4_html": op4_html,
+    "op5_chat": op5_chat,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_linededup": op7_linededup,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,4 +88,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM dw d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+OP5_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'assistant') AS n_assistant,
+         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
+         list(CAST(length(role) AS VARCHAR) || ':' || role || text ORDER BY turn NULLS FIRST, role, text) AS parts
+  FROM t GROUP BY conv_id
+), prefixes AS (
+  SELECT DISTINCT c.parts[1:i] AS parts FROM c, unnest(range(1, len(c.parts))) AS r(i)
+), firsts AS (
+  SELECT parts, min(conv_id) AS conv_id FROM c GROUP BY parts
+)
+SELECT c.conv_id, c.n_turns, c.n_assistant, c.rendered FROM c JOIN firsts f ON f.conv_id = c.conv_id
+WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.parts = c.parts)
+"""
+
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_chat": OP5_SQL, "op9_mixing": mixing.sql()}
