@@ -41,3 +41,33 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
         return batched((out for row in rows_of(batches) for out in each(row)), arrow, limit)
 
     return df.mapInArrow(run, target)
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 18) -> Iterator[list[tuple]]:
+    """Lists of rows whose texts have up to ``size`` characters together, or one row."""
+    held, load = [], 0
+    for row in rows_of(batches):
+        n = len(row[text] or "") + 64
+        if held and load + n > size:
+            yield held
+            held, load = [], 0
+        held.append(row)
+        load += n
+    if held:
+        yield held
+
+
+def map_texts(df: DataFrame, text: int, make: Callable[[], Callable[[list[tuple]], Iterator[tuple]]], schema: str | StructType, limit: int = 500, size: int = 1 << 18) -> DataFrame:
+    """Like :func:`map_rows`, for many rows at once.
+
+    Rows are handed over when the texts in column number ``text`` reach
+    ``size`` characters together, so a batch holds one long text at most.
+    """
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
+
+    def run(batches):
+        each = make()
+        return batched((out for rows in text_groups(batches, text, size) for out in each(rows)), arrow, limit)
+
+    return df.mapInArrow(run, target)

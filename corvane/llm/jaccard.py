@@ -47,9 +47,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, plan_bytes, release
 from . import bloom
-from .arrowio import batched, map_rows, rows_of
+from .arrowio import batched, map_texts, rows_of, text_groups
 from .graph import components
-from .words import WordHashes, mix, shingles, space_words
+from .words import mix, shingle_sets, words_of
 
 MOST_BITS, LEAST_BITS, PARTS = 24, 14, 64
 #: Sizes up to which light sets are considered at all; beyond, subsets outgrow any list.
@@ -83,6 +83,10 @@ def set_digest(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def sets_of(texts: list[str | None], rule: Rule) -> list[np.ndarray]:
+    return shingle_sets(words_of(texts, lower=True), rule.width)
+
+
 def _sets(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """doc_id, n, d of every row; and bucket counts in rows with a part number."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,19 +95,19 @@ def _sets(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
     schema = StructType.fromDDL("doc_id long, n long, d long, part int, counts binary")
     arrow = to_arrow_schema(schema)
 
-    def scan(rows):
-        hashes, counts = WordHashes(), np.zeros(1 << bits, np.uint32)
+    def scan(batches):
+        counts = np.zeros(1 << bits, np.uint32)
         mask = np.uint64((1 << bits) - 1)
-        for doc_id, text in rows:
-            tokens = shingles(space_words(text), rule.width, hashes)
-            if len(tokens):
-                np.add.at(counts, (tokens & mask).astype(np.int64), 1)
-            yield doc_id, len(tokens), set_digest(tokens) if len(tokens) else None, None, None
+        for rows in text_groups(batches, 1):
+            sets = sets_of([r[1] for r in rows], rule)
+            np.add.at(counts, (np.concatenate(sets) & mask).astype(np.int64), 1)
+            for (doc_id, _), tokens in zip(rows, sets, strict=True):
+                yield doc_id, len(tokens), set_digest(tokens) if len(tokens) else None, None, None
         for part, piece in enumerate(np.split(counts, PARTS)):
             if piece.any():
                 yield None, None, None, part, zlib.compress(piece.tobytes(), 1)
 
-    return documents.select("doc_id", "text").mapInArrow(lambda b: batched(scan(rows_of(b)), arrow), schema)
+    return documents.select("doc_id", "text").mapInArrow(lambda batches: batched(scan(batches), arrow), schema)
 
 
 def _order(scanned: DataFrame, bits: int) -> np.ndarray:
@@ -159,26 +163,24 @@ def _keys(documents: DataFrame, rule: Rule, boundary: int, classes: np.ndarray)
     mask = np.uint64(len(classes) - 1)
 
     def make():
-        hashes, met = WordHashes(), set()
-
-        def each(row):
-            tokens = shingles(space_words(row[0]), rule.width, hashes)
-            n = len(tokens)
-            if not n:
-                return
-            d = set_digest(tokens)
-            if d in met:
-                return
-            met.add(d)
-            toks = np.empty(0, np.uint64)
-            if n >= listed:
-                rank = np.lexsort((tokens, shared.value[(tokens & mask).astype(np.int64)]))
-                toks = tokens[rank[: rule.prefix(n)]]
-            yield d, n, toks.view(np.int64), _subset_signatures(tokens, rule) if n <= boundary else []
+        met = set()
+
+        def each(rows):
+            for tokens in sets_of([r[0] for r in rows], rule):
+                n = len(tokens)
+                if not n or (d := set_digest(tokens)) in met:
+                    continue
+                met.add(d)
+                toks = np.empty(0, np.uint64)
+                if n >= listed:
+                    # tokens are sorted, so a stable sort breaks ties of a class by hash
+                    rank = np.argsort(shared.value[(tokens & mask).astype(np.int64)], kind="stable")
+                    toks = tokens[rank[: rule.prefix(n)]]
+                yield d, n, toks.view(np.int64), _subset_signatures(tokens, rule) if n <= boundary else []
 
         return each
 
-    return map_rows(documents.where("doc_id is not null").select("text"), make, "d long, n int, toks array<long>, subs array<struct<c:int,s:long>>", limit=200)
+    return map_texts(documents.where("doc_id is not null").select("text"), 0, make, "d long, n int, toks array<long>, subs array<struct<c:int,s:long>>", limit=200)
 
 
 def _links(rule: Rule, overlap, n, m):
@@ -210,19 +212,18 @@ def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, rule: Rule
     may, _ = bloom.split(documents.select("doc_id", "text"), "doc_id", homes, "rep")
 
     def make():
-        hashes, met = WordHashes(), set()
+        met = set()
 
-        def each(row):
-            tokens = shingles(space_words(row[1]), rule.width, hashes)
-            d = set_digest(tokens)
-            if len(tokens) and d not in met:
-                met.add(d)
-                yield d, tokens.view(np.int64)
+        def each(rows):
+            for tokens in sets_of([r[1] for r in rows], rule):
+                if len(tokens) and (d := set_digest(tokens)) not in met:
+                    met.add(d)
+                    yield d, tokens.view(np.int64)
 
         return each
 
     # what the filter lets through by mistake is a set that no pair names, or a set twice
-    sets = materialize(map_rows(may, make, "d long, toks array<long>", limit=100), "sets")
+    sets = materialize(map_texts(may, 1, make, "d long, toks array<long>", limit=100), "sets")
     one = sets.select(F.col("d").alias("a"), F.col("toks").alias("ta"))
     two = sets.select(F.col("d").alias("b"), F.col("toks").alias("tb"))
     both = pairs.join(two, "b").join(one, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))

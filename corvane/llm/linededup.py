@@ -4,14 +4,14 @@ A text is cut into lines: at line ends, behind words that end a sentence, and
 behind words whose hash says so (a soft wrap, so that text without either is cut
 too). A rolling hash over the last two line hashes chooses chunk boundaries;
 both cuts depend on the text around them only, so they move with it. Chunks of
-the same hash are found globally, the occurrence in the smallest document is
+the same hash are found globally, the occurrences in the smallest document are
 kept, and runs of consecutive repeated chunks of ``min_words`` words and more
-are compared with the kept occurrence word by word, byte for byte, before they
-are removed with the white space that follows.
+are compared with the kept text, byte for byte but for the kind of white space,
+before they are removed with the white space that follows.
 
-Repeats within one document are left alone. Documents are told apart by doc_id
-and text: rows that repeat both are one document, and what they hold stays in
-each of them. A null doc_id counts as larger than all others.
+Repeats within one document are left alone. Documents are ordered by doc_id:
+rows that repeat a doc_id count as one document for this, and what they hold
+stays in each of them; a null doc_id counts as the largest.
 
 Defined results: null and empty texts stay as they are; a text that loses all
 its words becomes empty (:func:`drop_repeats` drops its row).
@@ -20,46 +20,61 @@ its words becomes empty (:func:`drop_repeats` drops its row).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from .arrowio import map_rows
-from .bloom import split
-from .words import WordHashes, mix
+from . import bloom
+from .arrowio import map_texts
+from .words import mix, words_of
 
 MIN_WORDS = 20
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-
-
-def chunk_words(data: bytes, hashes: WordHashes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """words, start and end offsets of words, first word of each chunk, chunk hashes."""
-    words = data.split()
-    if not words:
-        none = np.empty(0, np.int64)
-        return words, none, none, none, np.empty(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    wh = hashes.array(words)
-    last = raw[ends - 1]
-    stop = (last == 46) | (last == 33) | (last == 63) | (wh % np.uint64(6) == 0)
-    lines = np.cumsum(raw == 10)
-    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
+_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def _in_order(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each run of values from ``first`` on, by value and place."""
+    lengths = np.diff(np.append(first, n))
+    place = np.arange(n, dtype=np.uint64) - np.repeat(first.astype(np.uint64), lengths)
+    place *= _SPREAD
+    place += values
+    return np.add.reduceat(mix(place), first)
+
+
+def chunk_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its chunks: hashes, numbers of words, first and last byte (exclusive)."""
+    words = words_of(texts)
+    n = len(words.hashes)
+    none = np.empty(0, np.int64)
+    if not n:
+        return [(none.view(np.uint64), none, none, none)] * len(texts)
+    raw = np.frombuffer(words.data, np.uint8)
+    last = raw[words.ends - 1]
+    stop = (last == 46) | (last == 33) | (last == 63) | (words.hashes % np.uint64(6) == 0)
+    feeds = np.flatnonzero(raw == 10)  # every text ends in one
+    stop[np.searchsorted(words.starts, feeds) - 1] = True  # a feed before the first word stops the last one, as its end does
     stop[-1] = True
-    line_last = np.flatnonzero(stop)
-    line_first = np.concatenate(([0], line_last[:-1] + 1))
-    place = np.arange(len(words)) - np.repeat(line_first, line_last - line_first + 1)
-    lh = np.add.reduceat(mix(wh + place.astype(np.uint64) * _SPREAD), line_first)
-    rolling = mix(lh + np.concatenate((np.zeros(1, np.uint64), lh[:-1])) * _SPREAD)
-    cut = rolling >> np.uint64(63) == 0
-    cut[-1] = True
-    chunk_last = np.flatnonzero(cut)
-    chunk_first = np.concatenate(([0], chunk_last[:-1] + 1))
-    place = np.arange(len(lh)) - np.repeat(chunk_first, chunk_last - chunk_first + 1)
-    ch = np.add.reduceat(mix(lh + place.astype(np.uint64) * _SPREAD), chunk_first)
-    return words, starts, ends, line_first[chunk_first], ch
+    line_first = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(stop)[:-1] + 1))
+    lines = _in_order(words.hashes, line_first, n)
+    text_line = np.searchsorted(line_first, words.first)  # first line of each text
+    before = np.concatenate((np.zeros(1, np.uint64), lines[:-1]))
+    filled = text_line[:-1][text_line[1:] > text_line[:-1]]
+    before[filled] = 0
+    cut = mix(lines + before * _SPREAD) >> np.uint64(63) == 0
+    cut[text_line[1:][text_line[1:] > text_line[:-1]] - 1] = True
+    chunk_line = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(cut)[:-1] + 1))
+    hashes = _in_order(lines, chunk_line, len(lines))
+    chunk_word = line_first[chunk_line]
+    after = np.append(chunk_word[1:], n)
+    counts, begin, end = after - chunk_word, words.starts[chunk_word], words.ends[after - 1]
+    text_chunk = np.searchsorted(chunk_line, text_line).tolist()
+    out = []
+    for i, (a, b) in enumerate(zip(text_chunk, text_chunk[1:], strict=False)):
+        at = words.offset[i]
+        out.append((hashes[a:b], counts[a:b], begin[a:b] - at, end[a:b] - at))
+    return out
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -68,95 +83,126 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _hash_pass(keyed: DataFrame) -> DataFrame:
-    def make():
-        hashes = WordHashes()
+    """key, ord, text and the chunks of each text with words."""
 
-        def each(row):
-            words, _, _, first, ch = chunk_words((row[2] or "").encode(), hashes)
-            if len(ch):
-                yield row[0], row[1], ch.view(np.int64), np.diff(np.append(first, len(words))).astype(np.int32)
+    def make():
+        def each(rows):
+            for (key, ord_, text), (h, n, a, b) in zip(rows, chunk_texts([r[2] for r in rows]), strict=True):
+                if len(h):
+                    yield key, ord_, text, h.view(np.int64), n.astype(np.int32), a.astype(np.int32), b.astype(np.int32)
 
         return each
 
-    return map_rows(keyed.select("_key", "_ord", "text"), make, "key long, ord long, h array<long>, n array<int>", limit=200)
+    return map_texts(keyed.select("_key", "_ord", "text"), 2, make, "key long, ord long, text string, h array<long>, n array<int>, a array<int>, b array<int>")
 
 
-def _text_pass(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, key, idx, canon and text (words joined by a blank) of the wanted chunks."""
-    may, _ = split(keyed.select("_key", "text"), "_key", wanted, "key")
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("idx", "canon")).alias("want"))
-    rows = may.dropDuplicates(["_key"]).join(lists, F.col("_key") == F.col("key")).select("key", "text", "want")
+def _spread(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, value) of the items of a list column of longs or ints."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    sizes = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, place, lists.flatten().to_numpy(zero_copy_only=False)
 
-    def make():
-        hashes = WordHashes()
 
-        def each(row):
-            words, _, _, first, ch = chunk_words((row[1] or "").encode(), hashes)
-            ends = np.append(first[1:], len(words))
-            for w in row[2]:
-                i = w["idx"]
-                yield row[0], i, w["canon"], int(ch[i : i + 1].view(np.int64)[0]), b" ".join(words[first[i] : ends[i]])
+def _may_repeat(hashed: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, ord, idx, h, n of the chunks whose hash may be in ``groups``."""
+    shared = hashed.sparkSession.sparkContext.broadcast(bloom.build(groups, "h"))
 
-        return each
+    def run(batches):
+        for batch in batches:
+            row, place, h = _spread(batch, "h")
+            n = _spread(batch, "n")[2]
+            ok = shared.value.contains(h)
+            row, place = row[ok], place[ok]
+            key, ord_ = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ord_), pa.array(place.astype(np.int32)), pa.array(h[ok]), pa.array(n[ok])], names=["key", "ord", "idx", "h", "n"])
 
-    return map_rows(rows, make, "key long, idx int, canon boolean, h long, text binary", limit=500)
+    return hashed.select("key", "ord", "h", "n").mapInArrow(run, "key long, ord long, idx int, h long, n int")
 
 
 def _long_runs(repeated: DataFrame, min_words: int) -> DataFrame:
-    """key and array idx: chunks in runs of consecutive repeated ones."""
+    """key, idx and h of the chunks in runs of consecutive repeated ones."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            items = lists.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            idx, n, h = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.lexsort((idx, row))
+            row, idx, n, h = row[order], idx[order], n[order], h[order]
+            if not len(row):
+                continue
+            new = np.concatenate((np.ones(1, bool), (row[1:] != row[:-1]) | (idx[1:] > idx[:-1] + 1)))
+            again = np.concatenate((np.zeros(1, bool), (row[1:] == row[:-1]) & (idx[1:] == idx[:-1])))  # of repeated rows
+            first = np.flatnonzero(new)
+            words = np.add.reduceat(np.where(again, 0, n), first)
+            ok = np.repeat(words, np.diff(np.append(first, len(row)))) >= min_words
+            ok &= ~again
+            key = batch.column(0).to_numpy(zero_copy_only=False)[row[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(idx[ok]), pa.array(h[ok])], names=["key", "idx", "h"])
 
-    def make():
-        def each(row):
-            run, words, out = [], 0, []
-            for c in [*sorted(row[1], key=lambda c: c["idx"]), None]:
-                if c is not None and run and c["idx"] == run[-1][0] + 1:
-                    run.append((c["idx"], c["h"]))
-                    words += c["n"]
-                    continue
-                if words >= min_words:
-                    out += run
-                run, words = ([(c["idx"], c["h"])], c["n"]) if c is not None else ([], 0)
-            for idx, h in out:
-                yield row[0], idx, h
+    lists = repeated.groupBy("key").agg(F.collect_list(F.struct("idx", "n", "h")).alias("chunks"))
+    return lists.mapInArrow(run, "key long, idx int, h long")
 
-        return each
 
-    lists = repeated.groupBy("key").agg(F.collect_list(F.struct("idx", "n", "h")).alias("chunks"))
-    return map_rows(lists, make, "key long, idx int, h long", limit=5000)
+def _chunk_texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, ord, idx, h and text of the chunks whose hash may be in ``wanted``."""
+    shared = hashed.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                row, place, h = _spread(batch, "h")
+                a, b = _spread(batch, "a")[2], _spread(batch, "b")[2]
+                ok = np.flatnonzero(shared.value.contains(h))
+                if not len(ok):
+                    continue
+                row, place = row[ok], place[ok]
+                texts, held, data = batch.column(2), -1, b""
+                pieces = []
+                for r, x, y in zip(row.tolist(), a[ok].tolist(), b[ok].tolist(), strict=True):
+                    if r != held:
+                        held, data = r, texts[r].as_buffer().to_pybytes()
+                    pieces.append(data[x:y].translate(_BLANKS))
+                key, ord_ = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ord_), pa.array(place.astype(np.int32)), pa.array(h[ok]), pa.array(pieces, pa.binary())], names=["key", "ord", "idx", "h", "piece"])
+
+    return hashed.select("key", "ord", "text", "h", "a", "b").mapInArrow(run, "key long, ord long, idx int, h long, piece binary")
 
 
 def repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key and idx (array of chunk numbers) to remove, by document; a scratch table."""
-    keyed = _keyed(documents)
-    hashed = materialize(_hash_pass(keyed), "line-chunks")
-    each = hashed.select("key", "ord", F.arrays_zip("h", "n").alias("c")).select("key", "ord", F.posexplode("c").alias("idx", "c")).select("key", "ord", "idx", "c.h", "c.n")
-    who = F.struct("ord", "key", "idx")
-    groups = each.groupBy("h").agg(F.min(who).alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    groups = groups.select("h", F.col("c.key").alias("c_key"), F.col("c.idx").alias("c_idx"))
-    again = each.join(groups, "h").where("key <> c_key").select("key", "idx", "n", "h")
+    """key and idx (array of chunk numbers) to remove, by document; a scratch table.
+
+    Hashes of chunks meet once, as longs with map-side combine; from there on a
+    Bloom filter lets through only the chunks that repeat.
+    """
+    hashed = materialize(_hash_pass(_keyed(documents)), "line-chunks")
+    each = hashed.select("ord", F.explode("h").alias("h"))
+    groups = materialize(each.groupBy("h").agg(F.min("ord").alias("home"), F.max("ord").alias("most")).where("home < most").select("h", "home"), "line-groups")
+    again = _may_repeat(hashed, groups).join(groups, "h").where("ord > home").select("key", "idx", "n", "h")
     drop = materialize(_long_runs(again, min_words), "line-runs")
-    needed = drop.select("h").distinct()
-    homes = groups.join(needed, "h", "left_semi").select(F.col("c_key").alias("key"), F.col("c_idx").alias("idx"), F.lit(True).alias("canon"))
-    wanted = materialize(drop.select("key", "idx", F.lit(False).alias("canon")).unionAll(homes), "line-wanted")
-    texts = materialize(_text_pass(keyed, wanted), "line-texts")
-    kept = texts.where("canon").select("h", F.col("text").alias("kept"))
-    same = texts.where("not canon").join(kept, "h").where("text = kept")
-    out = materialize(same.groupBy("key").agg(F.collect_set("idx").alias("idx")), "line-repeats")
-    for table in (hashed, drop, wanted, texts):
+    texts = materialize(_chunk_texts_of(hashed, drop).join(groups, "h"), "line-texts")
+    release(hashed)
+    kept = texts.where("ord = home").select("h", "piece").distinct()
+    same = texts.where("ord > home").join(kept, ["h", "piece"], "left_semi").select("key", "idx").distinct()
+    out = materialize(drop.select("key", "idx").join(same, ["key", "idx"], "left_semi").groupBy("key").agg(F.collect_set("idx").alias("idx")), "line-repeats")
+    for table in (groups, drop, texts):
         release(table)
     return out
 
 
-def without(text: str, chunks: list[int], hashes: WordHashes) -> str:
-    """``text`` without the chunks of these numbers."""
+def without(text: str, chunks: list[int], begin: np.ndarray) -> str:
+    """``text`` without the chunks of these numbers and the white space behind them."""
     data = text.encode()
-    words, starts, _, first, _ = chunk_words(data, hashes)
-    after = np.append(starts, len(data))
-    ends = np.append(first[1:], len(words))
+    borders = [*begin.tolist(), len(data)]
     keep, at = [], 0
     for i in sorted(chunks):
-        keep.append(data[at : after[first[i]]])
-        at = int(after[ends[i]])
+        keep.append(data[at : borders[i]])
+        at = borders[i + 1]
     keep.append(data[at:])
     return b"".join(keep).decode().rstrip()
 
@@ -169,23 +215,22 @@ def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     gone = repeats(documents, min_words)
     keyed = _keyed(documents)
-    may, other = split(keyed, "_key", gone, "key")
+    may, other = bloom.split(keyed, "_key", gone, "key")
     names = documents.columns
     row = F.struct(*[F.col(c) for c in names if c != "text"]) if len(names) > 1 else F.struct(F.lit(0).alias("_"))
     hit = may.join(gone.withColumnsRenamed({"key": "_key", "idx": "_idx"}), "_key", "left")
     carried = hit.select(row.alias("row"), "text", "_idx")
 
     def make():
-        hashes = WordHashes()
-
-        def each(r):
-            rest, text, idx = r
-            return [(rest, without(text, idx, hashes) if idx else text, len(idx or ()))]
+        def each(rows):
+            found = chunk_texts([r[1] if r[2] else None for r in rows])
+            for (rest, text, idx), (_, _, begin, _) in zip(rows, found, strict=True):
+                yield rest, without(text, idx, begin) if idx else text, len(idx or ())
 
         return each
 
     schema = carried.select("row", "text").schema.add("n_removed", "long")
-    done = map_rows(carried, make, schema, limit=200)
+    done = map_texts(carried, 1, make, schema, limit=200)
     columns = [F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in names]
     out = done.select(*columns, "n_removed").unionAll(other.select(*names, F.lit(0).cast("long").alias("n_removed")))
     if "n_chars" in names:
