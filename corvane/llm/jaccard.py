@@ -11,18 +11,23 @@ are one node from the start, so copies cost one node.
   one star per subset is exact.
 * **Heavy sets** are found through inverted lists. Shingles are ordered from
   rare to frequent, and two sets that link meet in the list of one of their
-  first ``n - ceil(t n) + 1`` shingles. Light sets big enough to link to a
-  heavy one are in the lists too.
+  first ``n - ceil(t n) + 1`` shingles; a few more are listed, which makes the
+  bounds below sharper. Light sets big enough to link to a heavy one are in the
+  lists too.
 * The **boundary** is chosen by cost: for each candidate, the subsets that the
   sets up to it enumerate and the list entries (each to be shuffled, joined
   and verified) that the sets above it make, from the histogram of sizes.
 
-Lists are not turned into all pairs. In ``leader_rounds`` rounds every set that
-meets a list's leader is verified against the leader that it meets in most
-lists, which joins groups of near copies into components; then the pairs of
-different components that still meet are counted over all lists, and those that
-meet often enough to link are verified. Two sets of one component need no
-verification, so the components are those of all links.
+Lists are not turned into all pairs. A shingle early in a set's order that no
+other set lists is lost to the overlap with any set that can link (see
+:func:`_lost`), which rules out most sets of a large group but those near its
+centre. A list's leader is the set with the smallest share of lost shingles,
+the centre of such a group. In ``leader_rounds`` rounds every set that meets a
+leader is verified against the one that it meets in most lists, which joins
+groups of near copies into components; then the pairs of different components
+that can still link are counted over all lists, and those that meet often
+enough are verified. Two sets of one component need no verification, so the
+components are those of all links.
 
 The frequency order comes from counts of all shingles of all documents in a
 table of hash buckets whose size follows the input up to ``2**MOST_BITS``
@@ -42,7 +47,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, plan_bytes, release
@@ -73,7 +78,7 @@ class Rule:
         return -(-self.num * n // self.den)
 
     def prefix(self, n: int) -> int:
-        return n - self.least_partner(n) + 1
+        return min(n, n - self.least_partner(n) + 1 + n // 32 + 2)
 
     def subsets(self, n: int) -> int:
         return sum(math.comb(n, d) for d in range(n - self.least_partner(n) + 1))
@@ -187,9 +192,33 @@ def _links(rule: Rule, overlap, n, m):
     return overlap * rule.den >= rule.num * (n + m - overlap)
 
 
-def _fitting(rule: Rule, n, m):
-    """Whether sets of these sizes can link at all."""
-    return (F.least(n, m) * rule.den) >= (F.greatest(n, m) * rule.num)
+def _fitting(rule: Rule, n, u, m, w):
+    """Whether sets of n and m shingles with these losses can link at all.
+
+    u and w are structs of the losses against partners up to the own size and
+    against larger ones.
+    """
+    left = n - F.when(m <= n, u["same"]).otherwise(u["larger"])
+    right = m - F.when(n <= m, w["same"]).otherwise(w["larger"])
+    return F.least(left, right) * (rule.num + rule.den) >= rule.num * (n + m)
+
+
+def _lost(rule: Rule) -> Column:
+    """Struct of the shingles of a set (n, p, at: its listed places) that are lost.
+
+    Let the shingle at place i of X be listed by no other set. If Y has it, it
+    comes after Y's first p(Y), so at most i + |Y| - p(Y) shingles are shared:
+    too few to link while i < overlap - |Y| + p(Y). Below that place such
+    shingles of X are in no Y that links. The place falls as Y grows; it is
+    taken for Y of the size of X and for the largest Y, less 2 for rounding.
+    """
+    n, p = F.col("n"), F.col("p")
+    overlap = lambda m: F.ceil(rule.num * (n + m) / F.lit(rule.num + rule.den))
+    prefix = lambda m: F.least(m, m - F.ceil(rule.num * m / F.lit(rule.den)) + 1 + F.floor(m / 32) + 2)
+    most = F.floor(n * rule.den / F.lit(rule.num))
+    below = lambda m: F.greatest(F.lit(0), F.least(p, overlap(m) - m + prefix(m) - 2)).cast("int")
+    lost = lambda m: below(m) - F.size(F.filter("at", lambda i: i < below(m)))
+    return F.named_struct(F.lit("same"), lost(n), F.lit("larger"), lost(most))
 
 
 def _subset_links(keys: DataFrame, rule: Rule) -> DataFrame:
@@ -209,13 +238,14 @@ def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, rule: Rule
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("d")).unionAll(pairs.select("b")).distinct()
     homes = materialize(nodes.join(reps, "d").select("d", "rep"), "homes")
-    may, _ = bloom.split(documents.select("doc_id", "text"), "doc_id", homes, "rep")
+    shared = documents.sparkSession.sparkContext.broadcast(bloom.build(homes, "rep"))
 
     def make():
         met = set()
 
         def each(rows):
-            for tokens in sets_of([r[1] for r in rows], rule):
+            ok = shared.value.contains(np.array([r[0] for r in rows], np.int64))
+            for tokens in sets_of([r[1] for r, may in zip(rows, ok, strict=True) if may], rule):
                 if len(tokens) and (d := set_digest(tokens)) not in met:
                     met.add(d)
                     yield d, tokens.view(np.int64)
@@ -223,7 +253,8 @@ def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, rule: Rule
         return each
 
     # what the filter lets through by mistake is a set that no pair names, or a set twice
-    sets = materialize(map_texts(may, 1, make, "d long, toks array<long>", limit=100), "sets")
+    rows = documents.where("doc_id is not null").select("doc_id", "text")
+    sets = materialize(map_texts(rows, 1, make, "d long, toks array<long>", limit=100), "sets")
     one = sets.select(F.col("d").alias("a"), F.col("toks").alias("ta"))
     two = sets.select(F.col("d").alias("b"), F.col("toks").alias("tb"))
     both = pairs.join(two, "b").join(one, "a").withColumn("o", F.size(F.array_intersect("ta", "tb")))
@@ -240,12 +271,23 @@ def _with_component(entries: DataFrame, found: DataFrame | None) -> DataFrame:
     return entries.join(known, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
 
 
+def _list_entries(keys: DataFrame, rule: Rule) -> DataFrame:
+    """d, n, p, u (losses) and t: the sets in the lists of more than one set, once each."""
+    entries = keys.where("size(toks) > 0").select("d", "n", F.size("toks").alias("p"), F.posexplode("toks").alias("i", "t"))
+    shared = entries.groupBy("t").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("t")
+    met = materialize(entries.join(shared, "t"), "shingle-entries")
+    sets = met.groupBy("d", "n", "p").agg(F.collect_set(F.struct("i", "t")).alias("ts")).withColumn("at", F.transform("ts", lambda x: x["i"]))
+    out = materialize(sets.select("d", "n", "p", _lost(rule).alias("u"), F.explode("ts.t").alias("t")), "shingle-lists")
+    release(met)
+    return out
+
+
 def _leader_pairs(entries: DataFrame, rule: Rule, turn: int) -> DataFrame:
     """For each set the leader that it meets in most lists, of another component."""
-    first = F.struct((F.xxhash64("d", F.lit(turn)) if turn else F.col("d")).alias("k"), "d", "n", "c")
-    lead = entries.groupBy("t").agg(F.min(first).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t", "lead.d", "lead.n", "lead.c")
-    lead = lead.toDF("t", "a", "na", "ca")
-    met = entries.join(lead, "t").where("c <> ca").where(_fitting(rule, F.col("n"), F.col("na")))
+    key = F.xxhash64("d", F.lit(turn)) if turn else (F.col("u.same") * F.lit(1000) / F.col("p")).cast("long")
+    lead = entries.groupBy("t").agg(F.min(F.struct(key.alias("k"), "d", "n", "u", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    lead = lead.select("t", "lead.d", "lead.n", "lead.u", "lead.c").toDF("t", "a", "na", "ua", "ca")
+    met = entries.join(lead, "t").where("c <> ca").where(_fitting(rule, F.col("n"), F.col("u"), F.col("na"), F.col("ua")))
     counted = met.groupBy("d", "n", "a", "na").agg(F.count("*").alias("k"))
     best = counted.groupBy("d", "n").agg(F.max(F.struct("k", "a", "na")).alias("m"))
     # sets that meet in few lists are hardly near copies; the last step looks at them
@@ -258,10 +300,10 @@ def _cross_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     If a set's order ends first, the overlap outside the shared lists is at
     most n - p, so at least overlap - (n - p) lists are shared.
     """
-    open_ = entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    left = entries.join(open_, "t").select("t", "d", "n", "p", "c").distinct()
-    a, b = left.toDF("t", "a", "na", "pa", "ca"), left.toDF("t", "b", "nb", "pb", "cb")
-    met = a.join(b, "t").where("a < b and ca <> cb").where(_fitting(rule, F.col("na"), F.col("nb")))
+    open_ = materialize(entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t"), "open-lists")
+    left = entries.join(open_, "t").select("t", "d", "n", "p", "u", "c")
+    a, b = left.toDF("t", "a", "na", "pa", "ua", "ca"), left.toDF("t", "b", "nb", "pb", "ub", "cb")
+    met = a.join(b, "t").where("a < b and ca <> cb").where(_fitting(rule, F.col("na"), F.col("ua"), F.col("nb"), F.col("ub")))
     counted = met.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("k"))
     least = F.ceil((F.col("na") + F.col("nb")) * rule.num / (rule.num + rule.den))
     return counted.where(F.col("k") >= F.least(least - F.col("na") + F.col("pa"), least - F.col("nb") + F.col("pb"))).select("a", "b", "na", "nb")
@@ -281,10 +323,7 @@ def linked(documents: DataFrame, rule: Rule | None = None, leader_rounds: int =
     reps = nodes.groupBy("d").agg(F.min("doc_id").alias("rep"))
 
     keys = materialize(_keys(docs, rule, boundary, classes), "shingle-keys")
-    entries = keys.where("size(toks) > 0").select("d", "n", F.size("toks").alias("p"), F.explode("toks").alias("t"))
-    shared = entries.groupBy("t").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("t")
-    lists = materialize(entries.join(shared, "t"), "shingle-lists")
-
+    lists = _list_entries(keys, rule)
     edges = materialize(_subset_links(keys, rule).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     release(keys)
     found = None

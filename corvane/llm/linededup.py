@@ -187,10 +187,11 @@ def repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     drop = materialize(_long_runs(again, min_words), "line-runs")
     texts = materialize(_chunk_texts_of(hashed, drop).join(groups, "h"), "line-texts")
     release(hashed)
-    kept = texts.where("ord = home").select("h", "piece").distinct()
+    # a table of its own, so that Spark may split the rows of a very common chunk
+    kept = materialize(texts.where("ord = home").select("h", "piece").distinct(), "line-kept")
     same = texts.where("ord > home").join(kept, ["h", "piece"], "left_semi").select("key", "idx").distinct()
     out = materialize(drop.select("key", "idx").join(same, ["key", "idx"], "left_semi").groupBy("key").agg(F.collect_set("idx").alias("idx")), "line-repeats")
-    for table in (groups, drop, texts):
+    for table in (groups, drop, texts, kept):
         release(table)
     return out
 
