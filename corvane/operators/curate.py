@@ -77,7 +77,7 @@ def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
     return toks.select("doc_id", grams.alias("g")).select("doc_id", F.array_distinct(F.transform("g", lambda s: F.xxhash64(s))).alias("sh"))
 
 
-def minhash_bands(docs: DataFrame, width: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
+def minhash_bands(docs: DataFrame, width: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
     """doc_id, band and key: minima of seeded hashes over word shingles, ``rows`` a band."""
     low = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, i))))
     signed = shingle_hashes(docs, width).select("doc_id", low.alias("low"))
@@ -85,7 +85,7 @@ def minhash_bands(docs: DataFrame, width: int = 5, bands: int = 16, rows: int =
     return signed.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
-def fuzzy_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
+def fuzzy_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
     """doc_id, keeper and jaccard: documents that are near copies of a smaller doc_id.
 
     Within a band's bucket every member is compared with the bucket's smallest

@@ -186,8 +186,8 @@ def event_velocity(spark, sf_dir):
 
 
 def stream_counts(spark, sf_dir):
-    path = f"{sf_dir}/events.parquet"
-    events = stream.file_stream(spark, path, spark.read.parquet(path).schema)
+    schema = table(spark, sf_dir, "events").schema
+    events = stream.file_stream(spark, f"{sf_dir}/events.parque[t]", schema)  # a pattern takes a file and a folder alike
     counts = stream.windowed_counts(events, "ts", "1 hour", "1 hour", "event_type")
     out = stream.run_available(counts, spark)
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))

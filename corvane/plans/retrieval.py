@@ -315,7 +315,7 @@ d AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max
 l AS (SELECT query_id, doc_id, coalesce((-score - min(-score) OVER w) / nullif(max(-score) OVER w - min(-score) OVER w, 0), 1) AS ls FROM lexq WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(coalesce(ds, 0) * 0.7 + coalesce(ls, 0) * (1 - 0.7), 9) AS score FROM d FULL JOIN l USING (query_id, doc_id))) WHERE rank <= 10""",
     "arm_metrics": f"WITH {_EVAL} {_arms_sql()}",
-    "complementarity": f"WITH {_EVAL} SELECT slice, CAST(sum(dense_only) AS BIGINT) AS dense_only, CAST(sum(lexical_only) AS BIGINT) AS lexical_only, CAST(sum(both) AS BIGINT) AS both, CAST(sum(neither) AS BIGINT) AS neither, round(avg(union_recall), 6) AS union_recall, round(avg(dense_pool), 6) AS dense_recall, round(avg(union_recall) - avg(dense_pool), 6) AS gain FROM {_SLICES} GROUP BY slice",
+    "complementarity": f'''WITH {_EVAL} SELECT slice, CAST(sum(dense_only) AS BIGINT) AS dense_only, CAST(sum(lexical_only) AS BIGINT) AS lexical_only, CAST(sum("both") AS BIGINT) AS "both", CAST(sum(neither) AS BIGINT) AS neither, round(avg(union_recall), 6) AS union_recall, round(avg(dense_pool), 6) AS dense_recall, round(avg(union_recall) - avg(dense_pool), 6) AS gain FROM {_SLICES} GROUP BY slice''',
     "decisive_queries": f"WITH {_EVAL} SELECT query_id, dense_first, lexical_first, hybrid_first FROM scored WHERE NOT ((dense_first IS NULL) = (lexical_first IS NULL) AND (lexical_first IS NULL) = (hybrid_first IS NULL))",
     "candidate_size": f"WITH {', '.join([_LEX.strip(), _QS, _DEN, _fused_sql(50)])} SELECT query_id, count(*) AS n_candidates FROM fus GROUP BY 1",
     "best_gold_rank": f"WITH {', '.join([_LEX.strip(), _QS, _DEN, _GOLD])} SELECT query_id, min(d.rank) AS dense_best, min(l.rank) AS lexical_best FROM gold LEFT JOIN den d USING (query_id, doc_id) LEFT JOIN lexq l USING (query_id, doc_id) GROUP BY 1",

@@ -72,14 +72,18 @@ def load_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows, errors
 
 
-def parse_query_set(text: str) -> list[dict]:
-    """Records of a query set in YAML or JSON: a list, or a mapping with ``queries``."""
+def parse_document(text: str):
+    """YAML, or JSON where there is no YAML parser."""
     try:
         import yaml
-
-        data = yaml.safe_load(text)
     except ModuleNotFoundError:
-        data = json.loads(text)
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def parse_query_set(text: str) -> list[dict]:
+    """Records of a query set: a list, or a mapping with ``queries``."""
+    data = parse_document(text)
     return data["queries"] if isinstance(data, dict) else data
 
 
@@ -91,7 +95,7 @@ def query_set(spark: SparkSession, text: str) -> DataFrame:
 
 def partition_set(spark: SparkSession, text: str) -> DataFrame:
     """query_id, slice and gold of a committed partition (slice -> query -> gold)."""
-    data = parse_query_set(text)
+    data = parse_document(text)
     rows = []
     for label in ("known_item", "broad_entity", "unscored"):
         entries = data.get(label) or {}
