@@ -1,4 +1,9 @@
-"""Arrow batches of bounded size for Python stages."""
+"""Arrow batches of bounded size for Python stages.
+
+The stages here set ``spark.sql.execution.arrow.maxRecordsPerBatch`` to
+``BATCH_ROWS`` at most: a batch of Spark's default of 10,000 documents takes
+tens of megabytes in the JVM and again in each Python worker.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,25 @@ from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+BATCH_ROWS = 1000
+_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size; unused memory goes back after a task."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_LIMIT)) <= BATCH_ROWS:
+        conf.set(_LIMIT, str(BATCH_ROWS))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, decoded a few at a time."""
     for batch in batches:
@@ -40,7 +64,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]
         each = make()
         return batched((out for row in rows_of(batches) for out in each(row)), arrow, limit)
 
-    return df.mapInArrow(run, target)
+    return map_arrow(df, run, target)
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], text: int, size: int = 1 << 18) -> Iterator[list[tuple]]:
@@ -70,4 +94,4 @@ def map_texts(df: DataFrame, text: int, make: Callable[[], Callable[[list[tuple]
         each = make()
         return batched((out for rows in text_groups(batches, text, size) for out in each(rows)), arrow, limit)
 
-    return df.mapInArrow(run, target)
+    return map_arrow(df, run, target)

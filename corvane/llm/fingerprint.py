@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import plan_bytes
-from .arrowio import batched, rows_of
+from .arrowio import batched, map_arrow, rows_of
 
 AVERAGE, LEAST, MOST = 64, 16, 256
 
@@ -177,4 +177,4 @@ def compare_with_next(documents: DataFrame, partitions: int | None = None) -> Da
     def run_all(batches):
         return batched(pairs(batches), arrow, 200)
 
-    return in_order(documents, partitions).mapInArrow(run_all, schema)
+    return map_arrow(in_order(documents, partitions), run_all, schema)

@@ -20,7 +20,7 @@ are one node from the start, so copies cost one node.
 
 Lists are not turned into all pairs. A shingle early in a set's order that no
 other set lists is lost to the overlap with any set that can link (see
-:func:`_lost`), which rules out most sets of a large group but those near its
+:func:`_safe_places`), which rules out most sets of a large group but those near its
 centre. A list's leader is the set with the smallest share of lost shingles,
 the centre of such a group. In ``leader_rounds`` rounds every set that meets a
 leader is verified against the one that it meets in most lists, which joins
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, plan_bytes, release
 from . import bloom
-from .arrowio import batched, map_texts, rows_of, text_groups
+from .arrowio import batched, map_arrow, map_texts, rows_of, text_groups
 from .graph import components
 from .words import mix, shingle_sets, words_of
 
@@ -112,7 +112,7 @@ def _sets(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
             if piece.any():
                 yield None, None, None, part, zlib.compress(piece.tobytes(), 1)
 
-    return documents.select("doc_id", "text").mapInArrow(lambda batches: batched(scan(batches), arrow), schema)
+    return map_arrow(documents.select("doc_id", "text"), lambda batches: batched(scan(batches), arrow), schema)
 
 
 def _order(scanned: DataFrame, bits: int) -> np.ndarray:
@@ -192,33 +192,36 @@ def _links(rule: Rule, overlap, n, m):
     return overlap * rule.den >= rule.num * (n + m - overlap)
 
 
-def _fitting(rule: Rule, n, u, m, w):
-    """Whether sets of n and m shingles with these losses can link at all.
+def _bands(n):
+    """Sizes of partners, from the own one to the largest, for which losses are kept."""
+    return lambda rule: (n, n + F.floor(n / 32) + 1, n + F.floor(n / 12) + 1, F.floor(n * rule.den / F.lit(rule.num)))
 
-    u and w are structs of the losses against partners up to the own size and
-    against larger ones.
-    """
-    left = n - F.when(m <= n, u["same"]).otherwise(u["larger"])
-    right = m - F.when(n <= m, w["same"]).otherwise(w["larger"])
-    return F.least(left, right) * (rule.num + rule.den) >= rule.num * (n + m)
 
+def _loss(rule: Rule, u, n, m):
+    """The loss of a set of n shingles against a partner of m, from its packed losses."""
+    sizes = _bands(n)(rule)
+    band = F.when(m <= sizes[0], 0).when(m <= sizes[1], 16).when(m <= sizes[2], 32).otherwise(48)
+    return F.call_function("shiftright", u, band).bitwiseAND(F.lit(0x7FFF))
+
+
+def _fitting(rule: Rule, n, u, m, w):
+    """Whether sets of n and m shingles with the packed losses u and w can link at all."""
+    return F.least(n - _loss(rule, u, n, m), m - _loss(rule, w, m, n)) * (rule.num + rule.den) >= rule.num * (n + m)
 
-def _lost(rule: Rule) -> Column:
-    """Struct of the shingles of a set (n, p, at: its listed places) that are lost.
+
+def _safe_places(rule: Rule) -> list[Column]:
+    """For each band of partners the place below which unlisted shingles are lost.
 
     Let the shingle at place i of X be listed by no other set. If Y has it, it
     comes after Y's first p(Y), so at most i + |Y| - p(Y) shingles are shared:
     too few to link while i < overlap - |Y| + p(Y). Below that place such
-    shingles of X are in no Y that links. The place falls as Y grows; it is
-    taken for Y of the size of X and for the largest Y, less 2 for rounding.
+    shingles of X are in no Y that links. The place falls as Y grows, so that of
+    a band's largest Y holds for the band; 2 are taken off for rounding.
     """
     n, p = F.col("n"), F.col("p")
     overlap = lambda m: F.ceil(rule.num * (n + m) / F.lit(rule.num + rule.den))
     prefix = lambda m: F.least(m, m - F.ceil(rule.num * m / F.lit(rule.den)) + 1 + F.floor(m / 32) + 2)
-    most = F.floor(n * rule.den / F.lit(rule.num))
-    below = lambda m: F.greatest(F.lit(0), F.least(p, overlap(m) - m + prefix(m) - 2)).cast("int")
-    lost = lambda m: below(m) - F.size(F.filter("at", lambda i: i < below(m)))
-    return F.named_struct(F.lit("same"), lost(n), F.lit("larger"), lost(most))
+    return [F.greatest(F.lit(0), F.least(p, overlap(m) - m + prefix(m) - 2)).cast("int") for m in _bands(n)(rule)]
 
 
 def _subset_links(keys: DataFrame, rule: Rule) -> DataFrame:
@@ -272,20 +275,30 @@ def _with_component(entries: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def _list_entries(keys: DataFrame, rule: Rule) -> DataFrame:
-    """d, n, p, u (losses) and t: the sets in the lists of more than one set, once each."""
+    """d, n, p, u, i and t: the sets in the lists of more than one set, once each.
+
+    u packs the set's losses against the four bands of partners, 16 bits each.
+    """
     entries = keys.where("size(toks) > 0").select("d", "n", F.size("toks").alias("p"), F.posexplode("toks").alias("i", "t"))
     shared = entries.groupBy("t").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("t")
     met = materialize(entries.join(shared, "t"), "shingle-entries")
-    sets = met.groupBy("d", "n", "p").agg(F.collect_set(F.struct("i", "t")).alias("ts")).withColumn("at", F.transform("ts", lambda x: x["i"]))
-    out = materialize(sets.select("d", "n", "p", _lost(rule).alias("u"), F.explode("ts.t").alias("t")), "shingle-lists")
+    below = [(F.col("i") < place).cast("long") for place in _safe_places(rule)]
+    listed = met.select("d", "n", "p", "i", "t", *[c.alias(f"b{k}") for k, c in enumerate(below)]).distinct()
+    counted = listed.groupBy("d", "n", "p").agg(*[F.sum(f"b{k}").alias(f"s{k}") for k in range(4)])
+    packed = F.lit(0).cast("long")
+    for k, place in enumerate(_safe_places(rule)):
+        packed = packed.bitwiseOR(F.shiftleft(F.least(F.greatest(place - F.col(f"s{k}"), F.lit(0)), F.lit(0x7FFF)).cast("long"), 16 * k))
+    losses = counted.select("d", packed.alias("u"))
+    out = materialize(listed.select("d", "n", "p", "i", "t").join(losses, "d"), "shingle-lists")
     release(met)
     return out
 
 
 def _leader_pairs(entries: DataFrame, rule: Rule, turn: int) -> DataFrame:
     """For each set the leader that it meets in most lists, of another component."""
-    key = F.xxhash64("d", F.lit(turn)) if turn else (F.col("u.same") * F.lit(1000) / F.col("p")).cast("long")
-    lead = entries.groupBy("t").agg(F.min(F.struct(key.alias("k"), "d", "n", "u", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    loss = F.col("u").bitwiseAND(F.lit(0x7FFF))
+    share = F.floor(loss * (8 if turn else 1000) / F.col("p"))  # the centre first, then any set near it
+    lead = entries.groupBy("t").agg(F.min(F.struct(share.alias("k"), F.xxhash64("d", F.lit(turn)).alias("h"), "d", "n", "u", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     lead = lead.select("t", "lead.d", "lead.n", "lead.u", "lead.c").toDF("t", "a", "na", "ua", "ca")
     met = entries.join(lead, "t").where("c <> ca").where(_fitting(rule, F.col("n"), F.col("u"), F.col("na"), F.col("ua")))
     counted = met.groupBy("d", "n", "a", "na").agg(F.count("*").alias("k"))
@@ -295,18 +308,25 @@ def _leader_pairs(entries: DataFrame, rule: Rule, turn: int) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that meet in enough lists to link.
+    """Pairs of different components that share enough of their first shingles to link.
 
-    If a set's order ends first, the overlap outside the shared lists is at
-    most n - p, so at least overlap - (n - p) lists are shared.
+    A pair that links in ``overlap`` shingles shares one of the first
+    n - overlap + 1 of either set, so only these entries are joined. What is
+    left is checked on all that both sets list: if a set's order ends first, at
+    most n - p shared shingles come later, so overlap - (n - p) are shared before.
     """
     open_ = materialize(entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t"), "open-lists")
-    left = entries.join(open_, "t").select("t", "d", "n", "p", "u", "c")
-    a, b = left.toDF("t", "a", "na", "pa", "ua", "ca"), left.toDF("t", "b", "nb", "pb", "ub", "cb")
-    met = a.join(b, "t").where("a < b and ca <> cb").where(_fitting(rule, F.col("na"), F.col("ua"), F.col("nb"), F.col("ub")))
-    counted = met.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("k"))
     least = F.ceil((F.col("na") + F.col("nb")) * rule.num / (rule.num + rule.den))
-    return counted.where(F.col("k") >= F.least(least - F.col("na") + F.col("pa"), least - F.col("nb") + F.col("pb"))).select("a", "b", "na", "nb")
+    # nobody's partner has less than t n shingles, so n - ceil(t n) is the last place of use
+    left = entries.where(F.col("i") <= F.col("n") - F.ceil(rule.num * F.col("n") / F.lit(rule.den))).join(open_, "t").select("t", "d", "n", "p", "u", "c", "i")
+    a, b = left.toDF("t", "a", "na", "pa", "ua", "ca", "ia"), left.toDF("t", "b", "nb", "pb", "ub", "cb", "ib")
+    met = a.join(b, "t").where("a < b and ca <> cb").where((F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least))
+    met = met.where(_fitting(rule, F.col("na"), F.col("ua"), F.col("nb"), F.col("ub")))
+    pairs = materialize(met.select("a", "b", "na", "nb", "pa", "pb").distinct(), "cross-pairs")
+    nodes = pairs.select(F.col("a").alias("d")).unionAll(pairs.select("b")).distinct()
+    firsts = materialize(entries.join(nodes, "d", "left_semi").groupBy("d").agg(F.collect_list("t").alias("ts")), "first-shingles")
+    both = pairs.join(firsts.toDF("b", "tb"), "b").join(firsts.toDF("a", "ta"), "a").withColumn("k", F.size(F.array_intersect("ta", "tb")))
+    return both.where(F.col("k") >= F.least(least - F.col("na") + F.col("pa"), least - F.col("nb") + F.col("pb"))).select("a", "b", "na", "nb")
 
 
 def linked(documents: DataFrame, rule: Rule | None = None, leader_rounds: int = 2) -> DataFrame:

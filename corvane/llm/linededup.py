@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release
 from . import bloom
-from .arrowio import map_texts
+from .arrowio import map_arrow, map_texts
 from .words import mix, words_of
 
 MIN_WORDS = 20
@@ -118,7 +118,7 @@ def _may_repeat(hashed: DataFrame, groups: DataFrame) -> DataFrame:
             key, ord_ = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ord_), pa.array(place.astype(np.int32)), pa.array(h[ok]), pa.array(n[ok])], names=["key", "ord", "idx", "h", "n"])
 
-    return hashed.select("key", "ord", "h", "n").mapInArrow(run, "key long, ord long, idx int, h long, n int")
+    return map_arrow(hashed.select("key", "ord", "h", "n"), run, "key long, ord long, idx int, h long, n int")
 
 
 def _long_runs(repeated: DataFrame, min_words: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _long_runs(repeated: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(idx[ok]), pa.array(h[ok])], names=["key", "idx", "h"])
 
     lists = repeated.groupBy("key").agg(F.collect_list(F.struct("idx", "n", "h")).alias("chunks"))
-    return lists.mapInArrow(run, "key long, idx int, h long")
+    return map_arrow(lists, run, "key long, idx int, h long")
 
 
 def _chunk_texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _chunk_texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
                 key, ord_ = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ord_), pa.array(place.astype(np.int32)), pa.array(h[ok]), pa.array(pieces, pa.binary())], names=["key", "ord", "idx", "h", "piece"])
 
-    return hashed.select("key", "ord", "text", "h", "a", "b").mapInArrow(run, "key long, ord long, idx int, h long, piece binary")
+    return map_arrow(hashed.select("key", "ord", "text", "h", "a", "b"), run, "key long, ord long, idx int, h long, piece binary")
 
 
 def repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -46,12 +46,8 @@ class Machine:
     factors: np.ndarray  # one row for each bucket
     bits: int
 
-    def score(self, buckets: np.ndarray) -> float:
-        if len(self.buckets):
-            at = np.minimum(np.searchsorted(self.buckets, buckets), len(self.buckets) - 1)
-            at = at[self.buckets[at] == buckets]
-        else:
-            at = np.empty(0, np.int64)
+    def score(self, at: np.ndarray) -> float:
+        """The score of a text with these places among the selected buckets."""
         return float(1 / (1 + np.exp(-np.clip(self.bias + margin(self.linear[at], self.factors[at]), -40, 40))))
 
 
@@ -60,24 +56,31 @@ def margin(linear: np.ndarray, factors: np.ndarray) -> float:
     return linear.sum() + 0.5 * float((total * total).sum() - (factors * factors).sum())
 
 
-class Terms:
-    """Text -> sorted distinct buckets; remembers the buckets of words it has met."""
+class Terms(dict):
+    """word -> its buckets, or its places among the ``selected`` ones; of ``limit`` words at most."""
 
-    def __init__(self, bits: int, limit: int = 300_000):
-        self.mask, self.known, self.limit = (1 << bits) - 1, {}, limit
+    def __init__(self, bits: int, selected: np.ndarray | None = None, limit: int = 100_000):
+        super().__init__()
+        self.mask, self.limit = (1 << bits) - 1, limit
+        self.places = None if selected is None else {b: i for i, b in enumerate(selected.tolist())}
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            forms = ["=" + word, *(f"{n}{word[:n]}" for n in STEMS if len(word) >= n)]
-            found = self.known[word] = tuple(zlib.crc32(x.encode()) & self.mask for x in forms)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.limit:
+            self.clear()
+        forms = ["=" + word, *(f"{n}{word[:n]}" for n in STEMS if len(word) >= n)]
+        buckets = [zlib.crc32(x.encode()) & self.mask for x in forms]
+        if self.places is not None:
+            buckets = [self.places[b] for b in buckets if b in self.places]
+        found = self[word] = tuple(buckets)
         return found
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = set(_LETTERS.findall(text.lower())) if text else ()
-        return np.unique(np.fromiter((b for w in words for b in self.of_word(w)), np.int64))
+    def of_text(self, text: str | None) -> np.ndarray:
+        """Sorted distinct buckets or places of a text."""
+        found: set[int] = set()
+        for word in set(_LETTERS.findall(text.lower())) if text else ():
+            if some := self[word]:
+                found.update(some)
+        return np.array(sorted(found), np.int64)
 
 
 def train_rows(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -91,7 +94,7 @@ def held_out(column: str):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, epochs: int, rate: float, decay: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, epochs: int, rate: float, decay: float, pair_decay: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Adam on the log loss, in mini-batches; x holds positions among the buckets."""
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(n_buckets), rng.normal(0, 0.01, (n_buckets, rank)), np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))])
@@ -117,7 +120,7 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
             np.add.at(gw, ids, g[of])
             np.add.at(gv, ids, g[of, None] * (total[of] - vi))
             step += 1
-            for p_, g_, s in zip((b, w, v), (np.array([g.sum()]), gw + decay * w / len(x), gv + decay * v / len(x)), state, strict=True):
+            for p_, g_, s in zip((b, w, v), (np.array([g.sum()]), gw + decay * w / len(x), gv + pair_decay * v / len(x)), state, strict=True):
                 s[0] += 0.1 * (g_ - s[0])
                 s[1] += 0.001 * (g_ * g_ - s[1])
                 p_ -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
@@ -125,7 +128,7 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_chi2: float = 25.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.02, seed: int = 7
+    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_chi2: float = 25.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
 ) -> Machine:
     """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` bounds the model."""
     spark = documents.sparkSession
@@ -134,7 +137,7 @@ def fit(
 
     def make():
         terms = Terms(bits)
-        return lambda row: [(row[0], int(row[2]), terms(row[1]).tolist())]
+        return lambda row: [(row[0], int(row[2]), terms.of_text(row[1]).tolist())]
 
     seen = materialize(map_rows(docs, make, "doc_id long, y int, buckets array<int>", limit=100), "toxic-terms")
     n, pos = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -162,7 +165,7 @@ def fit(
     release(seen)
     kept.sort(key=lambda r: (r["doc_id"], r["y"], r["at"]))
     x, y = [np.array(r["at"], np.int64) for r in kept], np.array([r["y"] for r in kept], float)
-    bias, linear, factors = fit_machine(x, y, len(buckets), rank, epochs, rate, decay, seed)
+    bias, linear, factors = fit_machine(x, y, len(buckets), rank, epochs, rate, decay, pair_decay, seed)
     return Machine(bias, buckets, linear, factors, bits)
 
 
@@ -176,11 +179,11 @@ def score(documents: DataFrame, machine: Machine, columns: tuple[str, ...] = ("d
 
     def make():
         m = shared.value
-        terms = Terms(m.bits)
+        terms = Terms(m.bits, m.buckets)
 
         def each(row):
             text = row[0]["text"] if "text" in row[0] else row[1]
-            return [(row[0], m.score(terms(text)))]
+            return [(row[0], m.score(terms.of_text(text)))]
 
         return each
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .arrowio import batched, rows_of
+from .arrowio import batched, map_arrow, rows_of
 
 INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
@@ -134,7 +134,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
                 offset += len(member)
                 first = next(rows, None)
 
-    index = todo.mapInArrow(lambda batches: batched(store(rows_of(batches, 64)), arrow), schema)
+    index = map_arrow(todo, lambda batches: batched(store(rows_of(batches, 64)), arrow), schema)
     return materialize(index, "warc-index")
 
 
@@ -172,7 +172,7 @@ def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20
                 yield parse(zlib.decompress(data[offset - start : offset - start + length], 31))
 
     wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return wanted.mapInArrow(lambda batches: batched(load(rows_of(batches)), arrow, 100), schema)
+    return map_arrow(wanted, lambda batches: batched(load(rows_of(batches)), arrow, 100), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
