@@ -9,8 +9,9 @@ over the buckets present, so a pair of terms can weigh more, or less, than the
 sum of its parts. Fitting has two steps, both on a sample of the labelled rows
 that is bounded by ``max_rows`` (the rows with the smallest hash of doc_id):
 
-1. buckets whose presence depends on the label (chi-squared over ``min_chi2``)
-   are selected, counted with Spark over the whole sample;
+1. buckets whose presence makes the label likelier (chi-squared over
+   ``min_chi2``, in ``min_df`` rows or more) are selected, counted with Spark over
+   the whole sample;
 2. the machine is fitted to the selected buckets with Adam in the driver.
 
 Buckets not selected have no weight, so the length of a text adds no noise.
@@ -128,7 +129,7 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_chi2: float = 25.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
+    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_df: int = 10, min_chi2: float = 80.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
 ) -> Machine:
     """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` bounds the model."""
     spark = documents.sparkSession
@@ -148,7 +149,7 @@ def fit(
     a, c = F.col("pos").cast("double"), F.col("df").cast("double")
     chi2 = n * F.pow(a * n - c * pos, F.lit(2)) / (c * (n - c) * pos * (n - pos))
     counts = seen.select(F.explode("buckets").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
-    chosen = counts.where("df >= 3").where(c < n).where(chi2 >= min_chi2).orderBy(chi2.desc(), "bucket").limit(max_buckets)
+    chosen = counts.where(F.col("df") >= min_df).where(c < n).where(a * n > c * pos).where(chi2 >= min_chi2).orderBy(chi2.desc(), "bucket").limit(max_buckets)
     buckets = np.array(sorted(r["bucket"] for r in chosen.select("bucket").collect()), np.int64)
 
     def keep_make():
