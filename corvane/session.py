@@ -61,6 +61,7 @@ def release(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the rows of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(df: DataFrame, unknown: int = 1 << 28) -> int:
+    """Catalyst's size estimate of the rows of ``df``; ``unknown`` where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else unknown
