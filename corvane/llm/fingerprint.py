@@ -112,7 +112,7 @@ def in_order(documents: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = documents.sparkSession
     if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(documents) >> 26)
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(plan_bytes(documents) >> 26, 100_000))
     steps = [i / partitions for i in range(1, partitions + 1)]
     found = documents.select(F.percentile_approx("doc_id", steps, max(10_000, 10 * partitions)).alias("q"), F.max("doc_id").alias("m")).first()
     borders = np.array(sorted({*(found["q"] or ()), *([] if found["m"] is None else [found["m"]])}), np.int64)
@@ -162,10 +162,10 @@ def compare_with_next(documents: DataFrame, partitions: int | None = None) -> Da
         held = None
         for run, follows, doc_id, text in rows_of(batches, 64):
             text = text or ""
-            if held and (held[0] != run or held[3] is None):
-                held = None  # the rest of a run's followers
+            if held and held[0] != run:
+                held = None
             if follows and held is None:
-                continue
+                continue  # a run needs one follower only
             chunks = chunk_set(text)
             if held:
                 _, old_id, old, had = held

@@ -16,6 +16,9 @@ from corvane.llm.words import letter_words, words_of
 VOCAB = [f"w{i}" for i in range(400)]
 
 
+LETTERS = ["".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(400)]
+
+
 def words(rng, n):
     return [rng.choice(VOCAB) for _ in range(n)]
 
@@ -172,8 +175,9 @@ def test_pii_base():
 
 
 def test_pii_terms(spark):
-    fill = [" ".join(words(random.Random(i), 30)) + f" user{i}@mail.example.com " + " ".join(words(random.Random(-i), 30)) for i in range(20)]
-    told = [" ".join(words(random.Random(100 + i), 20)) + " boss Zorro likes x@y.org " + " ".join(words(random.Random(200 + i), 20)) for i in range(3)]
+    some = lambda seed: " ".join(random.Random(seed).choices(LETTERS, k=25))
+    fill = [f"{some(i)} user{i}@mail.example.com {some(1000 + i)}" for i in range(20)]
+    told = [f"{some(100 + i)} boss Zorro likes x@y.org {some(200 + i)}" for i in range(3)]
     texts = [*fill, *told, told[0], None, "", "plain"]
     rows = {r.doc_id: r for r in pii.report(frame(spark, texts)).collect()}
     assert len(rows) == len(texts) and rows[24].spans == "" and rows[25].n_email == 0
@@ -297,11 +301,11 @@ def test_toxicity(spark):
         labels.append((i, 1, int(kind == 0)))
     lab = spark.createDataFrame(labels + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     docs = frame(spark, [*texts, None, ""])
-    rows = toxicity.report(docs, lab, epochs=60).collect()
+    rows = toxicity.report(docs, lab, epochs=60, min_chi2=10).collect()
     held = [r for r in rows if r.held_out and r.doc_id < 900]
     assert len(rows) == 902 and sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95  # not linear in the terms
     assert all(0 <= r.score <= 1 for r in rows)
-    kept = toxicity.drop_toxic(docs, lab, epochs=60)
+    kept = toxicity.drop_toxic(docs, lab, epochs=60, min_chi2=10)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.score < 0.7}
     none = toxicity.report(docs, lab.limit(0))
     assert none.where("score < 1e-6").count() == 902
