@@ -7,8 +7,10 @@ is missing (tests, notebooks) a temporary folder is used, in local mode only.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def import_path(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
 
