@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import import_path
+
 
 BATCH_ROWS = 1000
 _LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -21,6 +23,7 @@ _LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over batches of bounded size; unused memory goes back after a task."""
+    import_path(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_LIMIT)) <= BATCH_ROWS:
         conf.set(_LIMIT, str(BATCH_ROWS))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import import_path
+
 MOST_BITS = 26
 HASHES = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +43,7 @@ class Bloom:
 
 def build(keys: DataFrame, column: str) -> Bloom:
     """Over the non-null longs of ``column``."""
+    import_path(keys.sparkSession)
     n = keys.count()
     bits = max(12, min(MOST_BITS, (12 * max(1, n)).bit_length()))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import plan_bytes
+from ..session import import_path, plan_bytes
 from .arrowio import batched, map_arrow, rows_of
 
 AVERAGE, LEAST, MOST = 64, 16, 256
@@ -111,6 +111,7 @@ def in_order(documents: DataFrame, partitions: int | None = None) -> DataFrame:
     are ids of the table, so that each run's follower is known from its id.
     """
     spark = documents.sparkSession
+    import_path(spark)
     if partitions is None:
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(plan_bytes(documents) >> 26, 100_000))
     steps = [i / partitions for i in range(1, partitions + 1)]
