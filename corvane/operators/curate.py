@@ -72,17 +72,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and sh: hashes of the distinct word shingles; short texts are one shingle."""
-    toks = docs.select("doc_id", document_tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    grams = F.when(F.size("toks") >= width, word_ngrams(F.col("toks"), width)).otherwise(F.array(F.array_join("toks", " ")))
+    toks = docs.select("doc_id", document_tokens(F.col("text")).alias("toks"))
+    short = F.filter(F.array(F.array_join("toks", " ")), lambda s: s != "")
+    grams = F.when(F.size("toks") >= width, word_ngrams(F.col("toks"), width)).otherwise(short)
     return toks.select("doc_id", grams.alias("g")).select("doc_id", F.array_distinct(F.transform("g", lambda s: F.xxhash64(s))).alias("sh"))
 
 
 def minhash_bands(docs: DataFrame, width: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
     """doc_id, band and key: minima of seeded hashes over word shingles, ``rows`` a band."""
-    low = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform("sh", lambda h: F.xxhash64(h, i))))
-    signed = shingle_hashes(docs, width).select("doc_id", low.alias("low"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("low", b * rows + 1, F.lit(rows))))
-    return signed.select("doc_id", F.posexplode(keys).alias("band", "key"))
+    # an outer explode: for an inner one Spark infers a filter and repeats the whole expression in it
+    each = shingle_hashes(docs, width).select("doc_id", F.explode_outer("sh").alias("h")).where("h is not null")
+    low = each.groupBy("doc_id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)])
+    keys = F.array(*[F.xxhash64(*[f"m{i}" for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)])
+    return low.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
 def fuzzy_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
@@ -134,7 +136,7 @@ def mixture_quota(df: DataFrame, label: str, quotas: dict[str, int], order: list
 def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """item_id, doc_id and n_shared: distinct word n-grams that both hold."""
     tokens = lambda df, key: df.select(key, document_tokens(F.col("text")).alias("toks"))
-    grams = lambda df, key: tokens(df, key).select(key, F.explode(F.array_distinct(word_ngrams(F.col("toks"), n))).alias("g"))
+    grams = lambda df, key: tokens(df, key).select(key, F.explode_outer(F.array_distinct(word_ngrams(F.col("toks"), n))).alias("g")).where("g is not null")
     wanted = grams(items, "item_id")
     few = F.broadcast(wanted) if wanted.limit(200_001).count() <= 200_000 else wanted
     return grams(docs, "doc_id").join(few, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))

@@ -36,7 +36,8 @@ def small(df: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term and how often the query has it."""
-    return queries.select("query_id", F.explode(query_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    each = queries.select("query_id", F.explode_outer(query_tokens(F.col("query"))).alias("term")).where("term is not null")
+    return each.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
 def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -44,10 +45,18 @@ def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", document_tokens(F.col(text)).alias("toks")).withColumn("len", F.size("toks").cast("long"))
 
 
+def terms_of(toks: DataFrame) -> DataFrame:
+    """doc_id, len and term of every token.
+
+    An outer explode: for an inner one Spark infers a filter on the array's
+    size, which would tokenise every text a second time.
+    """
+    return toks.select("doc_id", "len", F.explode_outer("toks").alias("term")).where("term is not null")
+
+
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term, tf and len: the inverted index, to be written by term."""
-    each = tokenised(docs, text).select("doc_id", "len", F.explode("toks").alias("term"))
-    return each.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    return terms_of(tokenised(docs, text)).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -68,7 +77,7 @@ def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", decimals: int
     terms = query_terms(queries)
     wanted = small(terms.select("term").distinct())
     toks = tokenised(docs, text)
-    each = toks.select("doc_id", "len", F.explode("toks").alias("term")).join(wanted, "term")
+    each = terms_of(toks).join(wanted, "term")
     return bm25_of_postings(terms, each.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), toks.agg(F.count("*"), F.avg("len")).first(), decimals)
 
 
