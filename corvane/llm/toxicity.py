@@ -9,10 +9,13 @@ over the buckets present, so a pair of terms can weigh more, or less, than the
 sum of its parts. Fitting has two steps, both on a sample of the labelled rows
 that is bounded by ``max_rows`` (the rows with the smallest hash of doc_id):
 
-1. buckets whose presence makes the label likelier (chi-squared over
-   ``min_chi2``, in ``min_df`` rows or more) are selected, counted with Spark over
-   the whole sample;
-2. the machine is fitted to the selected buckets with Adam in the driver.
+1. the ``max_buckets`` buckets that tell most about the label are selected, by
+   rank of chi-squared and without a floor, so that few rows select by the same
+   rule as many; to them come the ``pair_buckets`` most frequent others, which
+   get no weight of their own but may weigh in pairs. Counted with Spark over the
+   whole sample;
+2. the machine is fitted to the selected buckets with Adam in the driver, in
+   ``steps`` steps at least.
 
 Buckets not selected have no weight, so the length of a text adds no noise.
 
@@ -95,8 +98,13 @@ def held_out(column: str):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, epochs: int, rate: float, decay: float, pair_decay: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the log loss, in mini-batches; x holds positions among the buckets."""
+def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, epochs: int, rate: float, decay: float, pair_decay: float, seed: int, alone: np.ndarray | None = None, steps: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the log loss, in mini-batches; x holds positions among the buckets.
+
+    Buckets where ``alone`` is 0 get factors, but no linear weight. There are
+    ``steps`` steps at least, so that few rows are fitted as far as many.
+    """
+    epochs = max(epochs, -(-steps // max(1, -(-len(x) // 256))))
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(n_buckets), rng.normal(0, 0.01, (n_buckets, rank)), np.array([np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (b, w, v)]
@@ -120,6 +128,8 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
             gw, gv = np.zeros_like(w), np.zeros_like(v)
             np.add.at(gw, ids, g[of])
             np.add.at(gv, ids, g[of, None] * (total[of] - vi))
+            if alone is not None:
+                gw *= alone
             step += 1
             for p_, g_, s in zip((b, w, v), (np.array([g.sum()]), gw + decay * w / len(x), gv + pair_decay * v / len(x)), state, strict=True):
                 s[0] += 0.1 * (g_ - s[0])
@@ -129,9 +139,9 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_df: int = 10, min_chi2: float = 80.0, max_buckets: int = 8192, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
+    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_df: int = 1, min_chi2: float = 0.0, max_buckets: int = 256, pair_buckets: int = 64, steps: int = 2000, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
 ) -> Machine:
-    """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` bounds the model."""
+    """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` and ``pair_buckets`` bound the model."""
     spark = documents.sparkSession
     sample = train_rows(labels, max_rows)  # bounded, so that broadcasting it is safe
     docs = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
@@ -148,9 +158,14 @@ def fit(
         return Machine(float(np.log(share / (1 - share))), np.empty(0, np.int64), np.empty(0), np.empty((0, rank)), bits)
     a, c = F.col("pos").cast("double"), F.col("df").cast("double")
     chi2 = n * F.pow(a * n - c * pos, F.lit(2)) / (c * (n - c) * pos * (n - pos))
-    counts = seen.select(F.explode("buckets").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
-    chosen = counts.where(F.col("df") >= min_df).where(c < n).where(a * n > c * pos).where(chi2 >= min_chi2).orderBy(chi2.desc(), "bucket").limit(max_buckets)
-    buckets = np.array(sorted(r["bucket"] for r in chosen.select("bucket").collect()), np.int64)
+    grouped = seen.select(F.explode("buckets").alias("bucket"), "y").groupBy("bucket").agg(F.count("*").alias("df"), F.sum("y").alias("pos"))
+    counts = materialize(grouped.where(c < n), "toxic-counts")  # 2**bits rows at most
+    telling = counts.where(F.col("df") >= min_df).where((chi2 > 0) & (chi2 >= min_chi2)).orderBy(chi2.desc(), "bucket").limit(max_buckets)
+    weighed = [r["bucket"] for r in telling.select("bucket").collect()]
+    frequent = counts.where(~F.col("bucket").isin(weighed)).orderBy(F.desc("df"), "bucket").limit(pair_buckets)
+    buckets = np.array(sorted(weighed + [r["bucket"] for r in frequent.select("bucket").collect()]), np.int64)
+    alone = np.isin(buckets, weighed).astype(float)
+    release(counts)
 
     def keep_make():
         wanted = buckets
@@ -166,7 +181,7 @@ def fit(
     release(seen)
     kept.sort(key=lambda r: (r["doc_id"], r["y"], r["at"]))
     x, y = [np.array(r["at"], np.int64) for r in kept], np.array([r["y"] for r in kept], float)
-    bias, linear, factors = fit_machine(x, y, len(buckets), rank, epochs, rate, decay, pair_decay, seed)
+    bias, linear, factors = fit_machine(x, y, len(buckets), rank, epochs, rate, decay, pair_decay, seed, alone, steps)
     return Machine(bias, buckets, linear, factors, bits)
 
 

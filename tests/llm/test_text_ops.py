@@ -311,6 +311,24 @@ def test_toxicity(spark):
     assert none.where("score < 1e-6").count() == 902
 
 
+def test_toxicity_of_any_size(spark):
+    """The defaults find terms in few rows, too, and keep frequent terms for pairs."""
+    rng = random.Random(8)
+    for n in (120, 900):
+        texts, labels = [], []
+        for i in range(n):
+            t, kind = words(rng, 20), i % 4
+            t += [rng.choice(["bad", "vile"])] * (kind in (0, 1)) + ["folk"] * (kind in (0, 2))
+            texts.append(" ".join(t))
+            labels.append((i, 1, int(kind == 0)))
+        lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        held = toxicity.report(frame(spark, texts), lab).where("held_out").collect()
+        assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+    machine = toxicity.fit(frame(spark, texts), lab, max_buckets=2)
+    place = machine.buckets.tolist().index(toxicity.Terms(machine.bits)["folk"][0])
+    assert len(machine.buckets) > 2 and np.count_nonzero(machine.linear) == 2 and np.abs(machine.factors[place]).sum() > 0
+
+
 def test_mixing(spark):
     duckdb = pytest.importorskip("duckdb")
     rng = random.Random(9)
