@@ -4,32 +4,37 @@ Base kinds, leftmost and non-overlapping within a kind: ``email``, ``ip``,
 ``card`` (16 to 19 digits that pass the Luhn check) and ``phone`` (8 to 15
 digits). The values found are the protected entities.
 
-A term near an entity can give it away even when the entity itself is masked.
-Terms are the words within ``reach`` words of an occurrence, on either side;
-such a window is a context, and equal windows around an entity count once, so
-copies of a text are no evidence. Over all contexts of the corpus,
+A term that goes with an entity can give it away even when the entity itself is
+masked. Terms are the words outside of base spans; a document is a context, with
+or without an entity, and equal texts count once, so copies of a text are no
+evidence. With N texts in the corpus, n(t) of them with the term, n(e) with the
+entity and n(e,t) with both,
 
     PMI(e; t) = log2(n(e,t) N / (n(e) n(t))),   IC(e) = log2(N / n(e)),
 
-and a term discloses e if it occurs in ``support`` contexts of e or more and
-PMI(e; t) >= ``disclosure`` * IC(e). Its occurrences near e become spans of
-kind ``term``; :func:`sanitise` generalises base spans to their kind and
-removes terms.
+and a term discloses e if it occurs with e in ``support`` texts or more and
+PMI(e; t) >= ``disclosure`` * IC(e). Its occurrences in texts with e become spans
+of kind ``term``; :func:`sanitise` generalises base spans to their kind and
+removes terms. As n(e,t) <= n(e), only terms with n(t) <= N (n(e) / N)**disclosure
+can disclose e, so no others are paired with it.
 
 Defined results: null text is empty; every row gives one row, repeated rows and
-repeated or null doc_ids included; a corpus without contexts has no terms.
+repeated or null doc_ids included; a corpus without entities has no terms.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..session import materialize
-from .arrowio import map_rows
+from ..session import materialize, release
+from . import bloom
+from .arrowio import batched, map_arrow, rows_of
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,83 +99,122 @@ def show(kind: str, spans: list[tuple[int, int]]) -> list[str]:
     return [f"{kind}:{a}:{b}" for a, b in spans]
 
 
-def contexts(text: str, spans: dict[str, list[tuple[int, int]]], reach: int) -> list[dict]:
-    """One for each occurrence: entity, digest of its window, terms with offsets."""
-    flat = sorted((a, b, k) for k, v in spans.items() for a, b in v)
-    taken = []
-    for a, b, _ in flat:
-        if taken and a <= taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], b)
-        else:
-            taken.append([a, b])
-    out = []
-    for a, b, kind in flat:
-        # at most as many characters as `reach` words can plausibly have, then whole words only
-        low, high = max(0, a - 64 * reach), min(len(text), b + 64 * reach)
-        while low > 0 and not text[low - 1].isspace() and a - low < 128 * reach:
-            low -= 1
-        while high < len(text) and not text[high].isspace() and high - b < 128 * reach:
-            high += 1
-        words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text, low, high)]
-        words = [w for w in words if not any(w[0] < y and x < w[1] for x, y in taken if y > low and x < high)]
-        near = [w for w in words if w[1] <= a][-reach:] + [w for w in words if w[0] >= b][:reach]
-        digest = hashlib.md5(" ".join(w[2] for w in near).encode()).hexdigest()
-        out.append({"entity": entity_value(kind, text[a:b]), "context": digest, "terms": [{"term": w, "start": x, "end": y} for x, y, w in near]})
+def entities(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[str]:
+    return sorted({entity_value(kind, text[a:b]) for kind, v in spans.items() for a, b in v})
+
+
+def words_outside(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[dict]:
+    """The words that overlap no base span, with their offsets."""
+    taken = sorted(x for v in spans.values() for x in v)
+    out, at, reached = [], 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(taken) and taken[at][0] < b:
+            reached = max(reached, taken[at][1])
+            at += 1
+        if reached <= a:
+            out.append({"term": m[0].lower(), "start": a, "end": b})
     return out
 
 
+#: A row of the documents, or (``row`` is null) the number of a task's texts that hold a term.
 _ROW = (
-    "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-    "contexts array<struct<entity:string,context:string,terms:array<struct<term:string,start:int,end:int>>>>"
+    "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base string, digest string, "
+    "entities array<string>, words array<struct<term:string,start:int,end:int>>, terms array<string>, term string, n_t long"
 )
 
 
-def scan(documents: DataFrame, reach: int = 8) -> DataFrame:
-    """Base spans and contexts of every row; ``row`` numbers the rows."""
+def scan(documents: DataFrame, most_terms: int = 100_000) -> DataFrame:
+    """Base spans of every row, the words of rows with an entity, and counts of terms.
 
-    def make():
-        def each(r):
-            doc_id, text, row = r
+    ``row`` numbers the rows. Terms are counted in the task, ``most_terms`` at a
+    time; texts that may have copies are left out of that and give their terms.
+    """
+    spark = documents.sparkSession
+    digest, h = F.md5(F.col("text").cast("binary")), F.xxhash64("text")
+    groups = documents.where("text <> ''").groupBy(digest.alias("digest"), h.alias("h")).agg(F.count("*").alias("n"))
+    copies = materialize(groups.where("n > 1").select("h"), "pii-copies")
+    shared = spark.sparkContext.broadcast(bloom.build(copies, "h"))
+    release(copies)
+    schema = StructType.fromDDL(_ROW)
+    arrow = to_arrow_schema(schema)
+
+    def rows(batches):
+        held: Counter[str] = Counter()
+        import numpy as np
+
+        for doc_id, text, row, digest, h in rows_of(batches):
             found = base_spans(text)
             base = ",".join(x for k in KINDS for x in show(k, found[k]))
-            return [(doc_id, row, *(len(found[k]) for k in KINDS), base, contexts(text, found, reach) if base else [])]
+            words = words_outside(text, found) if base else None
+            terms = None
+            if text:
+                terms = {w["term"] for w in words} if base else {w.lower() for w in set(_WORD.findall(text))}
+                if not shared.value.contains(np.array([h], np.int64))[0]:
+                    held.update(terms)
+                    terms = None
+            yield (doc_id, row, *(len(found[k]) for k in KINDS), base, digest if text else None, entities(text, found) if base else None, words, terms and sorted(terms), None, None)
+            if len(held) > most_terms:
+                yield from ((*[None] * 11, *x) for x in held.items())
+                held.clear()
+        yield from ((*[None] * 11, *x) for x in held.items())
+
+    numbered = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), digest.alias("digest"), h.alias("h"))
+    return map_arrow(numbered, lambda batches: batched(rows(batches), arrow, 500), schema)
+
+
+def term_counts(scanned: DataFrame) -> DataFrame:
+    """term and n_t: the number of different texts that hold it."""
+    again = scanned.where("terms is not null")
+    once = again.groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    ones = again.select("row", "terms").join(once, "row").select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n_t"))
+    return scanned.where("term is not null").select("term", "n_t").unionAll(ones).groupBy("term").agg(F.sum("n_t").alias("n_t"))
+
+
+def rare_pairs(texts: DataFrame, counts: DataFrame, n: int, disclosure: float) -> DataFrame:
+    """row, entity, term, n_e and n_t of the terms that are rare enough to disclose the entity."""
+
+    def most(n_e: Column) -> Column:
+        return F.pow(n_e / n, F.lit(disclosure)) * (n * (1 + 1e-9))
+
+    held = texts.select("row", F.explode("entities").alias("entity"))
+    known = materialize(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")), "entity").select("row", "entity", "n_e"), "pii-entities")
+    bounds = known.groupBy("row").agg(most(F.max("n_e")).alias("most"))
+    terms = texts.select("row", F.explode(F.array_distinct("words.term")).alias("term")).join(bounds, "row")
+    rare = materialize(terms.join(counts, "term").where("n_t <= most").select("row", "term", "n_t"), "pii-rare")
+    out = materialize(rare.join(known, "row").where(F.col("n_t") <= most(F.col("n_e"))).select("row", "entity", "term", "n_e", "n_t"), "pii-pairs")
+    for table in (known, rare):
+        release(table)
+    return out
 
-        return each
 
-    return map_rows(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), make, _ROW)
+def disclosing_terms(pairs: DataFrame, n: int, support: int = 1, disclosure: float = 0.8) -> DataFrame:
+    """entity, term, pmi, ic of the terms over the threshold."""
+    joint = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    total = F.lit(float(n))
+    scored = joint.select("entity", "term", F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))).alias("pmi"), F.log2(total / F.col("n_e")).alias("ic"))
+    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic") - 1e-9))
 
 
-def disclosing_terms(scanned: DataFrame, support: int = 2, disclosure: float = 0.8) -> DataFrame:
-    """entity, term, pmi, ic of the terms over the threshold."""
-    seen = scanned.where("size(contexts) > 0").select(F.explode("contexts").alias("c"))
-    once = seen.groupBy("c.entity", "c.context").agg(F.first("c.terms.term").alias("terms"))
-    per_entity = once.groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = per_entity.agg(F.sum("n_e").alias("n"))  # one row
-    pairs = once.select("entity", F.explode(F.array_distinct("terms")).alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    per_term = joint.groupBy("term").agg(F.sum("n_et").alias("n_t"))
-    n = F.col("n").cast("double")
-    scored = (
-        joint.where(F.col("n_et") >= support)
-        .join(per_entity, "entity")
-        .join(per_term, "term")
-        .join(F.broadcast(total))
-        .select("entity", "term", F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))).alias("pmi"), F.log2(n / F.col("n_e")).alias("ic"))
-    )
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
-
-
-def all_spans(documents: DataFrame, reach: int = 8, support: int = 2, disclosure: float = 0.8) -> DataFrame:
+def all_spans(documents: DataFrame, support: int = 1, disclosure: float = 0.8) -> DataFrame:
     """doc_id, the counts, base (string) and term_spans of every row.
 
     The scan is written to a scratch table, so its row numbers stay as they are.
     """
-    scanned = materialize(scan(documents, reach), "pii-scan")
-    terms = disclosing_terms(scanned, support, disclosure).select("entity", "term")
-    near = scanned.where("size(contexts) > 0").select("row", F.explode("contexts").alias("c")).select("row", "c.entity", F.explode("c.terms").alias("t"))
-    hits = near.select("row", "entity", "t.term", "t.start", "t.end").join(terms, ["entity", "term"])
-    of_row = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("term_spans"))
-    return scanned.drop("contexts").join(of_row, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int>>")))
+    scanned = materialize(scan(documents), "pii-scan")
+    rows = scanned.where("row is not null")
+    n = rows.where("digest is not null").select("digest").distinct().count()
+    near = rows.where("size(entities) > 0")
+    once = near.groupBy("digest").agg(F.min("row").alias("row")).select("row")
+    texts = materialize(near.select("row", "digest", "entities", "words").join(once, "row"), "pii-texts")
+    pairs = rare_pairs(texts, term_counts(scanned), n, disclosure)
+    told = disclosing_terms(pairs, n, support, disclosure).select("entity", "term")
+    hits = pairs.join(told, ["entity", "term"]).select("row", "term").distinct()
+    words = texts.select("row", "digest", F.explode("words").alias("w")).select("row", "digest", "w.term", "w.start", "w.end")
+    of_text = words.join(hits, ["row", "term"]).groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("term_spans"))
+    of_row = near.select("row", "digest").join(of_text, "digest").select("row", "term_spans")
+    base = rows.select("doc_id", "row", *[f"n_{k}" for k in KINDS], "base")
+    return base.join(of_row, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast("array<struct<start:int,end:int>>")))
 
 
 def report(documents: DataFrame, **options) -> DataFrame:

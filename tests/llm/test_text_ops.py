@@ -193,6 +193,32 @@ def test_pii_terms(spark):
     assert pii.report(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_pii_terms_of_the_corpus(spark):
+    """Against counts over whole texts: far words, entities of one text, terms that are common elsewhere."""
+    rng = random.Random(3)
+    fill = [" ".join(rng.choices(LETTERS, k=30)) for _ in range(60)]
+    texts = [f"Zorro {fill[0]} me@a.org {fill[1]} Tango", f"{fill[2]} Samba you@b.org", f"{fill[3]} you@b.org Samba"]
+    texts += [*[f"{x} samba" for x in fill[4:40]], *[f"{x} 10.0.0.{i % 3}" for i, x in enumerate(fill[40:])], None, "", "plain"]
+    texts += [texts[0], texts[1], texts[5], texts[5]]
+    held = {t: ({pii.entity_value(k, t[a:b]) for k, v in pii.base_spans(t).items() for a, b in v}, pii.words_outside(t, pii.base_spans(t))) for t in texts if t}
+    n_t, n_e, both = Counter(), Counter(), Counter()
+    for found, ws in held.values():
+        ts = {w["term"] for w in ws}
+        n_t.update(ts)
+        n_e.update(found)
+        both.update((e, t) for e in found for t in ts)
+    n = len(held)
+    told = {(e, t) for (e, t), k in both.items() if np.log2(k * n / (n_e[e] * n_t[t])) >= 0.8 * np.log2(n / n_e[e]) - 1e-9}
+    rows = {r.doc_id: r.spans for r in pii.report(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        found, ws = held.get(t, (set(), []))
+        want = {f"term:{w['start']}:{w['end']}" for w in ws if any((e, w["term"]) in told for e in found)}
+        assert {x for x in rows[i].split(",") if x.startswith("term")} == want, t
+    for i in (0, len(texts) - 4):
+        assert "term:0:5" in rows[i] and f"term:{len(texts[0]) - 5}:{len(texts[0])}" in rows[i]
+    assert f"term:{texts[1].index('Samba')}:" not in rows[1]
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li>Menu</li></ul></nav>
     <div class="ad">Buy</div><article><h1>Head &amp; more</h1><p><b>One  two<br><p>Three &lt;x&gt;&nbsp;y<div class="comments"><p>First!</p></div><aside>side</aside><form>f</form><p>5 < 6</p></article>
