@@ -4,10 +4,10 @@ Markup is stripped into lines, one for each block of text. Parts that are not
 content by their element, role, class or id leave an empty line. Over windows of
 ``WINDOW`` lines the text lengths are summed; the text begins at a surge (a
 window above the threshold that is followed by non-empty windows) and ends at a
-dive (a window without any text), and what lies between is kept. Inside
-``article`` or ``main`` every line belongs to the content, so there the
-threshold is 0; elsewhere the largest stretch between surge and dive is kept,
-with those at least a third as long.
+dive (a window without any text), and what lies between is kept: the largest
+stretch between surge and dive, with those at least a third as long. Inside
+``article`` or ``main`` every line belongs to the content, so where a page has
+text there, all of that is kept and nothing else.
 
 Defined results: null, empty and text-free pages give an empty text; an
 unclosed element that would be left out ends at the next ``article`` or
@@ -149,16 +149,12 @@ def extract(html: str | None) -> str:
     """The main text: its blocks, one a line."""
     lines = blocks(html) if html else []
     if any(inside and text for text, inside in lines):
-        lines = [(text if inside else "", inside) for text, inside in lines]
-        lengths = [len(text) for text, _ in lines]
-        # within article and main a line without successors is content too
-        kept = stretches([*lengths, *[1] * WINDOW], 0)
-    else:
-        lengths = [len(text) for text, _ in lines]
-        threshold = min(86, max(lengths, default=0) // 2)
-        found = stretches(lengths, threshold) or [(0, len(lines))]
-        total = [sum(lengths[a:b]) for a, b in found]
-        kept = [r for r, t in zip(found, total, strict=True) if 3 * t >= max(total)]
+        return "\n".join(text for text, inside in lines if inside and text)
+    lengths = [len(text) for text, _ in lines]
+    threshold = min(86, max(lengths, default=0) // 2)
+    found = stretches(lengths, threshold) or [(0, len(lines))]
+    total = [sum(lengths[a:b]) for a, b in found]
+    kept = [r for r, t in zip(found, total, strict=True) if 3 * t >= max(total)]
     return "\n".join(text for a, b in kept for text, _ in lines[a:b] if text)
 
 

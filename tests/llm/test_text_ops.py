@@ -233,6 +233,15 @@ def test_html(spark):
     assert {r.page_id: (r.url, r.n_chars) for r in html.report(df).collect()} == {1: ("u", len(html.extract(page))), 2: (None, 0)}
 
 
+def test_html_keeps_a_lead_before_left_out_parts():
+    """Inside article and main nothing is dropped, however many parts are left out after a line."""
+    out = '<div class="share">s</div><div class="advert">a</div><form>newsletter</form>'
+    page = f"<main><h1>Head</h1><p>{'lead ' * 20}</p>{out}<p>{'body ' * 60}</p><p>more</p>{out}<p>mid</p>{out}<p>end</p></main>"
+    assert html.extract(page).split("\n") == ["Head", ("lead " * 20).strip(), ("body " * 60).strip(), "more", "mid", "end"]
+    two = "<article><h2>One</h2></article><p>x<p>y<p>z<article><h2>Two</h2><p>text</article>"
+    assert html.extract(two) == "One\nTwo\ntext"
+
+
 def test_chat(spark):
     t = lambda c, *texts: [(c, i, ("user", "assistant")[i % 2], x) for i, x in enumerate(texts)]
     rows = [*t(1, "a", "b"), *t(2, "a", "b", "c"), *t(3, "a", "b", "c"), *t(4, "a", "x"), *t(5, "ab"), *t(6, "a"), (7, 0, None, None), (None, 0, "user", "a")]
