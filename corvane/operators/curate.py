@@ -87,20 +87,45 @@ def minhash_bands(docs: DataFrame, width: int = 5, bands: int = 10, rows: int =
     return low.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
-def fuzzy_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3) -> DataFrame:
+def fuzzy_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3, rounds: int = 2) -> DataFrame:
     """doc_id, keeper and jaccard: documents that are near copies of a smaller doc_id.
 
-    Within a band's bucket every member is compared with the bucket's smallest
-    document only, so a bucket of any size makes as many pairs as members.
+    keeper is the smallest document at ``similarity`` or more that shares a
+    bucket of a band, and jaccard the similarity to it. In ``rounds`` turns a
+    bucket's members are compared with its smallest document, then with its
+    second; what is below a document's keeper after that is compared pair by
+    pair. A group of near copies is mostly settled by the turns, so a bucket of
+    any size makes few times as many pairs as members.
     """
-    banded = materialize(minhash_bands(docs, width, bands, rows), "minhash")
-    heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").select("band", "key", "keeper")
-    pairs = banded.join(heads, ["band", "key"]).where("doc_id > keeper").select("doc_id", "keeper").distinct()
-    sets = shingle_hashes(docs, width)
-    met = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("keeper"), F.col("sh").alias("ksh")), "keeper")
-    close = met.withColumn("jaccard", jaccard(F.col("sh"), F.col("ksh"))).where(F.col("jaccard") >= similarity)
-    out = materialize(close.groupBy("doc_id").agg(F.min("keeper").alias("keeper"), F.max("jaccard").alias("jaccard")), "fuzzy")
-    release(banded)
+    banded = materialize(minhash_bands(docs, width, bands, rows).where("doc_id is not null"), "minhash")
+    sets = materialize(shingle_hashes(docs, width), "shingles")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        met = pairs.distinct().join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("keeper"), F.col("sh").alias("ksh")), "keeper")
+        close = met.withColumn("jaccard", jaccard(F.col("sh"), F.col("ksh"))).where(F.col("jaccard") >= similarity)
+        return materialize(close.select("doc_id", "keeper", "jaccard"), "near")
+
+    def best() -> DataFrame:
+        # of a doc_id that occurs more than once the rows that are most alike
+        return found.groupBy("doc_id").agg(F.min(F.struct("keeper", (-F.col("jaccard")).alias("j"))).alias("b")).select("doc_id", "b.keeper", (-F.col("b.j")).alias("jaccard"))
+
+    buckets = banded.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last")).where("low < last").select("band", "key", "low")
+    opened = materialize(banded.join(buckets, ["band", "key"]), "buckets")  # low: members from it on are still to be compared
+    found = near(opened.where("doc_id > low").select("doc_id", F.col("low").alias("keeper")))
+    for turn in range(1, rounds + 1):
+        following = opened.where("doc_id > low").groupBy("band", "key").agg(F.min("doc_id").alias("next"))
+        known = best().select("doc_id", F.col("keeper").alias("known"))
+        members = opened.select("band", "key", "doc_id").join(following, ["band", "key"]).withColumnRenamed("next", "low")
+        opened = materialize(members, "buckets")
+        high = F.coalesce("known", "doc_id")
+        open_ = opened.join(known, "doc_id", "left").where(F.col("low") < high).select("band", "key", "doc_id", "low", high.alias("high"))
+        if turn < rounds:
+            found = found.unionAll(near(open_.select("doc_id", F.col("low").alias("keeper"))))
+    others = opened.where("doc_id >= low").select("band", "key", F.col("doc_id").alias("keeper"))
+    found = found.unionAll(near(materialize(open_, "open").join(others, ["band", "key"]).where("keeper < high").select("doc_id", "keeper")))
+    out = materialize(best(), "fuzzy")
+    for table in (banded, sets):
+        release(table)
     return out
 
 

@@ -261,6 +261,33 @@ def test_chat_rules(spark):
     assert {r.id: r.message.split(":")[1] for r in contract.chat_errors(df).collect()} == {2: " at least 2", 3: " unknown role", 4: " no assistant turn", 5: " field required"}
 
 
+def test_fuzzy_duplicates_against_brute_force(spark):
+    """Graded copies under smaller documents that share buckets, but are not alike enough."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(base[: 70 + 4 * i] + [f"x{i}n{j}" for j in range(45 - 4 * i)]) for i in range(4)}
+    for i in range(4, 44):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+            words[at] = f"y{i}"
+        texts[i] = " ".join(words[: 120 - (i % 5) * 2])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    held = {r.doc_id: set(r.sh) for r in curate.shingle_hashes(docs, 5).collect()}
+    buckets = {}
+    for r in curate.minhash_bands(docs).collect():
+        buckets.setdefault((r.band, r.key), []).append(r.doc_id)
+    want = {}
+    for members in buckets.values():
+        for x in members:
+            for y in members:
+                alike = len(held[x] & held[y]) / len(held[x] | held[y])
+                if y < x and alike >= 0.8 and y < want.get(x, (x,))[0]:
+                    want[x] = (y, round(alike, 9))
+    got = {r.doc_id: (r.keeper, round(r.jaccard, 9)) for r in curate.fuzzy_duplicates(docs).collect()}
+    assert len(want) > 20 and got == want
+    assert {r.doc_id: (r.keeper, round(r.jaccard, 9)) for r in curate.fuzzy_duplicates(docs, rounds=1).collect()} == want
+
+
 def test_curation(spark):
     docs = spark.createDataFrame([(1, "the cat and the dog of the town"), (2, "der hund und die katze"), (3, ""), (4, None), (5, "the cat and the dog of the town")], "doc_id long, text string")
     assert {r.doc_id: r.guess for r in curate.guess_language(docs).collect()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "en"}
