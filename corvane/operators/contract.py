@@ -176,20 +176,24 @@ def hash_consistency(gold: DataFrame, corpus_hash: str) -> DataFrame:
 def manifest(gold: DataFrame, corpus: DataFrame, corpus_hash: str, retriever: dict, read_errors: DataFrame | None = None) -> DataFrame:
     """One row: validity, counts, targets, disjointness and hash consistency.
 
-    An invalid dataset has a manifest too, with ``valid`` false.
+    An invalid dataset has a manifest too, with ``valid`` false. shared_queries
+    are the first 100 of n_shared_queries; :func:`disjointness` has the whole set.
     """
     found = findings(gold, corpus)
     n_errors = found.where("level = 'error'").count() + (read_errors.count() if read_errors is not None else 0)
-    overlap = [r["query"] for r in disjointness(gold).orderBy("query").limit(100).collect()]
+    shared = materialize(disjointness(gold).select("query"), "shared-queries")
+    n_shared = shared.count()
+    overlap = [r["query"] for r in shared.orderBy("query").limit(100).collect()]
     same = hash_consistency(gold, corpus_hash).first()
     counts = materialize(composition(gold), "composition")
     row = F.struct("dimension", "value", "n")
     out = counts.agg(F.array_sort(F.collect_list(row)).alias("counts"))
     return out.select(
-        F.lit(n_errors == 0 and not overlap and same["all_match"]).alias("valid"),
+        F.lit(n_errors == 0 and not n_shared and same["all_match"]).alias("valid"),
         F.lit(n_errors).alias("n_errors"),
         F.lit(corpus_hash).alias("corpus_hash"),
-        F.lit(not overlap).alias("disjoint"),
+        F.lit(not n_shared).alias("disjoint"),
+        F.lit(n_shared).cast("long").alias("n_shared_queries"),
         F.array(*[F.lit(q) for q in overlap]).cast("array<string>").alias("shared_queries"),
         F.lit(same["all_match"]).alias("hashes_match"),
         F.lit(same["mismatched"]).alias("mismatched"),

@@ -223,6 +223,12 @@ def test_accounting_and_manifest(spark, tmp_path):
     assert data["valid"] is False and data["disjoint"] is False and json.loads((tmp_path / "m.json").read_text())["counts"]
 
 
+def test_manifest_counts_all_shared_queries(spark):
+    rows = [example(query=f"q{i}", partition=p) for i in range(101) for p in ("calibration", "eval")]
+    m = one(contract.manifest(spark.createDataFrame(rows, GOLD), spark.createDataFrame(PAPERS, PAPER), "h", {"k": 1}))
+    assert m.n_shared_queries == 101 and len(m.shared_queries) == 100 and not m.disjoint and not m.valid
+
+
 def test_gold_files(spark, tmp_path):
     rows, errors = readers.load_gold(spark, str(tmp_path / "none.jsonl"))
     assert rows.count() == errors.count() == 0
