@@ -33,7 +33,7 @@ def test_query(spark, name):
 
 
 def test_pipeline(spark):
-    from test_text_ops import plain_components, plain_hits, plain_repeats
+    from test_text_ops import plain_clean, plain_components, plain_hits
 
     assert set(entry.queries()) >= {"pipeline", *QUERIES}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -46,10 +46,8 @@ def test_pipeline(spark):
         texts = [before[i].text for i in ids]
         assert set(after) <= set(before)
         if name == "line_dedup":
-            gone = plain_repeats(texts, linededup.MIN_WORDS)
-            for i, t, g in zip(ids, texts, gone):
-                left = linededup.without(t, g, linededup.chunk_texts([t])[0][2]) if g else t
-                assert after[i].text == left if left or not g else i not in after
+            for i, (left, n) in zip(ids, plain_clean(texts, linededup.MIN_WORDS)):
+                assert after[i].text == left if left or not n else i not in after
         else:
             assert all(after[i].text == before[i].text for i in after)
         if name == "near_copies":

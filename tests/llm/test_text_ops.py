@@ -276,23 +276,101 @@ def test_fingerprint(spark):
     assert fingerprint.compare_with_next(ties.where("doc_id is null")).count() == 2
 
 
-def plain_repeats(texts, min_words):
-    """Chunks to remove of each text, by dictionaries."""
-    chunks = linededup.chunk_texts(texts)
-    home, out = {}, []
-    for i, (h, *_) in enumerate(chunks):
-        for x in h.tolist():
-            home.setdefault(x, i)
-    for i, (h, n, _, _) in enumerate(chunks):
-        gone, run = [], []
-        for j, x in enumerate([*h.tolist(), None]):
-            if x is not None and home[x] < i:
-                run.append(j)
-                continue
-            if sum(n[run]) >= min_words:
-                gone += run
-            run = []
-        out.append(gone)
+def plain_clean(texts, min_words):
+    """The texts without repeats, by loops and dictionaries over words and their offsets."""
+    full = 1 << 64
+    spread = 0xD6E8FEB86659FD93
+
+    def mixed(x):
+        x ^= x >> 29
+        x = x * 0x9E3779B97F4A7C15 % full
+        return x ^ (x >> 32)
+
+    def folded(values):
+        return sum(mixed((i * spread + v) % full) for i, v in enumerate(values)) % full
+
+    def cuts(values):
+        out, run = [], 0
+        for i, v in enumerate(values):
+            run = run + 1 if i and values[i - 1] == v else 0
+            out.append((i == 0 or v < values[i - 1]) and (i + 1 == len(values) or v < values[i + 1]) or run % 8 == 7)
+        return out
+
+    def split(items, ends):
+        out, part = [], []
+        for x, end in zip(items, ends):
+            part.append(x)
+            if end or x is items[-1]:
+                out.append(part)
+                part = []
+        return [*out, part] if part else out
+
+    chunks = []  # of each text: (hash, first word, last word + 1)
+    spots = []
+    for t in texts:
+        data = (t or "").encode()
+        words_ = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", data)]
+        hashes = words_of([t]).hashes.tolist()
+        low = cuts(hashes)
+        ends = [low[i] or data[b - 1 : b] in (b".", b"!", b"?") or i + 1 < len(words_) and b"\n" in data[b : words_[i + 1][0]] for i, (_, b) in enumerate(words_)]
+        lines = split(list(range(len(words_))), ends)
+        keys = [folded([hashes[i] for i in line]) for line in lines]
+        rolling = [mixed((k + (keys[i - 1] if i else 0) * spread) % full) for i, k in enumerate(keys)]
+        groups = split(list(range(len(lines))), cuts(rolling))
+        chunks.append([(folded([keys[i] for i in g]), lines[g[0]][0], lines[g[-1]][-1] + 1) for g in groups])
+        spots.append(([data[a:b].translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")) for a, b in words_], words_, data))
+
+    def long_runs(found):
+        out, run = set(), []
+        for x in [*sorted(found), None]:
+            if run and (x is None or x != (run[-1][0], run[-1][1] + 1)):
+                if sum(chunks[i][j][2] - chunks[i][j][1] for i, j in run) >= 4:
+                    out |= set(run)
+                run = []
+            run.append(x)
+        return out
+
+    places = [(i, j) for i, c in enumerate(chunks) for j in range(len(c))]
+    counts = Counter(chunks[i][j][0] for i, j in places)
+    seen = sorted(long_runs({(i, j) for i, j in places if counts[chunks[i][j][0]] > 1}))
+    first = {}
+    for i, j in seen:
+        first.setdefault(chunks[i][j][0], (i, j))
+    again = long_runs({x for x in seen if first[chunks[x[0]][x[1]][0]] != x})
+
+    def bytes_of(i, a, b):
+        _, words_, data = spots[i]
+        return data[words_[a][0] : words_[b - 1][1]].translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")) if a < b else b""
+
+    gone = [set() for _ in texts]
+    todo = sorted(again)
+    while todo:
+        run = [todo.pop(0)]
+        home = [first[chunks[run[0][0]][run[0][1]][0]]]
+        while todo and todo[0] == (run[-1][0], run[-1][1] + 1) and first[chunks[todo[0][0]][todo[0][1]][0]] == (home[-1][0], home[-1][1] + 1):
+            run.append(todo.pop(0))
+            home.append((home[-1][0], home[-1][1] + 1))
+        (i, j0), (_, j1) = run[0], run[-1]
+        (h, k0), (_, k1) = home[0], home[-1]
+        a, b, x, y = chunks[i][j0][1], chunks[i][j1][2], chunks[h][k0][1], chunks[h][k1][2]
+        if bytes_of(i, a, b) != bytes_of(h, x, y):
+            continue
+        least, most = chunks[i][max(j0 - 2, 0)][1], chunks[i][min(j1 + 2, len(chunks[i]) - 1)][2]
+        low, high = chunks[h][max(k0 - 2, 0)][1], chunks[h][min(k1 + 2, len(chunks[h]) - 1)][2]
+        while a > least and x > low and bytes_of(i, a - 1, b) == bytes_of(h, x - 1, y):
+            a, x = a - 1, x - 1
+        while b < most and y < high and bytes_of(i, a, b + 1) == bytes_of(h, x, y + 1):
+            b, y = b + 1, y + 1
+        gone[i] |= set(range(a, b))
+    out = []
+    for t, g, (_, words_, data) in zip(texts, gone, spots):
+        runs = split(sorted(g), [x + 1 not in g for x in sorted(g)])
+        runs = [r for r in runs if len(r) >= min_words]
+        left, at = b"", 0
+        for r in runs:
+            left += data[at : words_[r[0]][0]]
+            at = words_[r[-1] + 1][0] if r[-1] + 1 < len(words_) else len(data)
+        out.append(((left + data[at:]).rstrip(b" \t-\r".replace(b"-", b"\n\x0b\x0c")).decode() if runs else t, len(runs)))
     return out
 
 
@@ -305,21 +383,41 @@ def test_linededup(spark):
         if i % 2:
             own.insert(5, passage)
         texts.append(("\n" if i % 3 else " ").join(own))
-    texts += ["", None, "Tiny.", texts[4], " \n"]
+    twice = " ".join(words(rng, 40))
+    texts += ["", None, "Tiny.", texts[4], " \n", f"{twice}\nmore of it\n{twice} end", "For " * 3000, "é\u00a0 \tx\n" * 200, f"a {passage}\n\nb"]
     docs = frame(spark, texts)
-    want = plain_repeats(texts, linededup.MIN_WORDS)
+    want = plain_clean(texts, linededup.MIN_WORDS)
     got = {r.doc_id: r for r in linededup.clean(docs).collect()}
     for i, t in enumerate(texts):
-        begin = linededup.chunk_texts([t])[0][2]
-        clean = linededup.without(t, want[i], begin) if want[i] else t
-        assert (got[i].text, got[i].n_removed) == (clean, len(want[i]))
-        assert got[i].n_chars == len(clean or "") if want[i] else got[i].n_chars == docs.where(f"doc_id={i}").first().n_chars
-    assert passage in got[1].text and not any(passage in got[i].text for i in range(3, 40, 2))
-    # what is left of the passage are its edges; texts without it are untouched
-    assert all(len(set(got[i].text.split()) & set(passage.split())) < 80 for i in range(3, 40, 2)) and all(got[i].n_removed == 0 for i in range(0, 40, 2))
+        assert (got[i].text, got[i].n_removed) == want[i], i
+        assert got[i].n_chars == len(want[i][0]) if want[i][1] else got[i].n_chars == docs.where(f"doc_id={i}").first().n_chars
+    assert passage in got[1].text and not any(set(passage.split()) <= set(got[i].text.split()) for i in range(3, 40, 2))
+    assert all(got[i].n_removed == 0 for i in range(0, 40, 2)) and got[45].text == f"{twice}\nmore of it\nend" and got[48].text == "a b"
+    assert len(got[46].text) < 600 and got[43].text == ""
     kept = linededup.drop_repeats(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(45)) - {43}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(49)) - {43}
     assert linededup.report(docs.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, texts[1], 1), (None, texts[1], 2), (5, texts[1], 3), (5, texts[1], 4)], "doc_id long, text string, row int")
+    assert sorted(r.row for r in linededup.drop_repeats(same).collect()) in ([3], [4])
+
+
+@pytest.mark.parametrize("size, gap", [(25, "\n"), (40, "\n"), (40, " "), (60, " "), (200, "\n")])
+def test_linededup_recall(spark, size, gap):
+    """Pairs of texts that share a passage: what goes of its second occurrence, and nothing else."""
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(5000)]
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    texts, passages = [], []
+    for _ in range(200):
+        passages.append(some(size))
+        texts += [f"{some(60)}{gap}{passages[-1]}{gap}{some(40)}" for _ in range(2)]
+    rows = sorted(linededup.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    left = [len(r.text.split()) - 100 for r in rows]
+    assert left[::2] == [size] * 200 and min(left) >= 0
+    assert 1 - sum(left[1::2]) / (200 * size) >= 0.9
+    assert size < 40 or sum(p in r.text for p, r in zip(passages, rows[1::2])) <= (size == 40)
+    plain = plain_clean(texts[:40], linededup.MIN_WORDS)
+    assert [p[0] for p in plain[:2]] == [r.text for r in rows[:2]]
 
 
 def test_toxicity(spark):
