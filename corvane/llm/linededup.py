@@ -86,8 +86,14 @@ def _low(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _beside(lines: np.ndarray, sizes: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """16 bits on the lines ``at``: 12 of the hash, and the number of words up to 15; 0 without ``own``."""
+    at = np.where(own, at, 0)
+    return np.where(own, (lines[at] >> np.uint64(52) << np.uint64(4)).astype(np.int64) | np.minimum(sizes[at], 15), 0)
+
+
 def chunk_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its chunks: hashes, numbers of words, first and last byte (exclusive)."""
+    """For each text its chunks: hashes, numbers of words, first bytes, and the lines before and behind in 32 bits."""
     words = words_of(texts)
     n = len(words.hashes)
     none = np.empty(0, np.int64)
@@ -110,12 +116,16 @@ def chunk_texts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, n
     chunk_line = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(cut)[:-1] + 1))
     hashes = _in_order(lines, chunk_line, len(lines))
     chunk_word = line_first[chunk_line]
-    after = np.append(chunk_word[1:], n)
-    counts, begin, end = after - chunk_word, words.starts[chunk_word], words.ends[after - 1]
+    counts, begin = np.append(chunk_word[1:], n) - chunk_word, words.starts[chunk_word]
+    sizes = np.append(line_first[1:], n) - line_first
+    texts_of = np.searchsorted(chunk_line, text_line)
+    inner = np.ones(len(chunk_line) + 1, bool)  # whether a chunk follows another one of its text
+    inner[texts_of] = False
+    after = np.append(chunk_line[1:], len(lines))
+    edges = _beside(lines, sizes, chunk_line - 1, inner[:-1]) << 16 | _beside(lines, sizes, after, inner[1:] & (after < len(lines)))
     out = []
-    for i, (a, b) in enumerate(pairwise(np.searchsorted(chunk_line, text_line).tolist())):
-        at = words.offset[i]
-        out.append((hashes[a:b], counts[a:b], begin[a:b] - at, end[a:b] - at))
+    for i, (a, b) in enumerate(pairwise(texts_of.tolist())):
+        out.append((hashes[a:b], counts[a:b], begin[a:b] - words.offset[i], edges[a:b]))
     return out
 
 
@@ -131,12 +141,12 @@ def _chunked(documents: DataFrame) -> DataFrame:
 
     def make():
         def each(rows):
-            for row, (h, n, a, b) in zip(rows, chunk_texts([r[3] for r in rows]), strict=True):
-                yield *row, h.view(np.int64), n.astype(np.int32), a.astype(np.int32), b.astype(np.int32)
+            for row, (h, n, a, e) in zip(rows, chunk_texts([r[3] for r in rows]), strict=True):
+                yield *row, h.view(np.int64), n.astype(np.int32), a.astype(np.int32), e.astype(np.uint32).view(np.int32)
 
         return each
 
-    chunks = StructType.fromDDL("h array<long>, n array<int>, a array<int>, b array<int>")
+    chunks = StructType.fromDDL("h array<long>, n array<int>, a array<int>, e array<int>")
     return materialize(map_texts(rows, 3, make, StructType([*rows.schema, *chunks])), "line-chunks")
 
 
@@ -156,27 +166,35 @@ def _run_words(new: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _may_repeat(chunked: DataFrame, groups: DataFrame) -> DataFrame:
-    """row, ord, idx, h, n of the chunks whose hash may be in ``groups``, in runs of LEAST_RUN words."""
+    """row, ord, idx, h, n, e of the chunks whose hash may be in ``groups``, in runs of LEAST_RUN words."""
     shared = chunked.sparkSession.sparkContext.broadcast(bloom.build(groups, "h"))
 
     def run(batches):
         for batch in batches:
             row, place, h = _items(batch, "h")
-            n = _items(batch, "n")[2]
+            n, e = (_items(batch, c)[2] for c in ("n", "e"))
             ok = shared.value.contains(h)
-            row, place, h, n = row[ok], place[ok], h[ok], n[ok]
+            row, place, h, n, e = (x[ok] for x in (row, place, h, n, e))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
             ok = _run_words(new, n) >= LEAST_RUN
-            row, place, h, n = row[ok], place[ok], h[ok], n[ok]
+            row, place, h, n, e = (x[ok] for x in (row, place, h, n, e))
             key, ord_ = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ord_), pa.array(place.astype(np.int32)), pa.array(h), pa.array(n)], names=["row", "ord", "idx", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ord_, place.astype(np.int32), h, n, e)], names=["row", "ord", "idx", "h", "n", "e"])
+
+    return map_arrow(chunked.select("row", "ord", "h", "n", "e"), run, "row long, ord long, idx int, h long, n int, e int")
 
-    return map_arrow(chunked.select("row", "ord", "h", "n"), run, "row long, ord long, idx int, h long, n int")
 
+def _growth(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """How many words a run may gain on a side: any number if the next lines agree, else less than its own line."""
+    return np.where((mine == theirs) & (mine > 0), 1 << 20, mine & 15) + np.where(mine & 15 == 15, 1 << 20, 0)
 
-def _segments(repeats: DataFrame) -> DataFrame:
-    """row, i0, i1 and home, j0, j1: chunks i0 to i1 of a row repeat chunks j0 to j1 of ``home``."""
+
+def _segments(repeats: DataFrame, min_words: int) -> DataFrame:
+    """row, i0, i1 and home, j0, j1: chunks i0 to i1 of a row repeat chunks j0 to j1 of ``home``.
+
+    Runs that can't reach ``min_words``, by the lines beside them, are left out.
+    """
 
     def run(batches):
         for batch in batches:
@@ -184,21 +202,26 @@ def _segments(repeats: DataFrame) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             items = lists.flatten()
             row = np.repeat(np.arange(len(sizes)), sizes)
-            idx, n, home, at = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            idx, n, e, home, at, other = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
             order = np.lexsort((idx, row))
-            row, idx, n, home, at = (x[order] for x in (row, idx, n, home, at))
+            row, idx, n, e, home, at, other = (x[order] for x in (row, idx, n, e, home, at, other))
             gap = np.ones(len(row), bool)
             gap[1:] = (row[1:] != row[:-1]) | (idx[1:] != idx[:-1] + 1)
-            ok = _run_words(gap, n) >= LEAST_RUN
+            first = np.flatnonzero(gap)
+            last = np.append(first[1:], len(row))[: len(first)] - 1
+            words = np.add.reduceat(n, first) if len(first) else n
+            most = words + _growth(e[first] >> 16 & 0xFFFF, other[first] >> 16 & 0xFFFF) + _growth(e[last] & 0xFFFF, other[last] & 0xFFFF)
+            ok = np.repeat((words >= LEAST_RUN) & (most >= min_words), last - first + 1)
             new = gap.copy()
             new[1:] |= (home[1:] != home[:-1]) | (at[1:] != at[:-1] + 1)
             row, idx, home, at, new = (x[ok] for x in (row, idx, home, at, new))
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(row))[: len(first)] - 1
             key = batch.column(0).to_numpy(zero_copy_only=False)[row[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, idx[first], idx[last], home[first], at[first], at[last])], names=["row", "i0", "i1", "home", "j0", "j1"])
+            small = [x.astype(np.int32) for x in (idx[first], idx[last], at[first], at[last])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *small[:2], home[first], *small[2:])], names=["row", "i0", "i1", "home", "j0", "j1"])
 
-    lists = repeats.groupBy("row").agg(F.collect_list(F.struct("idx", "n", "home", "at")).alias("chunks"))
+    lists = repeats.groupBy("row").agg(F.collect_list(F.struct("idx", "n", "e", "home", "at", "other")).alias("chunks"))
     return map_arrow(lists, run, "row long, i0 int, i1 int, home long, j0 int, j1 int")
 
 
@@ -206,39 +229,35 @@ def _home_texts(chunked: DataFrame, segments: DataFrame) -> DataFrame:
     """home, j0, j1 of each segment once, with the bytes of chunks j0 to j1, of the ``REACH`` chunks before and behind."""
     wanted = segments.select("home", "j0", "j1").distinct()
     homes = materialize(segments.select("home").distinct(), "line-homes")
-    texts = bloom.split(chunked.select("row", "text", "a", "b"), "row", homes, "home")[0]
+    texts = bloom.split(chunked.select("row", "text", "a"), "row", homes, "home")[0]
     release(homes)
     met = texts.join(wanted, F.col("row") == F.col("home"))
-    place = lambda c, i: F.get(c, F.col(i))
-    low = F.get("a", F.greatest(F.col("j0") - REACH, F.lit(0)))
-    high = F.get("b", F.least(F.col("j1") + REACH, F.size("b") - 1))
     data = F.col("text").cast("binary")
-    piece = lambda a, b: F.substring(data, a + 1, b - a)
-    return met.select(
-        "home", "j0", "j1", piece(low, place("a", "j0")).alias("before"), piece(place("a", "j0"), place("b", "j1")).alias("data"), piece(place("b", "j1"), high).alias("behind")
-    )
+    start = lambda i: F.coalesce(F.get("a", i), F.length(data))
+    borders = [start(F.greatest(F.col("j0") - REACH, F.lit(0))), start(F.col("j0")), start(F.col("j1") + 1), start(F.col("j1") + 1 + REACH)]
+    pieces = [F.substring(data, a + 1, b - a) for a, b in pairwise(borders)]
+    return met.select("home", "j0", "j1", *[x.alias(name) for x, name in zip(pieces, ("before", "data", "behind"), strict=True)])
 
 
-def repeats(chunked: DataFrame) -> DataFrame:
-    """row and parts (i0, i1, and the bytes that these chunks repeat, with those around them); a scratch table.
+def repeats(chunked: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The segments; and row and parts (i0, i1, and the bytes that these chunks repeat, with those around them).
 
     Hashes of chunks meet once, as longs with map-side combine; from there on a
-    Bloom filter lets through only the chunks that may repeat.
+    Bloom filter lets through only the chunks that may repeat. Each join reads
+    tables that have been written, so that Spark may split a very common chunk.
     """
     each = chunked.select(F.explode("h").alias("h"))
     groups = materialize(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "line-groups")
     found = materialize(_may_repeat(chunked, groups), "line-found")
-    firsts = found.groupBy("h").agg(F.min(F.struct("ord", "row", "idx")).alias("o"), F.count("*").alias("k")).where("k > 1")
-    again = found.join(firsts.select("h", F.col("o.row").alias("home"), F.col("o.idx").alias("at")), "h").where("row <> home or idx <> at")
-    segments = materialize(_segments(again.select("row", "idx", "n", "home", "at")), "line-segments")
-    for table in (groups, found):
+    firsts = found.groupBy("h").agg(F.min(F.struct("ord", "row", "idx", "e")).alias("o"), F.count("*").alias("k")).where("k > 1")
+    firsts = materialize(firsts.select("h", F.col("o.row").alias("home"), F.col("o.idx").alias("at"), F.col("o.e").alias("other")), "line-firsts")
+    again = found.join(firsts, "h").where("row <> home or idx <> at")
+    segments = materialize(_segments(again, min_words), "line-segments")
+    for table in (groups, found, firsts):
         release(table)
     texts = materialize(_home_texts(chunked, segments), "line-texts")
-    parts = segments.join(texts, ["home", "j0", "j1"]).groupBy("row").agg(F.collect_list(F.struct("i0", "i1", "before", "data", "behind")).alias("parts"))
-    out = materialize(parts, "line-repeats")
-    for table in (segments, texts):
-        release(table)
-    return out
+    met = segments.join(texts, ["home", "j0", "j1"]).groupBy("row")
+    return segments, met.agg(F.collect_list(F.struct("i0", "i1", "before", "data", "behind")).alias("parts"))
 
 
 def _agree(one: bytes, other: bytes) -> int:
@@ -265,18 +284,22 @@ def _before(mine: bytes, theirs: bytes) -> int:
     return _behind(mine[::-1], theirs[::-1])
 
 
-def ranges(data: bytes, a: np.ndarray, b: np.ndarray, parts: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """The byte ranges to remove from a text with chunks from ``a`` to ``b``, with the white space behind them."""
+def ranges(data: bytes, a: list[int], parts: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """The byte ranges to remove from a text whose chunks begin at ``a``, with the white space behind them."""
     plain = data.translate(_BLANKS)
+    start_of = lambda i: a[i] if i < len(a) else len(plain)
     found = []
     for p in parts:
         i, j = p["i0"], p["i1"]
-        low, high = int(a[i]), int(b[j])
-        if plain[low:high] != p["data"].translate(_BLANKS):
+        low, high = a[i], start_of(j + 1)
+        theirs = p["data"].translate(_BLANKS)
+        core = theirs.rstrip()
+        if plain[low:high].rstrip() != core:
             continue
-        start = low - _before(plain[int(a[max(i - REACH, 0)]) : low], p["before"].translate(_BLANKS))
+        start = low - _before(plain[a[max(i - REACH, 0)] : low], p["before"].translate(_BLANKS))
         start += len(plain[start:low]) - len(plain[start:low].lstrip())
-        end = high + _behind(plain[high : int(b[min(j + REACH, len(b) - 1)])], p["behind"].translate(_BLANKS))
+        end = low + len(core)
+        end += _behind(plain[end : start_of(j + 1 + REACH)].rstrip(), (theirs[len(core) :] + p["behind"].translate(_BLANKS)).rstrip())
         found.append((start, end))
     merged: list[list[int]] = []
     for start, end in sorted(found):
@@ -310,17 +333,17 @@ def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the new length. Only rows that may change are shuffled.
     """
     chunked = _chunked(documents)
-    gone = repeats(chunked)
-    may, other = bloom.split(chunked.select("row", "rest", "text", "a", "b"), "row", gone, "row")
-    hit = may.join(gone, "row", "left").select("rest", "text", "a", "b", "parts")
+    segments, gone = repeats(chunked, min_words)
+    may, other = bloom.split(chunked.select("row", "rest", "text", "a"), "row", segments.select("row").distinct(), "row")
+    hit = may.join(gone, "row", "left").select("rest", "text", "a", "parts")
 
     def make():
         def each(rows):
-            for rest, text, a, b, parts in rows:
+            for rest, text, a, parts in rows:
                 cut = []
                 if parts:
                     data = text.encode()
-                    cut = ranges(data, a, b, parts, min_words)
+                    cut = ranges(data, a, parts, min_words)
                 yield rest, without(data, cut) if cut else text, len(cut)
 
         return each
