@@ -1,44 +1,72 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of text. Parts that are not
-content by their element, role, class or id leave an empty line. Over windows of
-``WINDOW`` lines the text lengths are summed; the text begins at a surge (a
-window above the threshold that is followed by non-empty windows) and ends at a
-dive (a window without any text), and what lies between is kept: the largest
-stretch between surge and dive, with those at least a third as long. Inside
-``article`` or ``main`` every line belongs to the content, so where a page has
-text there, all of that is kept and nothing else.
-
-Defined results: null, empty and text-free pages give an empty text; an
-unclosed element that would be left out ends at the next ``article`` or
-``main``, an unclosed comment or script at the end of the page.
+Markup is stripped into lines, one for each block of text. Parts that are named
+as something else than content (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments), by their element, role, class
+or id, are stripped with it and leave nothing. What is left is decided by the
+lengths of its lines, links not counted:
+
+* over every ``WINDOW`` neighbouring lines the lengths are summed. The first
+  window over the threshold is a surge and the last one before a sum at or below
+  it a dive; a stretch runs from the first line of the one to the last line of
+  the other, so a short line next to text belongs to it. The threshold is
+  ``LEAST``, or half the longest line on a page without longer ones;
+* lines at the borders of a stretch that are links alone, or short and no
+  paragraphs, headings, items or cells, are taken off, unless there are no others;
+  a gap of paragraphs, headings, items and cells with text outside of links
+  doesn't end a stretch;
+* windows don't reach over the borders of ``article`` and ``main``. Inside these
+  a page has nothing but its text, so one with a stretch is kept with all its
+  lines; if they hold half of the text in all stretches or more, what lies
+  outside of them goes.
+
+Defined results: null, empty and text-free pages give an empty text; a page
+without any stretch (links only) gives all its lines; an unclosed element that
+would be left out ends at the next ``article`` or ``main``, an unclosed comment
+or script at the end of the page.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
 from .arrowio import map_rows
 
-WINDOW = 3
+WINDOW, LEAST = 3, 40
 #: Elements of HTML by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head iframe map math menu nav noscript object search select svg template".split())
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head iframe map menu nav noscript object search select svg template".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+#: What classes and ids call parts that are no content, words that may follow, and words that deny it.
 NAMES = frozenset(
     "ad ads adbox advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted promotion related replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
+HOLDERS = frozenset("area bar block box buttons container content form group inner item items left links list main outer panel right section slot thread top wrap wrapper".split())
+DENIALS = frozenset("has hide is no not with without".split())
 _TAG = re.compile(r"</?([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/>]|$))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def names_a_part(token: str) -> bool:
+    """Whether a class or an id is the name of a part, as in ``site-footer`` and ``comment-list`` but not ``menu-prices``."""
+    words = _PARTS.findall(token)
+    if len(words) > 1 and words[0] in DENIALS:
+        return False
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return bool(words) and words[-1] in NAMES
+
+
 def left_out(name: str, attributes: str, in_content: bool) -> bool:
     """Whether an element is something else than content."""
     if name in LEFT_OUT:
@@ -51,24 +79,39 @@ def left_out(name: str, attributes: str, in_content: bool) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             return True
-        if key == "role" and value in ROLES or key in ("class", "id") and not NAMES.isdisjoint(_PARTS.findall(value)):
+        if key == "role" and value in ROLES or key in ("class", "id") and any(map(names_a_part, value.split())):
             return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """The lines of a page in order: text, and whether ``article`` or ``main`` holds it."""
-    lines: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    text: str
+    size: int  # characters outside of links
+    prose: bool  # whether a paragraph, heading, item or cell
+    part: int  # number of the outermost article or main, 0 outside
+
+
+def squeeze(parts: list[str]) -> str:
+    return " ".join(unescape("".join(parts)).split())
+
+
+def blocks(html: str) -> list[Line]:
+    """The lines of a page in order, without the parts that are left out."""
+    lines: list[Line] = []
     parts: list[str] = []
-    depth = 0  # of article and main
+    links: list[str] = []
+    depth = n_parts = 0  # of article and main
+    in_link, block = False, ""
     skip, skip_depth = "", 0
     at, n = 0, len(html)
 
-    def end_line(empty: bool = False) -> None:
-        text = " ".join(unescape("".join(parts)).split()) if parts else ""
+    def end_line() -> None:
+        text = squeeze(parts) if parts else ""
+        if text:
+            size = max(0, len(text) - len(squeeze(links))) if links else len(text)
+            lines.append(Line(text, size, block in PROSE, n_parts if depth else 0))
         parts.clear()
-        if text or empty:
-            lines.append((text, depth > 0))
+        links.clear()
 
     while at < n:
         low = html.find("<", at)
@@ -76,6 +119,8 @@ def blocks(html: str) -> list[tuple[str, bool]]:
             low = n
         if low > at and not skip:
             parts.append(html[at:low])
+            if in_link:
+                links.append(html[at:low])
         if low == n:
             break
         if html.startswith("<!--", low):
@@ -114,48 +159,64 @@ def blocks(html: str) -> list[tuple[str, bool]]:
                 continue
         if name == "br":
             parts.append(" ")
+            links.append(" ")
+        elif name == "a":
+            in_link = not closing and "href" in m[2].lower()
         elif name in BLOCKS or name in LEFT_OUT:
             end_line()
+            block = "" if closing else name
+            in_link = in_link and not closing  # an unclosed link ends with its block
         if name in ("article", "main"):
             if closing:
                 depth = max(0, depth - 1)
             elif not alone:
                 depth += 1
+                n_parts += depth == 1
         elif not closing and not alone and left_out(name, m[2], depth > 0):
-            end_line(empty=True)
+            end_line()
             skip, skip_depth = name, 1
     end_line()
     return lines
 
 
-def stretches(lengths: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Line ranges between a surge and the next dive of the window sums."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    out, i = [], 0
-    while i < n:
-        if sums[i] > threshold and all(sums[i + 1 : i + WINDOW]):
-            j = i
-            while j < n and sums[j]:
-                j += 1
-            out.append((i, j))
-            i = j
-        else:
-            i += 1
+def stretches(lines: list[Line], threshold: int) -> list[tuple[int, int]]:
+    """Line ranges from a surge to the next dive of the window sums."""
+    n = len(lines)
+    text = [False] * n
+    for i in range(max(1, n - WINDOW + 1) if n else 0):
+        window = range(i, min(i + WINDOW, n))
+        if sum(lines[j].size for j in window) > threshold:
+            for j in window:
+                text[j] = True
+    out: list[tuple[int, int]] = []
+    for kept, places in groupby(range(n), text.__getitem__):
+        if not kept:
+            continue
+        whole = list(places)
+        core = [i for i in whole if lines[i].prose and lines[i].size or lines[i].size > threshold] or whole
+        first, last = core[0], core[-1]
+        if out and all(x.prose and x.size for x in lines[out[-1][1] : first]):
+            first = out.pop()[0]
+        out.append((first, last + 1))
     return out
 
 
 def extract(html: str | None) -> str:
     """The main text: its blocks, one a line."""
     lines = blocks(html) if html else []
-    if any(inside and text for text, inside in lines):
-        return "\n".join(text for text, inside in lines if inside and text)
-    lengths = [len(text) for text, _ in lines]
-    threshold = min(86, max(lengths, default=0) // 2)
-    found = stretches(lengths, threshold) or [(0, len(lines))]
-    total = [sum(lengths[a:b]) for a, b in found]
-    kept = [r for r, t in zip(found, total, strict=True) if 3 * t >= max(total)]
-    return "\n".join(text for a, b in kept for text, _ in lines[a:b] if text)
+    threshold = min(LEAST, max((x.size for x in lines), default=0) // 2)
+    inside, outside, at = [], [], 0
+    for part, members in groupby(lines, lambda x: x.part):
+        members = list(members)
+        found = stretches(members, threshold)
+        if part and found:
+            inside.append((at, at + len(members)))
+        elif not part:
+            outside += [(at + a, at + b) for a, b in found]
+        at += len(members)
+    load = lambda ranges: sum(x.size for a, b in ranges for x in lines[a:b])
+    kept = inside if load(inside) >= load(outside) else sorted(inside + outside)
+    return "\n".join(x.text for a, b in kept or [(0, len(lines))] for x in lines[a:b])
 
 
 def report(pages: DataFrame) -> DataFrame:

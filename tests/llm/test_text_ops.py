@@ -226,13 +226,139 @@ def test_html(spark):
     assert html.extract(page) == "Head & more\nOne two\nThree <x> y\n5 < 6"
     bare = "<div>Home</div><div>News</div><hr><div></div>" + "<div id=menu>m</div>" * 4 + "".join(f"<p>{'long text ' * 12}{i}</p>" for i in range(5)) + "<div class=footer>x</div>" * 4 + "<p>tail</p>"
     got = html.extract(bare).split("\n")
-    assert len(got) == 5 and got[0].endswith("0") and got[4].endswith("4")
+    assert len(got) == 6 and got[0].endswith("0") and got[4].endswith("4") and got[5] == "tail"
     assert [html.extract(x) for x in (None, "", "<p></p>", "x", "<!-- a", "<script>a", "<p>a</p")] == ["", "", "", "x", "", "", "a"]
     assert html.extract("<nav>never closed<article><p>kept</p></article>") == "kept"
     df = spark.createDataFrame([(1, "u", page, "z"), (2, None, None, "z")], "page_id long, url string, html string, text string")
     assert {r.page_id: (r.url, r.n_chars) for r in html.report(df).collect()} == {1: ("u", len(html.extract(page))), 2: (None, 0)}
 
 
+def plain_lines(page):
+    """(text, characters outside of links, tag, number of the article or 0) by the parser of the library."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out, self.now, self.block, self.links, self.articles = [], [], ["", ""], "", 0, 0
+
+        def flush(self):
+            text, linked = (" ".join(x.split()) for x in self.now)
+            if text:
+                self.out.append((text, max(0, len(text) - len(linked)), self.block, self.articles if "article" in [t for t, _ in self.stack] else 0))
+            self.now = ["", ""]
+
+        def gone(self):
+            return any(out for _, out in self.stack)
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("a", "b"):
+                if not self.gone():
+                    self.flush()
+                self.block = tag
+            self.stack.append((tag, tag in ("nav", "aside", "form", "footer", "script") or dict(attrs).get("class") in ("ad", "comments", "site-footer")))
+            if tag == "article":
+                self.articles += 1
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                if not self.gone():
+                    self.flush()
+                self.block = ""
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if not self.gone():
+                self.now[0] += data
+                self.now[1] += data if "a" in [t for t, _ in self.stack] else ""
+
+    reader = Reader()
+    reader.feed(page)
+    reader.flush()
+    return reader.out
+
+
+def plain_extract(page):
+    lines = plain_lines(page)
+    limit = min(40, max([s for _, s, _, _ in lines], default=0) // 2)
+    prose = {"p", "h1", "h2", "li", "td"}
+    inside, outside = set(), set()
+    for number in {x[3] for x in lines}:
+        # lines of one article, or the runs of lines between articles
+        runs, last = [], None
+        for i, x in enumerate(lines):
+            if x[3] == number:
+                runs.append([i]) if last != i - 1 else runs[-1].append(i)
+                last = i
+        for run in runs:
+            near = {i for at in range(len(run)) if (at + 3 <= len(run) or at == 0) and sum(lines[i][1] for i in run[at : at + 3]) > limit for i in run[at : at + 3]}
+            if number and near:
+                inside |= set(run)
+            elif near:
+                kept = set()
+                for i in near:
+                    block = [i]
+                    while block[0] - 1 in near:
+                        block.insert(0, block[0] - 1)
+                    while block[-1] + 1 in near:
+                        block.append(block[-1] + 1)
+                    strong = [j for j in block if lines[j][2] in prose and lines[j][1] or lines[j][1] > limit] or block
+                    kept |= set(range(strong[0], strong[-1] + 1))
+                gap = []
+                for i in range(min(kept), max(kept) + 1):
+                    if i in kept:
+                        if all(lines[j][2] in prose and lines[j][1] for j in gap):
+                            kept |= set(gap)
+                        gap = []
+                    else:
+                        gap.append(i)
+                outside |= kept
+    load = lambda places: sum(lines[i][1] for i in places)
+    chosen = inside if load(inside) >= load(outside) else inside | outside
+    return "\n".join(lines[i][0] for i in sorted(chosen or range(len(lines))))
+
+
+def test_html_windows():
+    """Generated pages, half of them without an article, against windows over another parser's lines."""
+    rng = random.Random(12)
+    some = lambda n: " ".join(rng.choices(VOCAB, k=n))
+    link = lambda: f'<a href="/x">{some(rng.randrange(1, 4))}</a>'
+    makers = [
+        lambda: f"<p>{some(rng.choice([1, 3, 12, 60]))}</p>",
+        lambda: f"<p>{some(rng.choice([5, 40]))} {link()} <b>{some(2)}</b>.</p>",
+        lambda: f"<h2>{some(3)}</h2>",
+        lambda: f"<div>{some(rng.choice([1, 2, 4, 30]))}</div>",
+        lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randrange(1, 6))) + "</ul>",
+        lambda: "<ul>" + "".join(f"<li>{some(rng.randrange(1, 5))}</li>" for _ in range(rng.randrange(1, 6))) + "</ul>",
+        lambda: f"<nav>{link()}<ul><li>{some(2)}</li></ul></nav>",
+        lambda: f'<div class="{rng.choice(["ad", "comments", "site-footer", "related-work", "menu-prices"])}"><p>{some(rng.choice([2, 30]))}</p></div>',
+        lambda: f"<aside>{some(20)}</aside><form>{some(3)}</form>",
+        lambda: f"<table><tr><td>{some(2)}</td><td>{some(1)}</td></tr></table>",
+    ]
+    for k in range(500):
+        part = lambda n: "".join(rng.choice(makers)() for _ in range(rng.randrange(n)))
+        page = part(6) + (f"<article>{part(12)}</article>{part(5)}" if k % 2 else part(12))
+        if k % 10 == 1:
+            page += f"<article>{part(3)}</article>"
+        page = f"<div>{page}</div><footer>{some(4)}</footer>"
+        assert html.extract(page) == plain_extract(page), page
+
+
+def test_html_keeps_paragraphs():
+    """Parts left out amid text, a teaser's article behind the text, closing paragraphs behind menus, names that only look like parts."""
+    lead = "<article><p>Lead paragraph with real text.</p><aside>x</aside><div class=ad>y</div><div class=share>z</div><p>Body.</p></article>"
+    assert html.extract(lead) == html.extract(lead.replace("article", "div")) == "Lead paragraph with real text.\nBody."
+    paragraphs = [f"{'long text ' * 20}{i}" for i in range(9)]
+    page = "".join(f"<p>{x}</p>" for x in paragraphs)
+    assert html.extract(page + "<article>Related: read this too</article>").split("\n") == paragraphs
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li><li><a href=z>More</a></li></ul>"
+    closing = ["A closing paragraph of some words.", "And another one behind it."]
+    assert html.extract(menu + page + menu * 3 + "".join(f"<p>{x}</p>" for x in closing) + menu).split("\n") == paragraphs + closing
+    assert html.extract("<p><a name=x>Anchor<a href=y>open</p>" + page + "<p>end</p>").split("\n") == ["Anchoropen", *paragraphs, "end"]
+    odd = "<article><p>a b c</p><div class='related-work'>w</div><div class='notice-board'>n</div><div class='menu-prices'>5</div><math>x</math></article>"
+    assert html.extract(odd) == "a b c\nw\nn\n5\nx"
+
+
 def test_html_keeps_a_lead_before_left_out_parts():
     """Inside article and main nothing is dropped, however many parts are left out after a line."""
     out = '<div class="share">s</div><div class="advert">a</div><form>newsletter</form>'
