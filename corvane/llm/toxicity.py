@@ -9,19 +9,23 @@ over the buckets present, so a pair of terms can weigh more, or less, than the
 sum of its parts. Fitting has two steps, both on a sample of the labelled rows
 that is bounded by ``max_rows`` (the rows with the smallest hash of doc_id):
 
-1. the ``max_buckets`` buckets that tell most about the label are selected, by
-   rank of chi-squared and without a floor, so that few rows select by the same
-   rule as many; to them come the ``pair_buckets`` most frequent others, which
+1. the ``max_buckets`` buckets that tell most about the label, for it or against
+   it, are selected by rank of chi-squared and without a floor, so that few rows
+   select by the same rule as many; to them come the ``pair_buckets`` most frequent others, which
    get no weight of their own but may weigh in pairs. Counted with Spark over the
    whole sample;
 2. the machine is fitted to the selected buckets with Adam in the driver, in
    ``steps`` steps at least.
 
-Buckets not selected have no weight, so the length of a text adds no noise.
+Buckets not selected have no weight, so the length of a text adds no noise. The
+bias is moved by the log odds of the labels, so a score is the probability if
+both labels were equally frequent: toxic texts are rare, and without that a text
+with as much evidence for the label as against it would score far below a half.
 
 Defined results: null and empty texts have no terms and get the score of the
 bias alone; rows of ``labels`` with a null label or doc_id are not learnt from;
-a doc_id with contradicting labels counts as toxic; with no positive or no
+a doc_id with contradicting labels counts as toxic, and of rows that repeat a
+doc_id the one with the first terms is learnt from; with no positive or no
 negative label every score is the share of positives (0 without labels).
 """
 
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, release
 from .arrowio import map_rows
 
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -139,7 +143,7 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, n_buckets: int, rank: int, e
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_df: int = 1, min_chi2: float = 0.0, max_buckets: int = 256, pair_buckets: int = 64, steps: int = 2000, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
+    documents: DataFrame, labels: DataFrame, max_rows: int = 24_000, bits: int = 18, min_df: int = 1, min_chi2: float = 0.0, max_buckets: int = 256, pair_buckets: int = 16, steps: int = 2000, rank: int = 4, epochs: int = 25, rate: float = 0.03, decay: float = 0.01, pair_decay: float = 0.5, seed: int = 7
 ) -> Machine:
     """Fit to at most ``max_rows`` labelled rows; ``max_buckets`` and ``pair_buckets`` bound the model."""
     spark = documents.sparkSession
@@ -150,7 +154,8 @@ def fit(
         terms = Terms(bits)
         return lambda row: [(row[0], int(row[2]), terms.of_text(row[1]).tolist())]
 
-    seen = materialize(map_rows(docs, make, "doc_id long, y int, buckets array<int>", limit=100), "toxic-terms")
+    each = map_rows(docs, make, "doc_id long, y int, buckets array<int>", limit=100)
+    seen = materialize(each.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("buckets").alias("buckets")), "toxic-terms")
     n, pos = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or pos in (0, n):
         release(seen)
@@ -182,7 +187,7 @@ def fit(
     kept.sort(key=lambda r: (r["doc_id"], r["y"], r["at"]))
     x, y = [np.array(r["at"], np.int64) for r in kept], np.array([r["y"] for r in kept], float)
     bias, linear, factors = fit_machine(x, y, len(buckets), rank, epochs, rate, decay, pair_decay, seed, alone, steps)
-    return Machine(bias, buckets, linear, factors, bits)
+    return Machine(bias + float(np.log((n - pos) / pos)), buckets, linear, factors, bits)
 
 
 def score(documents: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -32,6 +32,15 @@ def test_query(spark, name):
         assert sorted(rel.columns) == sorted(df.columns) and canon(rel.fetchall(), rel.columns) == got
 
 
+@pytest.mark.parametrize("size, least, false", [("sf0.01", 0.6, 0.01), ("sf0.1", 0.9, 0.015)])
+def test_toxicity_held_out(spark, size, least, false):
+    """Shares of held-out toxic documents caught and of others accused, with the defaults."""
+    labels = spark.read.parquet(f"{SF.parent}/{size}/labels.parquet").select("doc_id", "toxic")
+    found = QUERIES["op8_toxicity"](spark, f"{SF.parent}/{size}").where("held_out").join(labels, "doc_id").collect()
+    said = {y: [r.predicted for r in found if r.toxic == y] for y in (0, 1)}
+    assert sum(said[1]) / len(said[1]) >= least and sum(said[0]) / len(said[0]) <= false
+
+
 def test_pipeline(spark):
     from test_text_ops import plain_clean, plain_components, plain_hits
 
