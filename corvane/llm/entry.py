@@ -132,4 +132,86 @@ SELECT c.conv_id, c.n_turns, c.n_assistant, c.rendered FROM c JOIN firsts f ON f
 WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.parts = c.parts)
 """
 
-ORACLE: dict[str, str] = {"op1_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_chat": OP5_SQL, "op9_mixing": mixing.sql()}
+#: The base patterns of personal data.
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _pieces(text: str, pattern: str, rest: str) -> str:
+    """The text cut into matches and what lies between; sums of lengths give their places."""
+    return f"regexp_extract_all({text}, '(?s){pattern}|{rest}')"
+
+
+def _base_sql() -> str:
+    """Matches that pass: row, kind, its order, value, first and last code point (exclusive)."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    keys = {"email": "lower(m)", "ip": "m", "card": digits, "phone": digits}
+    luhn = "list_sum([CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d < 5 THEN 2 * d ELSE 2 * d - 9 END END FOR d, i IN list_transform(string_split(reverse(d), ''), lambda x: CAST(x AS INTEGER))]) % 10 = 0"
+    tests = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(right('0' || ltrim(x, '0'), 4) AS INTEGER), 0) > 255)) = 0",
+        "card": f"length(d) BETWEEN 16 AND 19 AND {luhn}",
+        "phone": "length(d) BETWEEN 8 AND 15",
+    }
+    parts = []
+    for k, (kind, pattern) in enumerate(_BASE.items()):
+        cut = f"SELECT id, unnest({_pieces('text', pattern, '.')}) AS m, generate_subscripts({_pieces('text', pattern, '.')}, 1) AS i FROM t WHERE regexp_matches(text, '{pattern}')"
+        placed = f"SELECT id, m, {digits} AS d, sum(length(m)) OVER (PARTITION BY id ORDER BY i) AS stop FROM ({cut})"
+        parts.append(f"SELECT id, '{kind}' AS kind, {k} AS k, '{kind}:' || {keys[kind]} AS entity, stop - length(m) AS a, stop AS b FROM ({placed}) WHERE length(m) > 1 AND {tests[kind]}")
+    return " UNION ALL ".join(parts)
+
+
+OP3_SQL = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+), t AS MATERIALIZED (
+  SELECT min(n) AS id, text FROM docs WHERE text <> '' GROUP BY text
+), base AS MATERIALIZED (
+  {_base_sql()}
+), held AS (
+  SELECT DISTINCT id, entity FROM base
+), words AS MATERIALIZED (
+  SELECT id, lower(m) AS term, stop - length(m) AS a, stop AS b FROM (
+    SELECT id, m, sum(length(m)) OVER (PARTITION BY id ORDER BY i) AS stop FROM (
+      SELECT id, unnest({_pieces('text', r'[\p{L}]+', r'[^\p{L}]+')}) AS m, generate_subscripts({_pieces('text', r'[\p{L}]+', r'[^\p{L}]+')}, 1) AS i
+      FROM t WHERE id IN (SELECT id FROM base))) WHERE regexp_matches(m, '^[\p{{L}}]')
+), outside AS MATERIALIZED (
+  SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = w.id AND b.a < w.b AND w.a < b.b)
+), terms AS MATERIALIZED (
+  SELECT DISTINCT id, term FROM outside
+), counts AS MATERIALIZED (
+  SELECT term, count(*) AS n_t FROM (
+    SELECT id, term FROM terms UNION ALL
+    SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\p{{L}}]+'), lambda x: lower(x)))) AS term FROM t WHERE id NOT IN (SELECT id FROM base)) GROUP BY term
+), entities AS (
+  SELECT entity, count(*) AS n_e FROM held GROUP BY entity
+), total AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n FROM t
+), told AS MATERIALIZED (
+  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et FROM held JOIN terms USING (id) GROUP BY ALL) JOIN entities USING (entity) JOIN counts USING (term), total
+  WHERE log2(n / n_e) > 0 AND log2(n_et * n / (n_e * n_t)) >= 0.8 * log2(n / n_e) - 1e-9
+), found AS (
+  SELECT id, string_agg('term:' || a || ':' || b, ',' ORDER BY a, b) AS spans FROM outside WHERE (id, term) IN (SELECT id, term FROM held JOIN told USING (entity)) GROUP BY id
+), plain AS (
+  SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS spans FROM base GROUP BY id
+)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(p.spans, '')) AS base_sha256,
+       concat_ws(',', p.spans, f.spans) AS spans
+FROM docs d LEFT JOIN t ON t.text = d.text LEFT JOIN plain p ON p.id = t.id LEFT JOIN found f ON f.id = t.id
+"""
+
+_SHA = "sha1(encode(coalesce(html, '')))"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {s}) % 32, 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP10_SQL = f"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, {_SHA} AS h, max(page_id) OVER (PARTITION BY {_SHA}) AS keeper FROM pages
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper > page_id THEN keeper END AS refers_to FROM p
+"""
+
+ORACLE: dict[str, str] = {"op3_pii": OP3_SQL, "op10_warc": OP10_SQL, "op1_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_chat": OP5_SQL, "op9_mixing": mixing.sql()}
