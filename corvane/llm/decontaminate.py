@@ -6,10 +6,14 @@ one pass over a document's words finds all of them at once, and a match never
 begins or ends inside a word. Hit words are mapped back to code-point offsets of
 the original text.
 
-The benchmark is read to the driver in blocks of at most ``block_chars``
-characters, sized by a count taken first; each block is one broadcast and one
-stage of the same pass over the documents, so a larger benchmark needs more
-stages, not more memory, and nothing is left out.
+The benchmark is read to the driver in blocks of some ``block_words`` words,
+sized by a count taken first. A window adds as many nodes as it has words at
+most, so a block's automaton has some ``window * block_words`` nodes: 88 MB in a
+Python worker for 200,000 random words at the default window. Each block is one
+broadcast and one pass over the documents, written before the next begins, so
+that a task never holds two automata; a larger benchmark needs more passes, not
+more memory, and nothing is left out. Blocks are dealt by item, so an item with
+more words than a block makes its block larger.
 
 Defined results: null or empty text has no words and no hits; an item without
 words has no windows; a repeated ``item_id`` counts once; a null ``item_id``
@@ -25,6 +29,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .arrowio import map_rows
 from .words import letter_words
 
@@ -33,29 +38,39 @@ HITS = "array<struct<start:int,end:int>>"
 
 
 def build_automaton(items: list[tuple], window: int):
-    """(word -> number, automaton or None); a pattern's value is (length, item ids)."""
+    """(word -> number, automaton or None, owners); a pattern's value is a place in owners: (length, item ids)."""
     numbers: dict[bytes, int] = {}
-    owners: dict[tuple, set] = {}
+    owners: list[tuple[int, frozenset]] = []
+    places: dict[tuple[int, frozenset], int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+
+    def place(owner: tuple[int, frozenset]) -> int:
+        if owner not in places:
+            places[owner] = len(owners)
+            owners.append(owner)
+        return places[owner]
+
     for item_id, text in items:
         ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in letter_words(text))
         size = min(window, len(ids))
+        mine = frozenset((item_id,))
         for at in range(len(ids) - size + 1 if size else 0):
-            owners.setdefault(ids[at : at + size], set()).add(item_id)
+            pattern = ids[at : at + size]
+            old = automaton.get(pattern, -1)
+            automaton.add_word(pattern, place((size, mine if old < 0 else owners[old][1] | mine)))
     if not owners:
-        return numbers, None
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for pattern, who in owners.items():
-        automaton.add_word(pattern, (len(pattern), frozenset(who)))
+        return numbers, None, owners
     automaton.make_automaton()
-    return numbers, automaton
+    return numbers, automaton, owners
 
 
-def find_hits(words: list[bytes], numbers: dict[bytes, int], automaton) -> tuple[list[list[int]], set]:
+def find_hits(words: list[bytes], numbers: dict[bytes, int], automaton, owners: list[tuple[int, frozenset]]) -> tuple[list[list[int]], set]:
     """Merged word ranges [first, after last] of all occurrences, and their items."""
     get = numbers.get
     spans: list[list[int]] = []
     items: set = set()
-    for last, (length, who) in automaton.iter(tuple([get(w, 0) for w in words])):
+    for last, place in automaton.iter(tuple([get(w, 0) for w in words])):
+        length, who = owners[place]
         first = last - length + 1
         items |= who
         while spans and spans[-1][0] >= first:
@@ -78,11 +93,18 @@ def merge_spans(spans: list[list[int]]) -> list[list[int]]:
 
 
 def char_spans(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
-    """Word ranges as code-point ranges of the original text."""
+    """Ordered word ranges as code-point ranges of the original text."""
     data = text.encode()
     edges = [m.span() for m in _WORD.finditer(data)]
-    count = lambda at: at if len(data) == len(text) else len(data[:at].decode())
-    return [(count(edges[a][0]), count(edges[b - 1][1])) for a, b in spans]
+    out, at, chars = [], 0, 0
+    for first, last in spans:
+        places = []
+        for byte in (edges[first][0], edges[last - 1][1]):
+            chars += byte - at if len(data) == len(text) else len(data[at:byte].decode())
+            at = byte
+            places.append(chars)
+        out.append((places[0], places[1]))
+    return out
 
 
 def _one_block(df: DataFrame, items: list[tuple], window: int) -> DataFrame:
@@ -90,12 +112,12 @@ def _one_block(df: DataFrame, items: list[tuple], window: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(items)
 
     def make():
-        numbers, automaton = build_automaton(shared.value, window)
+        numbers, automaton, owners = build_automaton(shared.value, window)
 
         def each(row):
             doc_id, text, n_words, n_hit, old_items, old_words, old_chars = row
             words = letter_words(text)
-            spans, found = find_hits(words, numbers, automaton) if automaton and words else ([], set())
+            spans, found = find_hits(words, numbers, automaton, owners) if automaton and words else ([], set())
             if old_words:
                 spans = merge_spans([*([x["start"], x["end"]] for x in old_words), *spans])
             items_now = sorted({*(old_items or ()), *("" if x is None else str(x) for x in found)})
@@ -108,7 +130,7 @@ def _one_block(df: DataFrame, items: list[tuple], window: int) -> DataFrame:
     return map_rows(df, make, df.schema, limit=256)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 16_000_000, columns: tuple[str, ...] = ()) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000, columns: tuple[str, ...] = ()) -> DataFrame:
     """Hits of ``benchmark`` in each document.
 
     Returns doc_id, text, n_words, n_hit, item_ids (sorted as strings),
@@ -116,8 +138,9 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_cha
     row of ``documents``; ``columns`` names further columns to carry along.
     """
     bench = benchmark.select("item_id", "text")
-    chars = bench.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-chars // block_chars))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_count(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    blocks = max(1, -(-(bench.agg(F.sum(words)).first()[0] or 0) // block_words))
     df = documents.select(
         F.struct("doc_id", *columns).alias("doc_id"),
         "text",
@@ -129,12 +152,18 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_cha
     )
     for block in range(blocks):
         mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        if block:
+            df = materialize(df, "benchmark-block")
         df = _one_block(df, [tuple(r) for r in mine.collect()], window)
     return df.select("doc_id.*", *df.columns[1:])
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, char_spans."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans.
+
+    ``spans`` lists the hit ranges of the original text as start:end in code
+    points (end exclusive), comma-joined.
+    """
     hits = scan(documents, benchmark, window)
     return hits.select(
         "doc_id",
@@ -143,6 +172,7 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform("char_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
     )
 
 

@@ -106,13 +106,25 @@ WITH dw AS (
   JOIN pat p ON p.k = s.k AND p.p = array_to_string(d.w[r.i:r.i + s.k - 1], ' ')
 ), hit AS (
   SELECT doc_id, count(DISTINCT first + j) AS n_hit FROM occ, unnest(range(0, k)) AS q(j) GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, unnest(p) AS m, generate_subscripts(p, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM occ))
+), placed AS (
+  SELECT doc_id, stop - length(m) AS a, stop AS b, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM (
+    SELECT *, sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM pieces) WHERE regexp_matches(m, '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]')
+), ranges AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b FROM (
+    SELECT p.*, p.at - row_number() OVER (PARTITION BY p.doc_id ORDER BY p.at) AS island FROM placed p
+    JOIN (SELECT DISTINCT doc_id, first + j AS at FROM occ, unnest(range(0, k)) AS q(j)) x ON x.doc_id = p.doc_id AND x.at = p.at) GROUP BY doc_id, island
+), spans AS (
+  SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM ranges GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM occ) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
-FROM dw d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
+       CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated, coalesce(s.spans, '') AS spans
+FROM dw d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id
 """
 
 OP5_SQL = """

@@ -138,8 +138,12 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: plain_hits(t, items, 5) for i, t in enumerate(texts)}
     docs = frame(spark, texts)
-    assert {r[0]: tuple(r[1:]) for r in decontaminate.report(docs, bench, 5).collect()} == want
-    blocks = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids)) for r in decontaminate.scan(docs, bench, 5, block_chars=60).collect()}
+    report = decontaminate.report(docs, bench, 5).collect()
+    assert {r[0]: tuple(r[1:6]) for r in report} == want
+    for r in report:
+        pieces = [texts[r.doc_id][int(a) : int(b)] for a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert sum(plain_hits(x, [], 5)[0] for x in pieces) == r.n_hit
+    blocks = {r.doc_id: (r.n_words, r.n_hit, len(r.item_ids)) for r in decontaminate.scan(docs, bench, 5, block_words=12).collect()}
     assert blocks == {i: w[:3] for i, w in want.items()}
     kept = decontaminate.drop_contaminated(docs, bench, 5)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
@@ -147,6 +151,27 @@ def test_decontaminate(spark):
     assert spans[3] == ["QQ, rr-ss!tt"]
 
 
+def test_char_spans():
+    text = "Ünë x, zwei-drei €5 " * 4000
+    edges = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    spans = [[i, i + 3] for i in range(0, len(edges) - 3, 5)]
+    assert decontaminate.char_spans(text, spans) == [(edges[a][0], edges[b - 1][1]) for a, b in spans]
+
+
+def test_automaton_of_a_block_is_small():
+    """The memory of an automaton over as many random words as a block has."""
+    import subprocess
+    import sys
+
+    code = (
+        "import random, resource; from corvane.llm.decontaminate import build_automaton\n"
+        "rng = random.Random(1); use = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "items = [(i, ' '.join(f'w{rng.randrange(60000)}' for _ in range(100))) for i in range(2000)]\n"
+        "before = use(); kept = build_automaton(items, 10); print((use() - before) // 1024)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 250
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
