@@ -11,7 +11,17 @@ Parquet before anything is read back.
 
 Reading: the selected index rows are sorted by file and offset, neighbouring
 byte ranges are coalesced over gaps of up to ``gap`` bytes into reads of at
-most ``most`` bytes, and each record is parsed from its own member.
+most ``most`` bytes, and each record is parsed from its own member. Read tasks are dealt by the
+bytes that the index selects: ``task_bytes`` each, and fewer while there are more
+cores than tasks.
+
+Workers open the folder with pyarrow's file systems. ``s3a`` and ``s3n`` are read
+as ``s3`` and ``dbfs:/`` as its mount; a folder on any other system needs an
+``opener``, a function from the folder to (file system, path). The driver opens the
+folder first, so an unknown system fails before the job.
+
+A response's block is an HTTP response with the html as its body, a revisit has
+none. Records of rows that repeat a page_id share its ``WARC-Record-ID``.
 
 Of pages with equal payloads the one with the largest page_id is the
 ``response`` and the others ``revisit`` it; payloads under ``least_bytes`` are
@@ -30,7 +40,8 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from urllib.parse import quote, unquote
 
 import pyarrow.fs as pafs
@@ -50,7 +61,8 @@ def digest32(payload: bytes) -> str:
 
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no body but the size and digest of its payload."""
-    body = b"" if kind == "revisit" else payload
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    body = b"" if kind == "revisit" else http.encode() + payload
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}>"),
@@ -60,7 +72,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
         ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{refers_to}>"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None),
         ("X-Payload-Length", str(len(payload))),
-        ("Content-Type", "text/html; charset=utf-8"),
+        ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(body))),
     ]
     head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
@@ -79,6 +91,8 @@ def parse(raw: bytes) -> tuple:
     body = rest[: int(got["Content-Length"])]
     if rest[len(body) :] != b"\r\n\r\n":
         raise ValueError(f"record of page {page} is cut off")
+    if got["WARC-Type"] == "response":
+        body = body.partition(b"\r\n\r\n")[2]
     said, size = got["WARC-Payload-Digest"].removeprefix("sha1:"), int(got["X-Payload-Length"])
     if got["WARC-Type"] == "response" and (digest32(body) != said or len(body) != size):
         raise ValueError(f"payload of page {page} doesn't match its digest")
@@ -88,6 +102,9 @@ def parse(raw: bytes) -> tuple:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder given as a Hadoop path."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    uri = re.sub(r"^dbfs:/+", "/dbfs/", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
@@ -103,7 +120,7 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return known.select("page_id", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, opener: Callable = filesystem) -> DataFrame:
     """Write the archives; the index as a table that has been written."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -115,12 +132,13 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     arrow = to_arrow_schema(schema)
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    opener(folder)
 
     def store(rows: Iterator[tuple]):
         first = next(rows, None)
         if first is None:
             return
-        fs, base = filesystem(folder)
+        fs, base = opener(folder)
         path = f"{base}/{uuid.uuid4().hex}.warc.gz"
         offset = 0
         with fs.open_output_stream(path, compression=None) as out:
@@ -153,7 +171,7 @@ def coalesced(rows: Iterator[tuple], gap: int, most: int) -> Iterator[tuple[str,
         yield held
 
 
-def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 32 << 20, opener: Callable = filesystem) -> DataFrame:
     """The records that ``index`` selects, parsed."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -162,16 +180,18 @@ def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20
     arrow = to_arrow_schema(schema)
 
     def load(rows: Iterator[tuple]):
-        fs, base = filesystem(folder)
-        opened, file = None, None
-        for name, start, end, members in coalesced(rows, gap, most):
-            if name != file:
-                opened, file = fs.open_input_file(f"{base}/{name}"), name
-            data = opened.read_at(end - start, start)
-            for offset, length in members:
-                yield parse(zlib.decompress(data[offset - start : offset - start + length], 31))
-
-    wanted = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+        fs, base = opener(folder)
+        for name, ranges in groupby(coalesced(rows, gap, most), lambda x: x[0]):
+            with fs.open_input_file(f"{base}/{name}") as opened:
+                for _, start, end, members in ranges:
+                    data = opened.read_at(end - start, start)
+                    for offset, length in members:
+                        yield parse(zlib.decompress(data[offset - start : offset - start + length], 31))
+
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
+    wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return map_arrow(wanted, lambda batches: batched(load(rows_of(batches)), arrow, 100), schema)
 
 

@@ -661,3 +661,7 @@ def test_warc(spark):
     assert {(r.page_id, r.url, r.payload) for r in back} == {(5, rows[5][1], bodies[5]), (3, rows[3][1], "")}
     assert index.where("record_type = 'revisit'").count() == 0
     assert warc.round_trip(df.limit(0)).count() == 0
+    assert warc.read(index, folder, task_bytes=300).rdd.getNumPartitions() > 3
+    assert [warc.filesystem(x)[1] for x in ("file:///tmp/a", "dbfs:/a/b", "/x")] == ["/tmp/a", "/dbfs/a/b", "/x"]
+    raw = warc.record(5, "http://x/", b"<p>", "response", None)
+    assert b"\r\n\r\nHTTP/1.1 200 OK\r\n" in raw and raw.endswith(b"\r\n\r\n<p>\r\n\r\n") and warc.parse(raw)[6] == "<p>"
