@@ -628,18 +628,51 @@ def test_mixing(spark):
     want = sorted((str(r[0]), *r[1:]) for r in con.sql(mixing.sql(budget=0.4)).fetchall())
     assert [g[:5] + (g[6],) for g in got] == [w[:5] + (w[6],) for w in want] and np.allclose([g[5] for g in got], [w[5] for w in want], atol=2e-6)
     # raking meets the targets, and the budget is met in expectation
-    cells = mixing.weights(docs, budget=0.4, rounds=30).toPandas()
-    total = cells.n_tokens.sum()
-    assert abs((cells.p * cells.n_tokens).sum() / total - 0.4) < 0.01
-    for m in mixing.MARGINS:
-        have = cells.groupby(m).n_tokens.sum()
-        raw = (have[have > 0] / total) ** mixing.ALPHA[m]
-        mixed = (cells.w * cells.n_tokens).groupby(cells[m]).sum()
-        assert np.allclose(mixed[raw.index] / total, raw / raw.sum(), atol=0.02)
+    for budget in (0.1, 0.5, 0.8):
+        cells = mixing.weights(docs, budget=budget, rounds=40).toPandas()
+        total = cells.n_tokens.sum()
+        assert abs((cells.p * cells.n_tokens).sum() / total - budget) < 0.01
+        for m in mixing.MARGINS:
+            drawn = (cells.p * cells.n_tokens).groupby(cells[m]).sum()
+            assert np.allclose(drawn / total, cells.groupby(m)[f"t_{m}"].first().reindex(drawn.index).fillna(0) / total, atol=0.02 * budget)
+            raw = (cells.groupby(m).n_tokens.sum() / total) ** mixing.ALPHA[m]
+            free = drawn[(cells.groupby(m).p.max() < 1) & (raw > 0)]  # classes that nothing limits share by their raw weights
+            assert len(free) < 2 or budget > 0.1 or np.allclose(free / free.sum(), raw[free.index] / raw[free.index].sum(), atol=0.02)
     assert mixing.sample(docs, budget=0.4).columns == docs.columns and mixing.chosen(docs.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in mixing.sample(docs, budget=0.4).collect()) == sorted(g[0] for g in got if g[6])
 
 
+def test_mixing_targets(spark):
+    """Given targets: drawn shares, margins that can't be met, other topics, tiny budgets, small probabilities."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(words(rng, rng.randrange(20, 60))), rng.choice(["en"] * 5 + ["de"]), rng.choice(["a"] * 6 + ["b", "b", "c"]), rng.choice("xyz"), 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme string, _row int")
+    targets = {"source": {"a": 2, "b": 1, "c": 1}, "lang": {"en": 0.8, "de": 0.2}, "topic": {"x": 0.5, "y": 0.3, "z": 0.2}}
+    for budget in (0.1, 0.3):
+        drawn = mixing.sample(docs, budget=budget, targets=targets, topic="theme")
+        assert drawn.columns == docs.columns
+        got = drawn.withColumn("n", mixing.tokens(F.col("text"))).toPandas()
+        whole = docs.select(F.sum(mixing.tokens(F.col("text")))).first()[0]
+        assert abs(got.n.sum() / whole / budget - 1) < 0.1
+        for column, name in (("source", "source"), ("lang", "lang"), ("theme", "topic")):
+            share, weights = got.groupby(column).n.sum() / got.n.sum(), targets[name]
+            assert all(abs(share[k] - v / sum(weights.values())) < 0.06 for k, v in weights.items())
+        cells = mixing.weights(docs, budget=budget, targets=targets, topic="theme").toPandas()
+        for m in mixing.MARGINS:
+            expected = (cells.p * cells.n_tokens).groupby(cells[m]).sum()
+            assert np.allclose(expected / expected.sum(), cells.groupby(m)[f"t_{m}"].first() / expected.sum(), atol=0.005)
+    with pytest.raises(ValueError, match="source 'c'"):
+        mixing.weights(docs, budget=0.8, targets=targets, topic="theme")
+    with pytest.raises(ValueError, match="lang 'fr'"):
+        mixing.weights(docs, targets={"lang": {"en": 1, "fr": 1}})
+    same = docs.withColumn("source", F.col("lang"))
+    with pytest.raises(ValueError, match="margins"):
+        mixing.weights(same, budget=0.1, targets={"lang": {"en": 1, "de": 1}, "source": {"en": 1, "de": 3}})
+    few = mixing.chosen(docs, budget=1e-7)
+    cells = mixing.weights(docs, budget=1e-7)
+    assert cells.where("p > 0").count() == cells.count() and few.where("kept").count() <= 1
+
+
 def test_warc(spark):
     bodies = ["<p>a</p>", "<p>b</p>", "<p>a</p>", "", None, "é\r\n\r\nWARC/1.1", "<p>a</p>"]
     rows = [(i, f"http://x/{i}?q=a b%20c\r\nX: y" if i % 2 else None, b, "z") for i, b in enumerate(bodies)] + [(None, "u", "<p>a</p>", "z"), (1, "again", "<p>b</p>", "z")]
