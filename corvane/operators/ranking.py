@@ -1,8 +1,9 @@
 """Dense, lexical and hybrid ranking of a corpus for whole batches of queries.
 
 Query sets are small next to the corpus. They are broadcast when their size is
-known to be under ``BROADCAST_ROWS``; a larger set is joined in blocks or by
-shuffle, with the same result. Ranks are cut by a group limit before the
+known to be under ``BROADCAST_ROWS`` rows, or vectors in blocks of
+``BROADCAST_BYTES``; a larger set is joined in blocks or by shuffle, with the same
+result. Ranks are cut by a group limit before the
 shuffle, so no more than k rows of a query leave each task.
 """
 
@@ -17,7 +18,7 @@ from ..session import materialize
 from ..sources.schemas import ARMS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 def ranked(scored: DataFrame, order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -68,17 +69,32 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", decimals: int | None = None) -> DataFrame:
-    """query_id, doc_id and score (lower is better) of every matching pair.
+#: Marks one row of each document in cut postings; no token is empty.
+EVERY = ""
+
 
-    Postings are cut to the terms of the queries before they are counted, so
-    the index of a whole corpus is never shuffled for a query set.
+def cut_postings(wanted: DataFrame, docs: DataFrame, text: str = "text") -> tuple[DataFrame, tuple]:
+    """Postings of the terms ``wanted``, as a scratch table, and (n, avgdl) of all documents.
+
+    The texts are tokenised once: one marked row of each document carries its
+    length. Terms are cut before they are counted, so the index of a whole corpus
+    is never shuffled for a query set.
     """
-    terms = query_terms(queries)
-    wanted = small(terms.select("term").distinct())
+    spark = docs.sparkSession
+    marked = wanted.select("term").unionAll(spark.range(1).select(F.lit(EVERY).alias("term"))).distinct()
     toks = tokenised(docs, text)
-    each = terms_of(toks).join(wanted, "term")
-    return bm25_of_postings(terms, each.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), toks.agg(F.count("*"), F.avg("len")).first(), decimals)
+    each = toks.select("doc_id", "len", F.explode_outer(F.concat(F.array(F.lit(EVERY)), "toks")).alias("term"))
+    counted = each.join(small(marked), "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    table = materialize(counted, "postings")
+    # rows that share a doc_id and a length are counted in tf
+    stats = table.where(F.col("term") == EVERY).agg(F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).first()
+    return table.where(F.col("term") != EVERY), stats
+
+
+def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", decimals: int | None = None) -> DataFrame:
+    """query_id, doc_id and score (lower is better) of every matching pair."""
+    terms = query_terms(queries)
+    return bm25_of_postings(terms, *cut_postings(terms, docs, text), decimals)
 
 
 def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals: int | None = None) -> DataFrame:
@@ -91,7 +107,8 @@ def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals:
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))
     total = F.sum(part)
     total = total if decimals is None else F.round(total, decimals)
-    return post.join(small(weights), "term").groupBy("query_id", "doc_id").agg((-total).alias("score"))
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return post.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg((-total).alias("score"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, text: str = "text", decimals: int | None = None) -> DataFrame:
@@ -102,6 +119,12 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, text: str = "text"
 # ---------------------------------------------------------------- dense
 
 
+def query_blocks(q: DataFrame) -> int:
+    """Blocks of query vectors (qv) that are broadcast one at a time, by their bytes."""
+    rows, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("qv")), F.lit(0))).first()
+    return max(1, -(-rows * (width * 8 + 64) // BROADCAST_BYTES))
+
+
 def dense_scores(queries: DataFrame, vectors: DataFrame, decimals: int | None = None) -> DataFrame:
     """query_id, doc_id and cosine of each query (query_id, vector) with every vector.
 
@@ -110,7 +133,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, decimals: int | None =
     """
     q = queries.select("query_id", F.col("vector").alias("qv")).withColumn("qn", norm(F.col("qv")))
     v = vectors.select("doc_id", "vector").withColumn("vn", norm(F.col("vector")))
-    blocks = max(1, -(-q.count() // BROADCAST_ROWS))
+    blocks = query_blocks(q)
     sim = F.try_divide(dot(F.col("qv"), F.col("vector")), F.col("qn") * F.col("vn"))
     sim = sim if decimals is None else F.round(sim, decimals)
     out = None
@@ -240,11 +263,23 @@ def route(queries: DataFrame, rules: list[tuple[str, str]], default: str) -> Dat
     return queries.select("query_id", chosen.alias("source"))
 
 
-def full_rankings(queries: DataFrame, docs: DataFrame, vectors: DataFrame, decimals: int | None = None) -> DataFrame:
-    """query_id, doc_id, dense_rank and lexical_rank over the whole corpus; a scratch table.
+def head_rankings(queries: DataFrame, vectors: DataFrame, post: DataFrame, stats: tuple, k: int, decimals: int | None = None) -> DataFrame:
+    """query_id, doc_id, dense_rank and lexical_rank of the first ``k`` of either arm; a scratch table.
+
+    All readouts of an evaluation up to depth k start from these ranks, so they
+    are made once; ``post`` and ``stats`` come from :func:`cut_postings`.
+    """
+    d = dense_topk(queries, vectors, k, decimals).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
+    x = ranked(bm25_of_postings(query_terms(queries), post, stats, decimals), [F.col("score"), F.col("doc_id")], k, "lexical_rank")
+    return materialize(d.join(x.select("query_id", "doc_id", "lexical_rank"), ["query_id", "doc_id"], "full_outer"), "rankings")
+
+
+def best_ranks(scored: DataFrame, gold: DataFrame, name: str) -> DataFrame:
+    """query_id and the best rank of its gold, at any depth, by ascending score and doc_id.
 
-    All readouts of an evaluation start from these ranks, so they are made once.
+    Nothing is sorted: the rows up to the best gold row of a query are counted,
+    with map-side combine. Queries whose gold is not scored are left out.
     """
-    d = ranked(dense_scores(queries, vectors, decimals), [F.desc("score"), F.col("doc_id")], None, "dense_rank").select("query_id", "doc_id", "dense_rank")
-    x = ranked(bm25(queries, docs, decimals=decimals), [F.col("score"), F.col("doc_id")], None, "lexical_rank").select("query_id", "doc_id", "lexical_rank")
-    return materialize(d.join(x, ["query_id", "doc_id"], "full_outer"), "rankings")
+    best = scored.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min(F.struct("score", "doc_id")).alias("g"))
+    up_to = (F.col("score") < F.col("g.score")) | (F.col("score") == F.col("g.score")) & (F.col("doc_id") <= F.col("g.doc_id"))
+    return scored.join(small(best), "query_id").where(up_to).groupBy("query_id").agg(F.count("*").cast("int").alias(name))

@@ -19,6 +19,7 @@ from .corpus import FOLD
 from .tables import table
 
 PLACES, K, POOL, DEEP = 9, 10, 50, 500
+POOLS = [50, 100, 200, DEEP]
 
 
 def kind():
@@ -42,24 +43,49 @@ def vectors_of(spark, sf_dir):
     return v.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
 
 
-def gold_of(spark, sf_dir):
-    """query_id, doc_id: documents that contain an item verbatim.
+def items_of(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
-    A window of the item's words finds the candidates; ``contains`` decides.
-    """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    few = ranking.small(items)
-    docs = docs_of(spark, sf_dir)
-    return docs.join(few, F.contains(docs["text"], few["item"])).select("query_id", "doc_id")
 
+def corpus_of(spark, sf_dir):
+    """Postings of the items' words and (n, avgdl): every readout's only tokenising of the documents."""
+    items = items_of(spark, sf_dir)
+    words = items.select(F.explode_outer(T.document_tokens(F.col("query"))).alias("term")).where("term is not null")
+    return ranking.cut_postings(ranking.query_terms(items).select("term").unionAll(words).distinct(), docs_of(spark, sf_dir))
 
-def full_of(spark, sf_dir):
-    return ranking.full_rankings(queries_of(spark, sf_dir), docs_of(spark, sf_dir), vectors_of(spark, sf_dir), PLACES)
+
+def gold_of(spark, sf_dir, post):
+    """query_id, doc_id: documents that contain an item verbatim.
+
+    A document that does has every word of the item but the first and last,
+    which may be parts of its words. So the item's rarest inner word finds the
+    candidates in the postings, and ``contains`` decides. Items without an inner
+    word are looked for in every document, all of them in one pass.
+    """
+    items, docs = items_of(spark, sf_dir), docs_of(spark, sf_dir)
+    toks = T.document_tokens(F.col("query"))
+    split = items.select("query_id", "query", F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0))).alias("inner"))
+    inner = split.select("query_id", "query", F.explode("inner").alias("term"))
+    df = ranking.document_frequency(post)
+    rarest = inner.join(df, "term", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "query", "r.term")
+    found = post.select("doc_id", "term").join(ranking.small(rarest), "term").join(docs, "doc_id")
+    out = found.where(F.contains("text", "query")).select("query_id", "doc_id")
+    whole = split.where(F.size("inner") == 0).select("query_id", "query")
+    if whole.limit(1).count():
+        every = whole.agg(F.collect_list(F.struct("query_id", "query")).alias("items"))  # items of two words at most
+        hits = F.filter("items", lambda i: F.contains(F.col("text"), i["query"]))
+        out = out.unionAll(docs.join(F.broadcast(every)).select("doc_id", F.explode(hits).alias("i")).select("i.query_id", "doc_id"))
+    return out
+
+
+def heads_of(spark, sf_dir, corpus, k=POOL):
+    return ranking.head_rankings(queries_of(spark, sf_dir), vectors_of(spark, sf_dir), *corpus, k, PLACES)
 
 
 def scored_of(spark, sf_dir, k=K, pool=POOL):
-    ranks = ireval.with_hybrid(full_of(spark, sf_dir), pool)
-    return ireval.per_query(ireval.gold_ranks(gold_of(spark, sf_dir), ranks), k)
+    corpus = corpus_of(spark, sf_dir)
+    ranks = ireval.with_hybrid(heads_of(spark, sf_dir, corpus, pool), pool)
+    return ireval.per_query(ireval.gold_ranks(gold_of(spark, sf_dir, corpus[0]), ranks), k)
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,9 +106,10 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_eval(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    top = ranking.lexical_topk(q, docs_of(spark, sf_dir), K, decimals=PLACES).select("query_id", "doc_id", "rank")
-    found = gold_of(spark, sf_dir).join(top, ["query_id", "doc_id"], "left")
+    corpus = corpus_of(spark, sf_dir)
+    scored = ranking.bm25_of_postings(ranking.query_terms(items_of(spark, sf_dir)), *corpus, PLACES)
+    top = ranking.ranked(scored, [F.col("score"), F.col("doc_id")], K).select("query_id", "doc_id", "rank")
+    found = gold_of(spark, sf_dir, corpus[0]).join(top, ["query_id", "doc_id"], "left")
     each = found.groupBy("query_id").agg((F.count("rank") / F.count("*")).alias("recall"), F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias("rr"))
     return _r(each.agg(F.count("*").alias("n"), F.avg("recall").alias("recall"), F.avg("rr").alias("mrr")), "recall", "mrr")
 
@@ -130,21 +157,26 @@ def decisive_queries(spark, sf_dir):
 
 
 def candidate_size(spark, sf_dir):
-    return ireval.candidates(ireval.with_hybrid(full_of(spark, sf_dir), POOL))
+    return ireval.candidates(ireval.with_hybrid(heads_of(spark, sf_dir, corpus_of(spark, sf_dir)), POOL))
 
 
 def best_gold_rank(spark, sf_dir):
-    return ireval.best_gold_rank(gold_of(spark, sf_dir), full_of(spark, sf_dir))
+    corpus, queries = corpus_of(spark, sf_dir), queries_of(spark, sf_dir)
+    dense = ranking.dense_scores(queries, vectors_of(spark, sf_dir), PLACES).withColumn("score", -F.col("score"))
+    lexical = ranking.bm25_of_postings(ranking.query_terms(queries), *corpus, PLACES)
+    return ireval.best_gold_rank(gold_of(spark, sf_dir, corpus[0]), dense, lexical)
 
 
 def pool_sweep(spark, sf_dir):
-    out = ireval.pool_sweep(full_of(spark, sf_dir), gold_of(spark, sf_dir), [50, 100, 200, 500], kind())
+    corpus = corpus_of(spark, sf_dir)
+    out = ireval.pool_sweep(heads_of(spark, sf_dir, corpus, DEEP), gold_of(spark, sf_dir, corpus[0]), POOLS, kind())
     return _r(out, "union_recall", "fused_low", "fused_high", "gap_low", "gap_high", "mean_candidates")
 
 
 def ndcg(spark, sf_dir):
-    ranks = ireval.with_hybrid(full_of(spark, sf_dir), POOL)
-    return _r(ireval.ndcg(ireval.gold_ranks(gold_of(spark, sf_dir), ranks), "hybrid_rank", K), "ndcg")
+    corpus = corpus_of(spark, sf_dir)
+    ranks = ireval.with_hybrid(heads_of(spark, sf_dir, corpus), POOL)
+    return _r(ireval.ndcg(ireval.gold_ranks(gold_of(spark, sf_dir, corpus[0]), ranks), "hybrid_rank", K), "ndcg")
 
 
 def fielded_bm25(spark, sf_dir):
