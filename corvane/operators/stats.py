@@ -9,7 +9,7 @@ fixed.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REPLICATES, SEED = 10_000, 20260531
@@ -21,10 +21,16 @@ def _values(values: DataFrame, group: list[str]) -> DataFrame:
     return values.groupBy(*group).agg(rows.alias("v"))
 
 
+def _drawn(rep: Column, draw: Column, n: Column, seed: int) -> Column:
+    """The index of a draw: MD5 of seed|rep|draw modulo ``n``."""
+    key = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), draw.cast("string"))
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int")
+
+
 def hash_means(values: DataFrame, group: list[str], b: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """group, rep and mean of each replicate; indices by MD5 of seed|rep|draw."""
     v = _values(values, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    at = lambda i: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.size("v")).cast("int")
+    at = lambda i: _drawn(F.col("rep"), i, F.size("v"), seed)
     total = F.aggregate(F.sequence(F.lit(0), F.size("v") - 1), F.lit(0.0), lambda acc, i: acc + F.get("v", at(i)))
     return v.select(*group, "rep", F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x) / F.size("v")).alias("mean"), (total / F.size("v")).alias("m"))
 
@@ -48,9 +54,28 @@ def paired(a: DataFrame, other: DataFrame, group: list[str], b: int = REPLICATES
 
 
 def leave_one_out(diffs: DataFrame, b: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """The interval without each id in turn: left_out, n, mean, lo, hi, excludes_zero."""
-    each = diffs.select("id", "value").join(diffs.select(F.col("id").alias("left_out")), F.col("id") != F.col("left_out"))
-    return bootstrap(each, ["left_out"], b, seed).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+    """The interval without each id in turn: left_out, n, mean, lo, hi, excludes_zero.
+
+    The draws of a replicate are the same whichever id is left out, so a replicate
+    draws once: place k is value k for the ids behind it and value k + 1 for the
+    others. Differences between one id and the next add up to all means.
+    """
+    v = diffs.agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("v")).withColumn("size", F.size("v"))
+    reps = diffs.sparkSession.range(b).select(F.col("id").cast("int").alias("rep")).join(F.broadcast(v)).where("size > 1")
+    draws = reps.select("rep", "v", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 2)).alias("draw"))
+    k = _drawn(F.col("rep"), F.col("draw"), F.col("size") - 1, seed)
+    value = lambda at: F.get("v", at)["value"].cast("double")
+    steps = draws.select("rep", "size", "v", k.alias("k")).select("rep", "size", "k", value(F.col("k")).alias("own"), value(F.col("k") + 1).alias("next"))
+    starts = steps.groupBy("rep", "size").agg(F.sum("next").alias("total")).select("rep", "size", F.lit(0).alias("at"), F.col("total").alias("d"))
+    changes = steps.select("rep", "size", (F.col("k") + 1).alias("at"), (F.col("own") - F.col("next")).alias("d")).unionAll(starts)
+    grid = reps.select("rep", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"), F.lit(0.0).alias("d"))
+    each = changes.unionAll(grid).groupBy("rep", "size", "at").agg(F.sum("d").alias("d"))
+    so_far = Window.partitionBy("rep").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    means = each.select("rep", "at", (F.col("size") - 1).alias("n"), (F.sum("d").over(so_far) / (F.col("size") - 1)).alias("m"))
+    ends = means.groupBy("at").agg(F.first("n").alias("n"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    named = v.select(F.posexplode("v").alias("at", "x"), F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x["value"]).alias("total"), "size")
+    met = named.join(ends, "at").select(F.col("x.id").alias("left_out"), "n", ((F.col("total") - F.col("x.value")) / F.col("n")).alias("mean"), F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    return met.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def stability(loo: DataFrame) -> DataFrame:
@@ -66,29 +91,63 @@ def underpowered(ci: DataFrame, least: int = 40, half_width: float = 0.05) -> Da
 
 # ---------------------------------------------------------------- NumPy's stream
 
+#: Replicates, seed, and indices from ``default_rng(seed).integers(0, n, (replicates, n))``
+#: group after group, which published intervals were drawn with.
+STREAM = {"replicates": REPLICATES, "seed": SEED}
+MOST_VALUES, BLOCK = 1_000_000, 1 << 22
+
+
+def resampled(v: np.ndarray, generator: np.random.Generator, b: int) -> np.ndarray:
+    """Means of ``b`` resamples; indices are drawn in blocks of rows, which leaves the stream as it is."""
+    step = max(1, BLOCK // len(v))
+    return np.concatenate([v[generator.integers(0, len(v), (min(step, b - at), len(v)))].mean(axis=1) for at in range(0, b, step)])
 
-def numpy_interval(values: list[float], generator: np.random.Generator, b: int = REPLICATES) -> dict[str, float]:
-    """Bootstrap interval with indices ``generator.integers(0, n, (b, n))``; zeros if empty."""
-    if not values:
-        return {"n": 0, "mean": 0.0, "lo": 0.0, "hi": 0.0}
-    v = np.asarray(values, float)
-    means = v[generator.integers(0, len(v), (b, len(v)))].mean(axis=1)
-    lo, hi = np.percentile(means, [2.5, 97.5])
-    return {"n": len(v), "mean": float(v.mean()), "lo": float(lo), "hi": float(hi)}
+
+def stream_intervals(groups: list[np.ndarray], b: int = STREAM["replicates"], seed: int = STREAM["seed"], fresh: bool = False) -> np.ndarray:
+    """n, mean and the ends of the 95 % interval of each group, from one generator or, if ``fresh``, one each.
+
+    A group without values draws nothing and has zeros.
+    """
+    out, generator = np.zeros((len(groups), 4)), np.random.default_rng(seed)
+    for row, v in zip(out, groups, strict=True):
+        if fresh:
+            generator = np.random.default_rng(seed)
+        if len(v):
+            row[:] = len(v), v.mean(), *np.quantile(resampled(v, generator, b), (0.025, 0.975))
+    return out
+
+
+def _by_group(values: DataFrame, keys: list[str]) -> dict[tuple, list[tuple]]:
+    """(id, value) of each group in the order of id; the values, one a query, come to the driver."""
+    rows = values.select(*keys, "id", "value").limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} values; use bootstrap(), which doesn't collect them")
+    out: dict[tuple, list[tuple]] = {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        out.setdefault(tuple(r[k] for k in keys), []).append((r["id"], float(r["value"])))
+    return out
 
 
 def numpy_grid(values: DataFrame, order: list[tuple], keys: list[str], b: int = REPLICATES, seed: int = SEED, fresh: bool = False) -> DataFrame:
-    """Intervals of several groups from one generator, drawn in the stated ``order``.
+    """Intervals of several groups from one generator, drawn in the stated ``order``."""
+    found = _by_group(values, keys)
+    table = stream_intervals([np.array([v for _, v in found.get(tuple(g), [])]) for g in order], b, seed, fresh)
+    rows = [(*map(str, g), int(n), float(mean), float(lo), float(hi), bool(lo <= 0 <= hi)) for g, (n, mean, lo, hi) in zip(order, table, strict=True)]
+    return values.sparkSession.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + ", n int, mean double, lo double, hi double, includes_zero boolean")
+
+
+def numpy_paired(values: DataFrame, order: list[tuple], keys: list[str], b: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Intervals of differences, a fresh generator each, with the intervals without one id in turn.
 
-    ``fresh`` seeds it anew for each group. The values, one a query, are
-    collected; a group without values draws nothing.
+    keys, n, mean, lo, hi, excludes_zero; loo_surviving, how many of the loo_total
+    intervals without one id exclude zero, and hinges, the ids of the others.
     """
-    rows: dict[tuple, list] = {}
-    for r in values.select(*keys, "id", "value").collect():
-        rows.setdefault(tuple(r[k] for k in keys), []).append((r["id"], r["value"]))
-    generator, out = np.random.default_rng(seed), []
-    for group in order:
-        generator = np.random.default_rng(seed) if fresh else generator
-        ci = numpy_interval([v for _, v in sorted(rows.get(tuple(group), []))], generator, b)
-        out.append((*map(str, group), ci["n"], ci["mean"], ci["lo"], ci["hi"], ci["lo"] <= 0 <= ci["hi"]))
-    return values.sparkSession.createDataFrame(out, ", ".join(f"{k} string" for k in keys) + ", n int, mean double, lo double, hi double, includes_zero boolean")
+    found, rows = _by_group(values, keys), []
+    for g in order:
+        pairs = found.get(tuple(g), [])
+        v = np.array([x for _, x in pairs])
+        whole, *without = stream_intervals([v, *[np.delete(v, i) for i in range(len(v))]], b, seed, True)
+        clear = [not lo <= 0 <= hi for _, _, lo, hi in (whole, *without)]
+        hinges = ",".join(str(i) for (i, _), c in zip(pairs, clear[1:], strict=True) if not c)
+        rows.append((*map(str, g), int(whole[0]), *map(float, whole[1:]), bool(clear[0]), int(sum(clear[1:])), len(v), hinges))
+    return values.sparkSession.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + ", n int, mean double, lo double, hi double, excludes_zero boolean, loo_surviving int, loo_total int, hinges string")

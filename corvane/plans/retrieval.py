@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ireval, ranking, stats
+from ..session import materialize
 from .corpus import FOLD
 from .tables import table
 
@@ -227,46 +228,61 @@ def abstention_quality(spark, sf_dir):
     return _r(ireval.confusion(d, F.col("quality") == 1, F.col("n_chars") >= 200), "precision", "recall", "f1")
 
 
-def _hits(spark, sf_dir):
-    s = scored_of(spark, sf_dir)
-    return s.select(F.col("query_id").alias("id"), kind().alias("slice"), "dense_recall", "lexical_recall", "hybrid_recall")
+PAIRS = {"dense_minus_hybrid": ("dense", "hybrid"), "lexical_minus_hybrid": ("lexical", "hybrid"), "dense_minus_lexical": ("dense", "lexical")}
+SLICES, METRICS = ("named", "broad", "all"), ("recall", "rr")
 
 
-B = 200
+def _values(scored: DataFrame, pairs: bool = False) -> DataFrame:
+    """arm (or pair), slice, metric, id and value of every scored query; a scratch table."""
+    names = PAIRS if pairs else {a: (a, None) for a in ireval.ARM_RANKS}
+    value = lambda x, y, m: F.col(f"{x}_{m}") - F.col(f"{y}_{m}") if y else F.col(f"{x}_{m}")
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(m).alias("metric"), value(*xy, m).alias("value")) for a, xy in names.items() for m in METRICS]))
+    long = ireval.sliced(scored, kind()).select(F.col("query_id").alias("id"), "slice", cells.alias("c"))
+    return materialize(long.select("c.arm", "slice", "c.metric", "id", "c.value"), "values")
 
 
 def bootstrap_ci(spark, sf_dir):
-    v = _hits(spark, sf_dir)
-    return _r(stats.bootstrap(v.select("id", "slice", F.col("hybrid_recall").alias("value")), ["slice"], B), "mean", "lo", "hi")
+    """Intervals of every arm, slice and metric."""
+    return _r(stats.bootstrap(_values(scored_of(spark, sf_dir)), ["arm", "slice", "metric"]), "mean", "lo", "hi")
 
 
 def paired_ci(spark, sf_dir):
-    from ..session import materialize
-
-    v = materialize(_hits(spark, sf_dir), "hits")
-    a, b = (v.select("id", "slice", F.col(c).alias("value")) for c in ("lexical_recall", "hybrid_recall"))
-    return _r(stats.paired(a, b, ["slice"], B), "mean", "lo", "hi")
+    """Intervals of the differences of two arms, in every slice and metric."""
+    out = stats.bootstrap(_values(scored_of(spark, sf_dir), pairs=True), ["arm", "slice", "metric"])
+    return _r(out.withColumn("includes_zero", (F.col("lo") <= 0) & (F.col("hi") >= 0)), "mean", "lo", "hi")
 
 
 def loo_stability(spark, sf_dir):
-    v = _hits(spark, sf_dir).select("id", (F.col("lexical_recall") - F.col("dense_recall")).alias("value"))
-    from ..session import materialize
-
-    return _r(stats.leave_one_out(materialize(v, "diffs"), B).withColumn("left_out", F.col("left_out").cast("string")), "mean", "lo", "hi")
+    v = scored_of(spark, sf_dir).select(F.col("query_id").alias("id"), (F.col("lexical_recall") - F.col("dense_recall")).alias("value"))
+    return _r(stats.leave_one_out(materialize(v, "diffs")).withColumn("left_out", F.col("left_out").cast("string")), "mean", "lo", "hi")
 
 
 def bootstrap_numpy(spark, sf_dir):
-    v = _hits(spark, sf_dir)
-    long = v.select("id", "slice", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}_recall").alias("value")) for a in ireval.ARM_RANKS])).alias("m")).select("id", "slice", "m.*")
-    order = [(a, s) for a in ireval.ARM_RANKS for s in ("named", "broad")]
-    return _r(stats.numpy_grid(long, order, ["arm", "slice"]), "mean", "lo", "hi")
+    """The whole grid from one generator: arms, then pairs, by slice and metric."""
+    scored = materialize(scored_of(spark, sf_dir), "scored")
+    values = _values(scored).unionAll(_values(scored, pairs=True))
+    order = [(a, s, m) for names in (ireval.ARM_RANKS, PAIRS) for a in names for s in SLICES for m in METRICS]
+    return _r(stats.numpy_grid(values, order, ["arm", "slice", "metric"]), "mean", "lo", "hi")
+
+
+def pool_ci(spark, sf_dir):
+    """Paired intervals of recall against the hybrid arm, a fresh generator each, with leave-one-out, at every pool."""
+    corpus, rows = corpus_of(spark, sf_dir), None
+    heads, gold = heads_of(spark, sf_dir, corpus, DEEP), materialize(gold_of(spark, sf_dir, corpus[0]), "gold")
+    for pool in POOLS:
+        scored = ireval.per_query(ireval.gold_ranks(gold, ireval.with_hybrid(heads, pool)), K)
+        part = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), (F.col(f"{x}_recall") - F.col("hybrid_recall")).alias("value")) for p, (x, y) in PAIRS.items() if y == "hybrid"]))
+        long = scored.select(F.col("query_id").alias("id"), F.lit(str(pool)).alias("pool"), part.alias("c")).select("pool", "c.pair", "id", "c.value")
+        rows = long if rows is None else rows.unionAll(long)
+    order = [(str(p), name) for p in POOLS for name, (_, y) in PAIRS.items() if y == "hybrid"]
+    return _r(stats.numpy_paired(rows, order, ["pool", "pair"]), "mean", "lo", "hi")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_eval, doc_stats, term_df, dense_topk, dense_eval, rrf_topk, weighted_fusion, arm_metrics, complementarity, decisive_queries, candidate_size, best_gold_rank, pool_sweep, ndcg,
-        fielded_bm25, recency_topk, rerank_topk, abstentions, query_routing, query_expansion, abstention_quality, bootstrap_ci, paired_ci, loo_stability, bootstrap_numpy,
+        fielded_bm25, recency_topk, rerank_topk, abstentions, query_routing, query_expansion, abstention_quality, bootstrap_ci, paired_ci, loo_stability, bootstrap_numpy, pool_ci,
     )
 }
 
@@ -330,10 +346,18 @@ def _sweep_sql() -> str:
 
 _DOCS = "docs AS (SELECT doc_id, regexp_extract(text, '^[^\\n]*') AS title, substr(text, length(regexp_extract(text, '^[^\\n]*')) + 2) AS body FROM documents)"
 _BOOT = """, boot AS (SELECT grp, rep, any_value(n) AS n, any_value(mean) AS mean, avg(v[1 + CAST('0x' || substr(md5('20260531|' || rep || '|' || i), 1, 8) AS BIGINT) % n]) AS m
-  FROM (SELECT grp, list(value ORDER BY id) AS v, count(*) AS n, avg(value) AS mean FROM vals GROUP BY grp), unnest(range(0, 200)) AS r(rep), unnest(range(0, n)) AS s(i) GROUP BY grp, rep)
+  FROM (SELECT grp, list(value ORDER BY id) AS v, count(*) AS n, avg(value) AS mean FROM vals GROUP BY grp), unnest(range(0, 10000)) AS r(rep), unnest(range(0, n)) AS s(i) GROUP BY grp, rep)
 """
 _CI = "any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi"
 
+
+
+def _arm_values(pairs: bool = False) -> str:
+    names = PAIRS if pairs else {a: (a, None) for a in ireval.ARM_RANKS}
+    value = lambda x, y, m: f"{x}_{m}" + (f" - {y}_{m}" if y else "")
+    return " UNION ALL ".join(f"SELECT {{'arm': '{a}', 'slice': slice, 'metric': '{m}'}} AS grp, query_id AS id, {value(*xy, m)} AS value FROM {_SLICES}" for a, xy in names.items() for m in METRICS)
+
+
 ORACLE = {
     "bm25_topk": f"WITH {_LEX} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10",
     "bm25_eval": f"WITH {_LEX}, {_GOLD} SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM (SELECT query_id, count(rank) / count(*) AS recall, coalesce(1.0 / min(rank), 0) AS rr FROM gold LEFT JOIN (SELECT * FROM lex WHERE rank <= 10) USING (query_id, doc_id) GROUP BY 1)",
@@ -363,7 +387,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, score2, rank FROM (SELECT que
     "query_routing": "SELECT item_id AS query_id, CASE WHEN regexp_matches(lower(text), 'the [a-z]+ing') THEN 'catalog' WHEN regexp_matches(lower(text), ' de | la ') THEN 'archive' ELSE 'papers' END AS source FROM benchmark",
     "query_expansion": "WITH a AS (SELECT string_agg(n, ' ' ORDER BY n) AS more FROM (SELECT DISTINCT lower(n_name) AS n FROM nation)) SELECT item_id AS query_id, md5(text || CASE WHEN list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') THEN ' ' || more ELSE '' END) AS query_md5 FROM benchmark, a",
     "abstention_quality": "SELECT tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT count(*) FILTER (quality = 1 AND n_chars >= 200) AS tp, count(*) FILTER (quality <> 1 AND n_chars >= 200) AS fp, count(*) FILTER (quality = 1 AND n_chars < 200) AS fn, count(*) FILTER (quality <> 1 AND n_chars < 200) AS tn FROM documents JOIN labels USING (doc_id))",
-    "bootstrap_ci": f"WITH {_EVAL}, vals AS (SELECT kind AS grp, query_id AS id, hybrid_recall AS value FROM scored){_BOOT} SELECT grp AS slice, {_CI} FROM boot GROUP BY grp",
-    "paired_ci": f"WITH {_EVAL}, vals AS (SELECT kind AS grp, query_id AS id, lexical_recall - hybrid_recall AS value FROM scored){_BOOT} SELECT *, lo <= 0 AND hi >= 0 AS includes_zero FROM (SELECT grp AS slice, {_CI} FROM boot GROUP BY grp)",
+    "bootstrap_ci": f"WITH {_EVAL}, vals AS ({_arm_values()}){_BOOT} SELECT grp.arm AS arm, grp.slice AS slice, grp.metric AS metric, {_CI} FROM boot GROUP BY grp",
+    "paired_ci": f"WITH {_EVAL}, vals AS ({_arm_values(True)}){_BOOT} SELECT *, lo <= 0 AND hi >= 0 AS includes_zero FROM (SELECT grp.arm AS arm, grp.slice AS slice, grp.metric AS metric, {_CI} FROM boot GROUP BY grp)",
     "loo_stability": f"WITH {_EVAL}, vals AS (SELECT CAST(o.query_id AS VARCHAR) AS grp, s.query_id AS id, s.lexical_recall - s.dense_recall AS value FROM scored s JOIN scored o ON o.query_id <> s.query_id){_BOOT} SELECT *, lo > 0 OR hi < 0 AS excludes_zero FROM (SELECT grp AS left_out, {_CI} FROM boot GROUP BY grp)",
 }

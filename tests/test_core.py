@@ -113,9 +113,9 @@ def test_evaluation(spark):
 
 
 def test_bootstrap(spark):
-    ci = stats.numpy_interval([1, 0, 0.5, 1, 0], np.random.default_rng(20260531))
-    assert (ci["mean"], ci["lo"], ci["hi"]) == pytest.approx((0.5, 0.1, 0.9))
-    assert stats.numpy_interval([], np.random.default_rng(1)) == {"n": 0, "mean": 0.0, "lo": 0.0, "hi": 0.0}
+    n, mean, lo, hi = stats.stream_intervals([np.array([1, 0, 0.5, 1, 0])])[0]
+    assert (n, mean, lo, hi) == pytest.approx((5, 0.5, 0.1, 0.9))
+    assert stats.stream_intervals([np.array([])], seed=1).tolist() == [[0, 0, 0, 0]]
     v = spark.createDataFrame([(i, "g", 2.0) for i in range(5)], "id long, slice string, value double")
     r = one(stats.bootstrap(v, ["slice"], 50))
     assert (r.n, r.mean, r.lo, r.hi) == (5, 2.0, 2.0, 2.0)
@@ -123,6 +123,73 @@ def test_bootstrap(spark):
     assert (loo.n, loo.surviving, loo.hinges) == (5, 5, "")
 
 
+def test_bootstrap_grids(spark, monkeypatch):
+    """Intervals of several groups against plain loops over the same stream, and in blocks."""
+    rng = np.random.default_rng(3)
+    data = {("x", "a"): rng.random(7), ("x", "b"): rng.random(12) - 0.5, ("y", "a"): np.array([])}
+    rows = [(*g, i, float(v)) for g, vs in data.items() for i, v in reversed(list(enumerate(vs)))]
+    values = spark.createDataFrame(rows, "arm string, slice string, id long, value double")
+
+    def plain(vs, generator, b=300):
+        if not len(vs):
+            return 0, 0.0, 0.0, 0.0
+        means = [np.mean([vs[i] for i in row]) for row in generator.integers(0, len(vs), size=(b, len(vs)))]
+        return len(vs), vs.mean(), np.percentile(means, 2.5), np.percentile(means, 97.5)
+
+    order = [*data, ("x", "a")]
+    for block in (1 << 22, 40):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        one_stream = np.random.default_rng(9)
+        want = [plain(data[g], one_stream) for g in order]
+        got = stats.numpy_grid(values, order, ["arm", "slice"], 300, 9).collect()
+        assert [(r.arm, r.slice) for r in got] == order and np.allclose([(r.n, r.mean, r.lo, r.hi) for r in got], want)
+        fresh = stats.numpy_grid(values, order, ["arm", "slice"], 300, 9, fresh=True).collect()
+        assert np.allclose([(r.n, r.mean, r.lo, r.hi) for r in fresh], [plain(data[g], np.random.default_rng(9)) for g in order])
+    r = stats.numpy_paired(values, [("x", "b")], ["arm", "slice"], 300, 9).first()
+    v = data["x", "b"]
+    clear = lambda ci: not ci[2] <= 0 <= ci[3]
+    alone = [clear(plain(np.delete(v, i), np.random.default_rng(9))) for i in range(12)]
+    assert (r.excludes_zero, r.loo_surviving, r.loo_total) == (clear(plain(v, np.random.default_rng(9))), sum(alone), 12)
+    assert r.hinges == ",".join(str(i) for i in range(12) if not alone[i])
+
+
+def test_leave_one_out_against_each_subset(spark):
+    rows = [(i * 3, float(np.sin(i))) for i in range(9)]
+    got = {r.left_out: r for r in stats.leave_one_out(spark.createDataFrame(rows, "id long, value double"), 60).collect()}
+    for i, _ in rows:
+        rest = spark.createDataFrame([("g", j, v) for j, v in rows if j != i], "g string, id long, value double")
+        r = one(stats.bootstrap(rest, ["g"], 60))
+        assert (got[i].n, got[i].mean, got[i].lo, got[i].hi) == pytest.approx((r.n, r.mean, r.lo, r.hi))
+    assert stats.leave_one_out(spark.createDataFrame(rows[:1], "id long, value double"), 5).count() == 0
+
+
+def test_best_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(q, d, float(rng.integers(0, 6))) for q in range(4) for d in range(30)]
+    gold = [(0, 3), (0, 9), (1, 29), (2, 99), (3, 0), (3, 0), (7, 1)]
+    scored = spark.createDataFrame(rows, "query_id long, doc_id long, score double")
+    got = {r.query_id: r.best for r in ranking.best_ranks(scored, spark.createDataFrame(gold, "query_id long, doc_id long"), "best").collect()}
+    want = {}
+    for q in range(4):
+        order = [d for _, d in sorted((s, d) for p, d, s in rows if p == q)]
+        places = [order.index(d) + 1 for p, d in gold if p == q and d in order]
+        want |= {q: min(places)} if places else {}
+    assert got == want
+
+
+def test_gold_is_found_by_inner_words(spark, tmp_path):
+    """Against ``in``: items that begin or end amid words, of one word, with odd white space, and nulls."""
+    from corvane.plans import retrieval
+
+    docs = ["xalpha beta gamma deltax", "alpha  beta gamma", "Alpha beta gamma delta", "one", "zone two", None, "", "alpha beta gamma delta epsilon", "two", "beta gamma"]
+    items = ["alpha beta gamma delta", "one", "e two", "beta gamma", "alpha  beta gamma", "no such words here", None, "Alpha beta gamma"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    post, _ = retrieval.corpus_of(spark, str(tmp_path))
+    got = sorted((r.query_id, r.doc_id) for r in retrieval.gold_of(spark, str(tmp_path), post).collect())
+    assert got == sorted((i, j) for i, x in enumerate(items) for j, d in enumerate(docs) if x is not None and d is not None and x in d)
+
+
 def test_merge_and_guards(spark, tmp_path):
     base = spark.createDataFrame(PAPERS[:2], PAPER)
     new = spark.createDataFrame([("2022ApJ...900..002B", "Other", 1, [], "x"), PAPERS[2]], PAPER)
