@@ -31,7 +31,9 @@ components are those of all links.
 
 The frequency order comes from counts of all shingles of all documents in a
 table of hash buckets whose size follows the input up to ``2**MOST_BITS``
-(16 MB); it only decides which lists are short, never which pairs are found.
+(16 MB). A task counts a bucket up to 255 and hands its table on compressed, a
+byte a bucket, to one of ``PARTS`` reducers. The order only decides which lists
+are short, never which pairs are found.
 
 Defined results: null and empty texts have empty sets and link with nothing;
 rows with a null doc_id link with nothing and have a null component; rows that
@@ -56,7 +58,7 @@ from .arrowio import batched, map_arrow, map_texts, rows_of, text_groups
 from .graph import components
 from .words import mix, shingle_sets, words_of
 
-MOST_BITS, LEAST_BITS, PARTS = 24, 14, 64
+MOST_BITS, LEAST_BITS, PARTS = 24, 14, 256
 #: Sizes up to which light sets are considered at all; beyond, subsets outgrow any list.
 MOST_LIGHT = 24
 #: Relative cost of a list entry against an enumerated subset.
@@ -110,7 +112,7 @@ def _sets(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
                 yield doc_id, len(tokens), set_digest(tokens) if len(tokens) else None, None, None
         for part, piece in enumerate(np.split(counts, PARTS)):
             if piece.any():
-                yield None, None, None, part, zlib.compress(piece.tobytes(), 1)
+                yield None, None, None, part, zlib.compress(np.minimum(piece, 255).astype(np.uint8).tobytes(), 1)
 
     return map_arrow(documents.select("doc_id", "text"), lambda batches: batched(scan(batches), arrow), schema)
 
@@ -124,7 +126,7 @@ def _order(scanned: DataFrame, bits: int) -> np.ndarray:
 
         sums: dict[int, np.ndarray] = {}
         for part, counts in rows_of(batches, 16):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint8).astype(np.uint64)
         for part, total in sums.items():
             classes = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["part", "classes"])
