@@ -7,6 +7,7 @@ is missing (tests, notebooks) a temporary folder is used, in local mode only.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,16 @@ def release(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done.
+
+    Its cleaner acts on plans that the driver's garbage collector has found
+    unused, which a driver with little to do may not run for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def plan_bytes(df: DataFrame, unknown: int = 1 << 28) -> int:
     """Catalyst's size estimate of the rows of ``df``; ``unknown`` where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
