@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, plan_bytes, release
+from ..session import materialize, plan_bytes, release, tidy
 from . import bloom
 from .arrowio import batched, map_arrow, map_texts, rows_of, text_groups
 from .graph import components
@@ -352,6 +352,7 @@ def linked(documents: DataFrame, rule: Rule | None = None, leader_rounds: int =
     for turn in range(leader_rounds):
         edges = edges.unionAll(verified(_leader_pairs(_with_component(lists, found), rule, turn), docs, reps, rule))
         found = components(edges)
+        tidy(documents.sparkSession)
     last = verified(_cross_pairs(_with_component(lists, found), rule), docs, reps, rule)
     release(lists)
     found = components(edges.unionAll(last))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import materialize, release
+from ..session import materialize, release, tidy
 from . import bloom
 from .arrowio import map_arrow, map_texts
 from .words import mix, words_of
@@ -257,6 +257,7 @@ def repeats(chunked: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
     segments = materialize(_segments(again, min_words), "line-segments")
     for table in (groups, found, firsts):
         release(table)
+    tidy(chunked.sparkSession)
     texts = materialize(_home_texts(chunked, segments), "line-texts")
     met = segments.join(texts, ["home", "j0", "j1"]).groupBy("row")
     return segments, met.agg(F.collect_list(F.struct("i0", "i1", "before", "data", "behind")).alias("parts"))

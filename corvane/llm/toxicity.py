@@ -154,9 +154,12 @@ def fit(
         terms = Terms(bits)
         return lambda row: [(row[0], int(row[2]), terms.of_text(row[1]).tolist())]
 
-    each = map_rows(docs, make, "doc_id long, y int, buckets array<int>", limit=100)
-    seen = materialize(each.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("buckets").alias("buckets")), "toxic-terms")
-    n, pos = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    seen = materialize(map_rows(docs, make, "doc_id long, y int, buckets array<int>", limit=100), "toxic-terms")
+    n, pos, ids = seen.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0)), F.count_distinct("doc_id")).first()
+    if ids < n:  # rows that repeat a doc_id; without them the sample is bounded as it is
+        old, seen = seen, materialize(seen.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("buckets").alias("buckets")), "toxic-terms")
+        release(old)
+        n, pos = seen.agg(F.count("*"), F.sum("y")).first()
     if not n or pos in (0, n):
         release(seen)
         share = min(max(pos / n if n else 0.0, 1e-9), 1 - 1e-9)
