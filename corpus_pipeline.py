@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 ``run`` writes every stage as Parquet into the shared folder and reads it again
-as the next one's documents. All stages but the last return the columns of
+as the next one's documents; a stage's table goes when the next one is written. All stages but the last return the columns of
 ``documents``; the last adds nothing but draws the sample.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, jaccard, linededup, mixing, toxicity
-from corvane.session import materialize
+from corvane.session import materialize, release, tidy
 
 #: Near copies share five-word shingles at a similarity of 0.8 or more.
 NEAR_COPIES = jaccard.Rule(width=5, num=80, den=100)
@@ -59,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
+        tidy(spark)
     return docs
