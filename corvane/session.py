@@ -56,7 +56,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it again; cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
     return out
