@@ -36,9 +36,7 @@ from __future__ import annotations
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -259,6 +257,7 @@ def repeats(chunked: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame,
         release(table)
     tidy(chunked.sparkSession)
     texts = materialize(_home_texts(chunked, segments), "line-texts")
+    tidy(chunked.sparkSession)
     met = segments.join(texts, ["home", "j0", "j1"]).groupBy("row")
     return segments, met.agg(F.collect_list(F.struct("i0", "i1", "before", "data", "behind")).alias("parts"))
 
@@ -329,17 +328,6 @@ def without(data: bytes, gone: list[tuple[int, int]]) -> str:
     return b"".join(keep).rstrip(b" \t\n\x0b\x0c\r").decode()
 
 
-def packed():
-    """A function that compresses texts before they are shuffled; null stays null."""
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        return pd.Series([None if t is None else squeeze.compress(t.encode()) for t in texts])
-
-    return pack
-
-
 def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of ``documents`` with the repeats taken out of text, and n_removed.
 
@@ -349,17 +337,14 @@ def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunked = _chunked(documents)
     segments, gone = repeats(chunked, min_words)
     may, other = bloom.split(chunked.select("row", "rest", "text", "a"), "row", segments.select("row").distinct(), "row")
-    may = may.select("row", "rest", packed()("text").alias("text"), "a")
     hit = may.join(gone, "row", "left").select("rest", "text", "a", "parts")
 
     def make():
-        unpack = zstandard.ZstdDecompressor()
-
         def each(rows):
-            for rest, packed_text, a, parts in rows:
-                data = None if packed_text is None else unpack.decompress(packed_text)
+            for rest, text, a, parts in rows:
+                data = text.encode() if parts else b""
                 cut = ranges(data, a, parts, min_words) if parts else []
-                yield rest, without(data, cut) if cut else (None if data is None else data.decode()), len(cut)
+                yield rest, without(data, cut) if cut else text, len(cut)
 
         return each
 
