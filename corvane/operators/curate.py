@@ -193,17 +193,34 @@ def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of (id, ra, dec) rows within ``radius`` degrees, and their distance.
-
-    Both sides are dealt into declination zones of the radius; the right one is
-    copied to its neighbours, so the join is an equi-join of bounded fan-out.
+    """Pairs of (id, ra, dec) rows, in degrees, within ``radius`` degrees, and their distance.
+
+    The sky is dealt into zones of declination as high as the radius, and each zone
+    into cells of right ascension as wide as the radius is at the zone's end nearer
+    to a pole (one cell where the radius reaches the pole). A left row has one cell,
+    a right row is copied to its own and the neighbouring cells of three zones, nine
+    at most, so the join is an equi-join whose candidates lie within two radii. Rows
+    with a null coordinate have no partner.
     """
     zone = lambda c: F.floor((c + 90) / radius).cast("int")
-    a = left.select(F.col("id").alias("left_id"), F.radians("ra").alias("ra1"), F.radians("dec").alias("dec1"), zone(F.col("dec")).alias("zone"))
-    z = zone(F.col("dec"))
-    b = right.select(F.col("id").alias("right_id"), F.radians("ra").alias("ra2"), F.radians("dec").alias("dec2"), F.explode(F.array(z - 1, z, z + 1)).alias("zone"))
+
+    def cells(z: Column) -> Column:
+        far = F.greatest(F.abs(z * radius - 90), F.abs((z + 1) * radius - 90))
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(float(min(radius, 90.0))))) / F.cos(F.radians(far))))) * (1 + 1e-9)
+        return F.when(far + radius >= 90, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / wide))).cast("int")
+
+    def cell(ra: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(ra, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+
+    point = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), "ra", "dec", zone(F.col("dec")).alias("z")).where("ra is not null and dec is not null")
+    rads = lambda k: [F.radians("ra").alias(f"ra{k}"), F.radians("dec").alias(f"dec{k}")]
+    a = point(left, "left").select("left_id", *rads(1), F.col("z").alias("zone"), cell(F.col("ra"), cells(F.col("z"))).alias("cell"))
+    b = point(right, "right").withColumn("zone", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
+    b = b.withColumn("n", cells(F.col("zone"))).withColumn("own", cell(F.col("ra"), F.col("n")))
+    near = F.array_distinct(F.array(*[F.pmod(F.col("own") + d, F.col("n")) for d in (-1, 0, 1)]))
+    b = b.select("right_id", *rads(2), "zone", F.explode(near).alias("cell"))
     hav = F.pow(F.sin((F.col("dec1") - F.col("dec2")) / 2), 2) + F.cos("dec1") * F.cos("dec2") * F.pow(F.sin((F.col("ra1") - F.col("ra2")) / 2), 2)
-    met = a.join(b, "zone").withColumn("distance", F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(hav)))))
+    met = a.join(b, ["zone", "cell"]).withColumn("distance", F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(hav)))))
     return met.where(F.col("distance") <= radius).select("left_id", "right_id", "distance")
 
 

@@ -187,9 +187,10 @@ def event_velocity(spark, sf_dir):
 
 def stream_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    delay = f"{int((last - first).total_seconds()) + 3600 if first else 3600} seconds"  # files come in any order, so nothing is late
     events = stream.file_stream(spark, f"{sf_dir}/events.parque[t]", schema)  # a pattern takes a file and a folder alike
-    counts = stream.windowed_counts(events, "ts", "1 hour", "1 hour", "event_type")
-    out = stream.run_available(counts, spark)
+    out = stream.run_available(stream.windowed_counts(events, "ts", "1 hour", delay, "event_type"), spark, "ts")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -253,6 +254,17 @@ SELECT doc_id, CAST(s / 462 AS INTEGER) AS chunk_index, CAST(len(w[s + 1:s + 512
     "contamination": f"""WITH d AS (SELECT doc_id, {_TOK.format(FOLD.format("coalesce(text, '')"))} AS w FROM documents), b AS (SELECT item_id, {_TOK.format(FOLD.format("coalesce(text, '')"))} AS w FROM benchmark),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS r(i)), bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM b, unnest(range(1, len(w) - 11)) AS r(i))
 SELECT item_id, doc_id, count(*) AS n_shared FROM bg JOIN dg USING (g) GROUP BY 1, 2""",
+    "near_dups": f"""WITH d AS (SELECT doc_id, {_TOK.format(FOLD.format("coalesce(text, '')"))} AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+met AS (SELECT a.doc_id, b.doc_id AS keeper, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND b.doc_id < a.doc_id GROUP BY ALL),
+near AS (SELECT m.doc_id, keeper, o / CAST(p.n + q.n - o AS DOUBLE) AS jaccard FROM met m JOIN sizes p ON p.doc_id = m.doc_id JOIN sizes q ON q.doc_id = keeper)
+SELECT doc_id, min(keeper) AS keeper, arg_min(jaccard, keeper) AS jaccard FROM near WHERE jaccard >= 0.8 GROUP BY doc_id""",
+    "clean_markup": rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '\\[A-Za-z]+\*?(\[[^\]]*\])?', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+e AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[{{}}]', ' ', 'g'), '[\x00-\x08\x0e-\x1f\x7f]', '', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS t FROM c)
+SELECT page_id, length(t) AS n_chars, regexp_matches(t, '\\[A-Za-z]+|</?[A-Za-z][^>]*>') AS residue FROM e""",
     "chat_fold": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn, role, text) AS roles, string_agg(CASE WHEN role = 'assistant' THEN 'true' ELSE 'false' END, ',' ORDER BY turn, role, text) AS mask FROM conversations GROUP BY conv_id",
     "section_split": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS section_index, length(l[i]) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i) WHERE length(trim(l[i])) > 0",
     "cross_match": """WITH p AS (SELECT vec_id AS id, radians(CAST(embedding[1] AS DOUBLE) * 180) AS ra, radians(CAST(embedding[2] AS DOUBLE) * 90) AS dc FROM embeddings),
@@ -260,8 +272,7 @@ m AS (SELECT a.id AS left_id, b.id AS right_id, round(degrees(2 * asin(least(1.0
 SELECT left_id, right_id, distance FROM m WHERE distance <= 5 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id) = 1""",
     "co_citation": "WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT x.p AS a, y.p AS b, count(*) AS n FROM e x JOIN e y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2 HAVING count(*) > 1",
     "event_velocity": "SELECT event_type, strftime(period, '%Y-%m-%d') AS period, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY period) AS change FROM (SELECT event_type, date_trunc('day', ts) AS period, count(*) AS n FROM events GROUP BY 1, 2)",
-    "stream_counts": """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2), last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, n, total FROM w, last WHERE start + INTERVAL 1 HOUR <= mark""",
+    "stream_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "fuzzy_names": """WITH g AS (SELECT s_suppkey, list_distinct([substr('  ' || lower(s_name) || ' ', i, 3) FOR i IN range(1, length(s_name) + 2)]) AS g FROM supplier)
 SELECT a.s_suppkey AS q, b.s_suppkey, round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 6) AS similarity FROM g a, g b WHERE a.s_suppkey % 100 = 0 AND a.s_suppkey <> b.s_suppkey AND round(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 6) >= 0.6""",
 }

@@ -30,13 +30,26 @@ def windowed_counts(stream: DataFrame, time: str, window: str, delay: str, *keys
     return stream.withWatermark(time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
-def run_available(counts: DataFrame, spark: SparkSession) -> DataFrame:
+def run_available(counts: DataFrame, spark: SparkSession, time: str | None = None) -> DataFrame:
     """Run a windowed stream over all that is there and return what it has emitted.
 
     Windows that the watermark has not passed at the end of the input are not
-    emitted in append mode; the batch form of the same query has them.
+    emitted in append mode. With ``time`` (the name of the time column) the stream
+    runs in update mode instead and the last state of each window counts, so the
+    input is taken for complete and every window is there.
     """
     target, mark = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
-    query = counts.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(target)
+    writer = counts.writeStream.option("checkpointLocation", mark).trigger(availableNow=True)
+    if time is None:
+        writer.format("parquet").outputMode("append").option("path", target).start().awaitTermination()
+        return spark.read.schema(counts.schema).parquet(target)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+
+    writer.outputMode("update").foreachBatch(store).start().awaitTermination()
+    keys = [c for c in counts.columns if c not in ("n", "total")]
+    schema = counts.schema.add("batch", "long")
+    states = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)
+    last = F.max_by(F.struct("n", "total"), "batch").alias("last")
+    return states.groupBy(*keys).agg(last).select(*keys, "last.n", "last.total")
