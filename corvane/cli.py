@@ -1,21 +1,27 @@
 """Command line: python -m corvane.cli COMMAND ...
 
-ingest, index, retrieve, evaluate, sweep, build and status over JSON lines.
+ingest, index, retrieve, evaluate, ablate, sweep, prepare, commit, build and status.
+Papers and gold are JSON lines; vectors come as Parquet (doc_id, vector) and those of
+queries as Parquet (query_id, vector) or, for one query, as a JSON list. ``train`` is
+no command: models are trained elsewhere.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
+import os
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from .functions.text import indexed_text
-from .operators import contract, ingest, ireval, ranking
-from .plans import authoring
+from .functions.text import default_example_id, indexed_text, kind_of
+from .operators import contract, ingest, ireval, ranking, stats
+from .plans import authoring, evaluation
 from .session import get_session
 from .sources import readers, writers
-from .sources.schemas import PAPER, RAW_PAPER
+from .sources.schemas import ARMS, PAPER, RAW_PAPER
 
 
 def _docs(corpus):
@@ -41,9 +47,28 @@ def run_index(spark, a) -> int:
     return 0
 
 
+def _top(spark, a, queries):
+    """query_id, doc_id, score and the ranks of the arm that is asked for."""
+    if a.arm == "lexical":
+        top = ranking.search_index(queries, a.index, a.k)
+        return top.withColumns({"dense_rank": F.lit(None).cast("int"), "lexical_rank": F.col("rank")})
+    if not a.vectors or "vector" not in queries.columns:
+        raise SystemExit("a dense arm needs --vectors and the vectors of the queries")
+    vectors, pool = spark.read.parquet(a.vectors), max(50, a.k)
+    dense = ranking.dense_topk(queries, vectors, a.k if a.arm == "dense" else pool)
+    if a.arm == "dense":
+        return dense.withColumns({"dense_rank": F.col("rank"), "lexical_rank": F.lit(None).cast("int")})
+    return ranking.fuse(dense, ranking.search_index(queries, a.index, pool), a.k)
+
+
+def _one_query(spark, a):
+    vector = [float(x) for x in json.loads(a.query_vector)] if a.query_vector else None
+    q = spark.createDataFrame([("q", a.query, vector)], "query_id string, query string, vector array<double>")
+    return q if vector else q.drop("vector")
+
+
 def run_retrieve(spark, a) -> int:
-    q = spark.createDataFrame([(0, a.query)], "query_id long, query string")
-    for r in ranking.search_index(q, a.index, a.k).orderBy("rank").collect():
+    for r in _top(spark, a, _one_query(spark, a)).orderBy("rank").collect():
         print(f"{r['doc_id']}\t{r['score']:.6f}")
     return 0
 
@@ -52,12 +77,78 @@ def _gold(queries):
     return queries.select("query_id", F.explode("gold").alias("doc_id"))
 
 
-def run_evaluate(spark, a) -> int:
-    with open(a.queries) as f:
+def _queries(spark, a):
+    with open(a.queries, encoding="utf-8") as f:
         queries = readers.query_set(spark, f.read())
-    top = ranking.search_index(queries, a.index, a.k).select("query_id", "doc_id", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lexical_rank"), F.col("rank").alias("hybrid_rank"))
-    scored = ireval.per_query(ireval.gold_ranks(_gold(queries), top), a.k)
-    print(writers.markdown(ireval.arm_table(scored, F.lit("scored")).where("arm = 'lexical' and slice = 'all'")))
+    return queries.join(spark.read.parquet(a.query_vectors), "query_id", "left") if a.query_vectors else queries
+
+
+def run_evaluate(spark, a) -> int:
+    queries = _queries(spark, a)
+    ranks = _top(spark, a, queries).select("query_id", "doc_id", "dense_rank", "lexical_rank", F.col("rank").alias("hybrid_rank"))
+    counted = ireval.accounting(queries, _gold(queries), F.lit("scored")).first()
+    scored = ireval.per_query(ireval.gold_ranks(_gold(queries), ranks), a.k)
+    print(writers.markdown(ireval.arm_table(scored, F.lit("scored")).where((F.col("arm") == a.arm) & (F.col("slice") == "all"))))
+    print(f"{counted['n_scored']} scored, skipped: {', '.join(counted['skipped']) or 'none'}")
+    return 0
+
+
+def _report(spark, a, results) -> int:
+    for name, table in results.items():
+        print(f"### {name}\n\n{json.dumps(table) if isinstance(table, dict) else writers.markdown(table)}")
+    if a.json_out:
+        writers.write_results(results, a.json_out, spark)
+    return 0
+
+
+def run_ablate(spark, a) -> int:
+    queries = _queries(spark, a)
+    return _report(spark, a, evaluation.ablation(queries, _gold(queries), spark.read.parquet(a.vectors), a.index, kind_of(F.col("query_id")), a.k, a.pool, a.bootstrap, a.seed))
+
+
+def run_sweep(spark, a) -> int:
+    queries = _queries(spark, a)
+    with open(a.partition, encoding="utf-8") as f:
+        partition = readers.partition_set(spark, f.read())
+    expected = spark.read.schema("pool int, slice string, union_recall double").json(a.expected) if a.expected else None
+    try:
+        results = evaluation.sweep(queries, _gold(queries), spark.read.parquet(a.vectors), a.index, partition, [int(p) for p in a.pools.split(",")], a.k, expected, a.bootstrap, a.seed)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    return _report(spark, a, results)
+
+
+def run_prepare(spark, a) -> int:
+    corpus = readers.load_snapshot(spark, a.corpus, schema=PAPER)
+    try:
+        authoring.check_flags(a.family, a.partition, a.negative, a.negative_type)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    if os.path.exists(a.out) and not (a.force or a.dry_run):
+        print(f"{a.out} exists; --force overwrites it", file=sys.stderr)
+        return 1
+    q = _one_query(spark, a)
+    frozen = ingest.content_hash(corpus)
+    context = authoring.assemble_context(q, corpus, spark.read.parquet(a.vectors), frozen, datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")).orderBy("rank")
+    rows = [{k: r[k] for k in ("bibcode", "chunk_id", "retrieval_score")} for r in context.collect()]
+    name = a.example_id or spark.range(1).select(default_example_id(F.lit(a.family), F.lit(a.partition), F.lit(a.query), F.lit(a.negative))).first()[0]
+    sheet = authoring.worksheet(name, a.query, a.family, a.partition, rows, frozen, a.negative, a.negative_type)
+    shown = authoring.render_context(context, corpus, a.render_limit or authoring.POOL).first()
+    print(shown["text"] if shown else "no context")
+    if not a.dry_run:
+        with open(a.out, "w", encoding="utf-8") as f:
+            json.dump(sheet, f, indent=2, ensure_ascii=False)
+    return 0
+
+
+def run_commit(spark, a) -> int:
+    try:
+        authoring.commit(spark, authoring.read_worksheet(spark, a.sheet), a.gold, readers.load_snapshot(spark, a.corpus, schema=PAPER))
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
     return 0
 
 
@@ -85,8 +176,17 @@ def parser() -> argparse.ArgumentParser:
     need, dry = {"required": True}, ("--dry-run", {"action": "store_true"})
     command("ingest", run_ingest, ("--raw", need), ("--output", need), ("--year-start", {"type": int, "default": 2018}), ("--limit", {"type": int, "default": 500}), ("--phrase", {}), ("--merge-with", {}), dry)
     command("index", run_index, ("--input", need), ("--output", need), ("--reset", {"action": "store_true"}), dry)
-    command("retrieve", run_retrieve, ("query", {}), ("--index", need), ("--k", {"type": int, "default": 10}))
-    command("evaluate", run_evaluate, ("--queries", need), ("--index", need), ("--k", {"type": int, "default": 10}))
+    k, arm, vectors, json_out = ("--k", {"type": int, "default": 10}), ("--arm", {"choices": ARMS, "default": "lexical"}), ("--vectors", {}), ("--json-out", {})
+    draws = (("--bootstrap", {"type": int, "default": stats.REPLICATES}), ("--seed", {"type": int, "default": stats.SEED}))
+    command("retrieve", run_retrieve, ("query", {}), ("--index", need), k, arm, vectors, ("--query-vector", {}))
+    command("evaluate", run_evaluate, ("--queries", need), ("--index", need), k, arm, vectors, ("--query-vectors", {}))
+    command("ablate", run_ablate, ("--queries", need), ("--index", need), ("--vectors", need), ("--query-vectors", need), k, ("--pool", {"type": int, "default": 50}), *draws, json_out)
+    command("sweep", run_sweep, ("--queries", need), ("--partition", need), ("--index", need), ("--vectors", need), ("--query-vectors", need), k, ("--pools", {"default": "50,100,200,500"}), ("--expected", {}), *draws, json_out)
+    command(
+        "prepare", run_prepare, ("--query", need), ("--query-vector", need), ("--vectors", need), ("--family", need), ("--partition", need), ("--negative", {"action": "store_true"}), ("--negative-type", {}),
+        ("--example-id", {}), ("--corpus", need), ("--out", need), ("--render-limit", {"type": int}), ("--force", {"action": "store_true"}), dry,
+    )
+    command("commit", run_commit, ("--sheet", need), ("--gold", need), ("--corpus", need))
     command("build", run_build, ("--gold", need), ("--corpus", need), ("--out", need))
     command("status", run_status, ("--gold", need))
     return p

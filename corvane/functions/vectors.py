@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +30,20 @@ def normalise(a: Column) -> Column:
 def assert_dimension(a: Column, dim: int) -> Column:
     """``a`` itself; an error for a vector of another length."""
     return F.when(F.size(a) == dim, a).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(a).cast("string"))))
+
+
+def embedder(encode, prefix: str = ""):
+    """A function from a text column to unit vectors, by ``encode`` (list of texts -> rows of numbers).
+
+    ``encode`` is an external model's; it is called once for each Arrow batch. Null
+    texts have null vectors.
+    """
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        known = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        if known.any():
+            out[known] = [[float(x) for x in v] for v in encode([prefix + t for t in texts[known]])]
+        return out
+
+    return lambda c: normalise(run(c))

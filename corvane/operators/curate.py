@@ -143,6 +143,29 @@ def chunk_windows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFr
     return each.select("doc_id", "chunk_index", F.size(part).cast("long").alias("n_tokens"), F.array_join(part, " ").alias("content"))
 
 
+def section_windows(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """doc_id, section_index, chunk_index, n_tokens and content: windows that don't cross a section's border.
+
+    Null and blank texts have no sections and no windows.
+    """
+    parts = sections(docs).select(F.struct("doc_id", "section_index").alias("doc_id"), F.col("content").alias("text"))
+    return chunk_windows(parts, size, overlap).select("doc_id.*", "chunk_index", "n_tokens", "content")
+
+
+def balance(df: DataFrame, label: str, targets: dict[str, float], tolerance: float = 0.05) -> DataFrame:
+    """label, n, share, target and balanced of each target class and of each other one (target 0).
+
+    Shares of an empty table are 0; a null label is a class of its own.
+    """
+    want = df.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "label string, target double")
+    have = df.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    met = have.withColumnRenamed("label", "l").join(want, F.col("l").eqNullSafe(F.col("label")), "full_outer")
+    met = met.select(F.coalesce("l", "label").alias("label"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    share = F.coalesce(F.try_divide(F.col("n"), total), F.lit(0.0))
+    return met.select("label", "n", share.alias("share"), "target", (F.abs(share - F.col("target")) <= tolerance).alias("balanced"))
+
+
 def split_by_key(df: DataFrame, key: Column, train: int = 95) -> DataFrame:
     """A ``split`` column by a hash of the key, so that equal keys stay together."""
     bucket = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % 100

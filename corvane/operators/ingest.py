@@ -80,6 +80,11 @@ def chunks(papers: DataFrame) -> DataFrame:
     )
 
 
+def chunks_with_papers(chunked: DataFrame, papers: DataFrame) -> DataFrame:
+    """Chunks with title and year of their paper; chunks without a paper are left out."""
+    return chunked.join(papers.select("bibcode", "title", "year"), "bibcode")
+
+
 def content_hash(papers: DataFrame) -> str:
     """``sha256:`` and the hash over key, tab, indexed text and line feed in key order.
 

@@ -159,3 +159,43 @@ def frozen_gate(measured: DataFrame, expected: DataFrame, keys: list[str], value
     """The rows of ``expected`` that ``measured`` misses by more than the tolerance."""
     want = expected.select(*keys, F.col(value).alias("want"))
     return want.join(measured.select(*keys, F.col(value).alias("got")), keys, "left").where(F.coalesce(F.abs(F.col("got") - F.col("want")), F.lit(1.0)) > tolerance)
+
+
+def accounting(queries: DataFrame, gold: DataFrame, label: Column) -> DataFrame:
+    """One row: n_scored, n_by_label (map) and skipped, the sorted ids of queries without gold.
+
+    ``label`` is an expression over query_id; a null label counts as ``(none)``.
+    """
+    scored = gold.where("doc_id is not null").select("query_id").distinct().withColumn("scored", F.lit(True))
+    rows = queries.select("query_id").distinct().join(scored, "query_id", "left").select("query_id", F.coalesce("scored", F.lit(False)).alias("scored"), F.coalesce(label, F.lit("(none)")).alias("label"))
+    counts = rows.where("scored").groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("n_by_label"))
+    return rows.agg(F.count_if("scored").alias("n_scored"), F.array_sort(F.collect_list(F.when(~F.col("scored"), F.col("query_id").cast("string")))).alias("skipped")).join(counts)
+
+
+def partitioned(scored: DataFrame, partition: DataFrame) -> DataFrame:
+    """``scored`` with the slice of ``partition`` (query_id, slice); an error names queries without one."""
+    met = scored.join(partition.select("query_id", "slice"), "query_id", "left")
+    missing = sorted(str(r["query_id"]) for r in met.where("slice is null").select("query_id").limit(5).collect())
+    if missing:
+        raise ValueError(f"queries without a slice in the committed partition: {', '.join(missing)}")
+    return met
+
+
+def diverging(partition: DataFrame, gold: DataFrame, label: str) -> DataFrame:
+    """query_id of the committed entries of a slice whose list (gold) isn't the frozen one."""
+    frozen = gold.select("query_id", F.col("gold").alias("frozen"))
+    mine = partition.where(F.col("slice") == label).select("query_id", "gold")
+    return mine.join(frozen, "query_id", "left").where(~F.col("gold").eqNullSafe(F.col("frozen"))).select("query_id")
+
+
+def require(measured: DataFrame, expected: DataFrame, keys: list[str], value: str, tolerance: float = 5e-4) -> None:
+    """Raise unless every row of ``expected`` is met; to be called before anything is written."""
+    bad = frozen_gate(measured, expected, keys, value, tolerance).limit(5).collect()
+    if bad:
+        raise ValueError("frozen numbers are not met: " + "; ".join(f"{'/'.join(str(r[k]) for k in keys)}: got {r['got']}, not {r['want']}" for r in bad))
+
+
+def refusals(df: DataFrame, answerable: Column, refused: Column, cap: float = 0.10) -> DataFrame:
+    """One row: n answerable rows, the share of them refused (0 without any) and whether it keeps to the cap."""
+    out = df.where(answerable).agg(F.count("*").alias("n"), F.coalesce(F.avg(refused.cast("int")), F.lit(0.0)).alias("false_refusal_rate"))
+    return out.withColumn("within_cap", F.col("false_refusal_rate") <= cap)

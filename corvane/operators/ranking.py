@@ -237,6 +237,30 @@ def recency(scored: DataFrame, age: Column, half_life: float, k: int, decimals:
     return ranked(scored.withColumn("score", s if decimals is None else F.round(s, decimals)), [F.desc("score"), F.col("doc_id")], k)
 
 
+def prefilter(docs: DataFrame, years: tuple[int | None, int | None] | None = None, **allowed: list) -> DataFrame:
+    """The documents to rank: of the years from and to (null is open), and with allowed values of columns.
+
+    The conditions reach the scan; a null in a filtered column is not allowed.
+    """
+    low, high = years or (None, None)
+    if low is not None:
+        docs = docs.where(F.col("year") >= low)
+    if high is not None:
+        docs = docs.where(F.col("year") <= high)
+    for column, values in allowed.items():
+        docs = docs.where(F.col(column).isin(list(values)))
+    return docs
+
+
+def weigh_sections(scored: DataFrame, weights: dict[str, float], k: int, default: float = 1.0) -> DataFrame:
+    """Chunk scores (query_id, doc_id, section, score; higher is better) times their section's weight; a document's best counts."""
+    weight = F.lit(default)
+    for section, w in weights.items():
+        weight = F.when(F.col("section") == section, F.lit(float(w))).otherwise(weight)
+    best = scored.groupBy("query_id", "doc_id").agg(F.max(F.col("score") * weight).alias("score"))
+    return ranked(best, [F.desc("score"), F.col("doc_id")], k)
+
+
 def rerank(candidates: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Candidates ordered by a second-stage score (query_id, doc_id, score2); unscored last."""
     met = candidates.drop("rank").join(second, ["query_id", "doc_id"], "left")

@@ -67,6 +67,15 @@ def worksheet(example_id: str, query: str, family: str, partition: str, context:
     return {"_locked": locked, "answer": "", "claims": [claim], "abstention_reason": None, "negative_type": negative_type}
 
 
+def read_worksheet(spark: SparkSession, path: str) -> dict:
+    """A worksheet from a JSON or YAML file; it has to have its locked part."""
+    with open(path, encoding="utf-8") as f:
+        sheet = readers.parse_document(f.read())
+    if not isinstance(sheet, dict) or "_locked" not in sheet:
+        raise ValueError("no worksheet: it has no locked part")
+    return sheet
+
+
 def commit(spark: SparkSession, sheet: dict, gold_path: str, corpus: DataFrame, corpus_hash: str | None = None) -> None:
     """Validate a filled sheet and append it; raises without writing otherwise."""
     if "_locked" not in sheet:

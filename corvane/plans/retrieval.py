@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ireval, ranking, stats
 from ..session import materialize
+from . import evaluation
 from .corpus import FOLD
 from .tables import table
 
@@ -228,17 +229,8 @@ def abstention_quality(spark, sf_dir):
     return _r(ireval.confusion(d, F.col("quality") == 1, F.col("n_chars") >= 200), "precision", "recall", "f1")
 
 
-PAIRS = {"dense_minus_hybrid": ("dense", "hybrid"), "lexical_minus_hybrid": ("lexical", "hybrid"), "dense_minus_lexical": ("dense", "lexical")}
-SLICES, METRICS = ("named", "broad", "all"), ("recall", "rr")
-
-
 def _values(scored: DataFrame, pairs: bool = False) -> DataFrame:
-    """arm (or pair), slice, metric, id and value of every scored query; a scratch table."""
-    names = PAIRS if pairs else {a: (a, None) for a in ireval.ARM_RANKS}
-    value = lambda x, y, m: F.col(f"{x}_{m}") - F.col(f"{y}_{m}") if y else F.col(f"{x}_{m}")
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(m).alias("metric"), value(*xy, m).alias("value")) for a, xy in names.items() for m in METRICS]))
-    long = ireval.sliced(scored, kind()).select(F.col("query_id").alias("id"), "slice", cells.alias("c"))
-    return materialize(long.select("c.arm", "slice", "c.metric", "id", "c.value"), "values")
+    return evaluation.values_of(scored, kind(), pairs)
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -260,22 +252,14 @@ def loo_stability(spark, sf_dir):
 def bootstrap_numpy(spark, sf_dir):
     """The whole grid from one generator: arms, then pairs, by slice and metric."""
     scored = materialize(scored_of(spark, sf_dir), "scored")
-    values = _values(scored).unionAll(_values(scored, pairs=True))
-    order = [(a, s, m) for names in (ireval.ARM_RANKS, PAIRS) for a in names for s in SLICES for m in METRICS]
-    return _r(stats.numpy_grid(values, order, ["arm", "slice", "metric"]), "mean", "lo", "hi")
+    return _r(evaluation.grid(scored, kind()), "mean", "lo", "hi")
 
 
 def pool_ci(spark, sf_dir):
     """Paired intervals of recall against the hybrid arm, a fresh generator each, with leave-one-out, at every pool."""
-    corpus, rows = corpus_of(spark, sf_dir), None
+    corpus = corpus_of(spark, sf_dir)
     heads, gold = heads_of(spark, sf_dir, corpus, DEEP), materialize(gold_of(spark, sf_dir, corpus[0]), "gold")
-    for pool in POOLS:
-        scored = ireval.per_query(ireval.gold_ranks(gold, ireval.with_hybrid(heads, pool)), K)
-        part = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), (F.col(f"{x}_recall") - F.col("hybrid_recall")).alias("value")) for p, (x, y) in PAIRS.items() if y == "hybrid"]))
-        long = scored.select(F.col("query_id").alias("id"), F.lit(str(pool)).alias("pool"), part.alias("c")).select("pool", "c.pair", "id", "c.value")
-        rows = long if rows is None else rows.unionAll(long)
-    order = [(str(p), name) for p in POOLS for name, (_, y) in PAIRS.items() if y == "hybrid"]
-    return _r(stats.numpy_paired(rows, order, ["pool", "pair"]), "mean", "lo", "hi")
+    return _r(evaluation.pool_intervals(heads, gold, POOLS, K), "mean", "lo", "hi")
 
 
 QUERIES = {
@@ -353,9 +337,9 @@ _CI = "any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont
 
 
 def _arm_values(pairs: bool = False) -> str:
-    names = PAIRS if pairs else {a: (a, None) for a in ireval.ARM_RANKS}
+    names = evaluation.PAIRS if pairs else {a: (a, None) for a in ireval.ARM_RANKS}
     value = lambda x, y, m: f"{x}_{m}" + (f" - {y}_{m}" if y else "")
-    return " UNION ALL ".join(f"SELECT {{'arm': '{a}', 'slice': slice, 'metric': '{m}'}} AS grp, query_id AS id, {value(*xy, m)} AS value FROM {_SLICES}" for a, xy in names.items() for m in METRICS)
+    return " UNION ALL ".join(f"SELECT {{'arm': '{a}', 'slice': slice, 'metric': '{m}'}} AS grp, query_id AS id, {value(*xy, m)} AS value FROM {_SLICES}" for a, xy in names.items() for m in evaluation.METRICS)
 
 
 ORACLE = {

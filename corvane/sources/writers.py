@@ -48,6 +48,34 @@ def put_text(spark: SparkSession, text: str, path: str) -> None:
         out.close()
 
 
+def write_results(tables: dict[str, DataFrame | dict], path: str, spark: SparkSession) -> dict:
+    """Small report tables and settings as one indented JSON file."""
+    rows = lambda df: [json.loads(r["j"]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+    data = {name: rows(t) if isinstance(t, DataFrame) else t for name, t in tables.items()}
+    put_text(spark, json.dumps(data, indent=2, ensure_ascii=False) + "\n", path)
+    return data
+
+
+def write_eval_results(scores: DataFrame, path: str) -> None:
+    """Append model, benchmark, score, details and run_at (now, where there is none) to the table of results."""
+    from .schemas import EVAL_RESULTS
+
+    names = [c.split()[0] for c in EVAL_RESULTS.replace("decimal(6,3)", "decimal").split(", ")]
+    for name in set(names) - set(scores.columns):
+        scores = scores.withColumn(name, F.current_timestamp() if name == "run_at" else F.lit(None).cast("string"))
+    typed = scores.select("model", "benchmark", F.col("score").cast("decimal(6,3)").alias("score"), "details", F.col("run_at").cast("timestamp").alias("run_at"))
+    typed.write.mode("append").parquet(path)
+
+
+def write_package(rows: DataFrame, path: str) -> dict:
+    """JSON lines by ``split`` and a manifest with the rows of each split and a hash over all of them."""
+    line = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != "split"]), {"ignoreNullFields": "false"}), 256)
+    hashes = F.sum(F.conv(F.substring(line, 1, 12), 16, 10).cast("decimal(38,0)"))  # whatever the order of rows
+    counted = rows.groupBy("split").agg(F.count("*").alias("n"), hashes.cast("string").alias("checksum")).orderBy("split")
+    rows.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(path)
+    return write_results({"splits": counted, "columns": {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "split"}}, f"{path}/_manifest.json", rows.sparkSession)
+
+
 def write_manifest(df: DataFrame, path: str) -> dict:
     """The one row of ``df`` as indented JSON."""
     row = [r["j"] for r in df.select(F.to_json(F.struct("*")).alias("j")).limit(2).collect()]

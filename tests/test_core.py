@@ -428,6 +428,81 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "q.yaml").write_text("- {id: q1, query: hot star, expected_bibcodes: [b1]}\n")
     assert cli.main(["evaluate", "--queries", str(tmp_path / "q.yaml"), "--index", str(tmp_path / "i")]) == 0
     assert "1.000" in capsys.readouterr().out
+    spark.createDataFrame([("b1", [1.0, 0.0]), ("b2", [0.0, 1.0])], "doc_id string, vector array<double>").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([("q1", [0.1, 1.0]), ("q2", [0.0, 1.0])], "query_id string, vector array<double>").write.parquet(str(tmp_path / "qv"))
+    index = ["--index", str(tmp_path / "i")]
+    for arm, first in (("dense", "b2"), ("hybrid", "b1")):
+        assert cli.main(["retrieve", "hot star", *index, "--arm", arm, "--vectors", str(tmp_path / "v"), "--query-vector", "[0.1, 1]" if arm == "dense" else "[1, 0.1]"]) == 0
+        assert capsys.readouterr().out.startswith(first)
+    (tmp_path / "q.yaml").write_text("- {id: q1, query: hot star, expected_bibcodes: [b1]}\n- {id: q2, query: cold planet, expected_bibcodes: [b2]}\n- {id: q30, query: nothing}\n")
+    both = ["--queries", str(tmp_path / "q.yaml"), *index, "--vectors", str(tmp_path / "v"), "--query-vectors", str(tmp_path / "qv")]
+    assert cli.main(["evaluate", *both, "--arm", "dense", "--k", "1"]) == 0
+    out = capsys.readouterr().out
+    assert "0.500" in out and "skipped: q30" in out
+    assert cli.main(["ablate", *both, "--bootstrap", "50", "--json-out", str(tmp_path / "r.json")]) == 0
+    data = json.loads((tmp_path / "r.json").read_text())
+    assert data["config"]["n_scored"] == 2 and data["config"]["skipped"] == ["q30"] and len(data["bootstrap"]) == 36
+    (tmp_path / "p.yaml").write_text("known_item: {q1: [b1]}\nbroad_entity: {q2: [b2]}\n")
+    (tmp_path / "e.json").write_text('{"pool": 50, "slice": "all", "union_recall": 1.0}\n')
+    run = ["sweep", *both, "--partition", str(tmp_path / "p.yaml"), "--pools", "50,100", "--bootstrap", "50"]
+    assert cli.main([*run, "--expected", str(tmp_path / "e.json"), "--json-out", str(tmp_path / "s.json")]) == 0
+    assert {r["pool"] for r in json.loads((tmp_path / "s.json").read_text())["pools"]} == {50, 100}
+    (tmp_path / "e.json").write_text('{"pool": 50, "slice": "all", "union_recall": 0.5}\n')
+    assert cli.main([*run, "--expected", str(tmp_path / "e.json"), "--json-out", str(tmp_path / "t.json")]) == 1 and not (tmp_path / "t.json").exists()
+    (tmp_path / "p.yaml").write_text("known_item: {q1: [b2]}\nbroad_entity: {q2: [b2]}\n")
+    assert cli.main(run) == 1
+    (tmp_path / "p.yaml").write_text("known_item: {q1: [b1]}\n")
+    assert cli.main(run) == 1
+    capsys.readouterr()
+    sheet, gold = tmp_path / "sheet.json", str(tmp_path / "gold")
+    prepare = ["prepare", "--query", "hot star", "--query-vector", "[1, 0]", "--vectors", str(tmp_path / "v"), "--family", "lit_qa", "--partition", "eval", "--corpus", str(tmp_path / "c"), "--out", str(sheet)]
+    assert cli.main([*prepare, "--dry-run"]) == 0 and not sheet.exists() and "A hot star." in capsys.readouterr().out
+    assert cli.main([*prepare, "--negative"]) == 1 and cli.main(prepare) == 0 and cli.main(prepare) == 1
+    commit = ["commit", "--sheet", str(sheet), "--gold", gold, "--corpus", str(tmp_path / "c")]
+    assert cli.main(commit) == 1  # nothing is filled in
+    data = json.loads(sheet.read_text())
+    data |= {"answer": "Yes.", "claims": [{"text": "t", "cited_bibcode": "b1", "support_span": "s", "supported": True}]}
+    sheet.write_text(json.dumps(data))
+    assert cli.main(commit) == 0 and cli.main(commit) == 1 and spark.read.schema(GOLD).json(gold).count() == 1
+
+
+def test_declared_refinements(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 2019, "a", "x"), (2, 2021, "b", "y"), (3, None, "a", "z")], "doc_id long, year int, source string, text string")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(ranking.prefilter(docs, (2019, None))) == [1, 2] and ids(ranking.prefilter(docs, None, source=["a"])) == [1, 3] and ids(ranking.prefilter(docs)) == [1, 2, 3]
+    scored = spark.createDataFrame([(1, 1, "title", 0.4), (1, 1, "body", 0.5), (1, 2, "body", 0.6), (1, 3, None, 0.1)], "query_id long, doc_id long, section string, score double")
+    assert [r.doc_id for r in ranking.weigh_sections(scored, {"title": 2.0}, 2).orderBy("rank").collect()] == [1, 2]
+    text = "# one\n" + " ".join(map(str, range(520))) + "\n# two\nshort"
+    wins = curate.section_windows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("section_index", "chunk_index").collect()
+    assert [(r.section_index, r.chunk_index, r.n_tokens) for r in wins] == [(0, 0, 512), (0, 1, 60), (1, 0, 3)]
+    rows = curate.balance(spark.createDataFrame([("a",)] * 3 + [("b",), (None,)], "t string"), "t", {"a": 0.6, "b": 0.4, "c": 0.0}).collect()
+    assert {(r.label, r.n, r.balanced) for r in rows} == {("a", 3, True), ("b", 1, False), (None, 1, False), ("c", 0, True)}
+    r = one(ireval.refusals(spark.createDataFrame([(True, True), (True, False), (False, True)], "ok boolean, no boolean"), F.col("ok"), F.col("no")))
+    assert (r.n, r.false_refusal_rate, r.within_cap) == (2, 0.5, False)
+    corpus = spark.createDataFrame(PAPERS, PAPER)
+    assert ingest.chunks_with_papers(ingest.chunks(corpus), corpus.limit(2)).count() == 2
+    made = writers.write_package(spark.createDataFrame([(1, "train"), (2, "train"), (3, "eval")], "id long, split string"), str(tmp_path / "p"))
+    assert [(x["split"], x["n"]) for x in made["splits"]] == [("eval", 1), ("train", 2)] and spark.read.json(str(tmp_path / "p")).count() == 3
+    writers.write_eval_results(spark.createDataFrame([("m", "b", 0.5)], "model string, benchmark string, score double"), str(tmp_path / "e"))
+    assert str(one(spark.read.parquet(str(tmp_path / "e"))).score) == "0.500"
+    embed = V.embedder(lambda texts: [[len(t), 0] for t in texts], "p: ")
+    assert [r.v for r in spark.createDataFrame([("ab",), (None,)], "t string").select(embed(F.col("t")).alias("v")).collect()] == [[1.0, 0.0], None]
+
+
+def test_sky_cells_against_all_pairs(spark):
+    """Poles, the wrap of right ascension, zone borders, wide radii and nulls."""
+    rng = np.random.default_rng(2)
+    sky = [(i, float(a), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(-400, 400, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))))]
+    sky += [(300, 0.0, 90.0), (301, 180.0, 89.5), (302, 359.9, 10.0), (303, 0.1, 10.0), (304, 5.0, -90.0), (305, None, 1.0)]
+    pts = spark.createDataFrame(sky, "id long, ra double, dec double")
+    known = np.array([x[1:] for x in sky if x[1] is not None])
+    a, d = np.radians(known[:, 0]), np.radians(known[:, 1])
+    hav = np.sin((d[:, None] - d) / 2) ** 2 + np.cos(d[:, None]) * np.cos(d) * np.sin((a[:, None] - a) / 2) ** 2
+    apart = np.degrees(2 * np.arcsin(np.minimum(1, np.sqrt(hav))))
+    for radius in (0.7, 5.0, 40.0, 100.0):
+        got = {(r.left_id, r.right_id) for r in curate.within_radius(pts, pts, radius).collect()}
+        rows = curate.within_radius(pts, pts, radius).count()
+        assert got == {(i, j) for i, j in zip(*np.nonzero(apart <= radius))} and rows == len(got)
 
 
 def test_streaming_append(spark, tmp_path):
