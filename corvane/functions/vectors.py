@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,7 +44,9 @@ def embedder(encode, prefix: str = ""):
         known = texts.notna()
         out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
         if known.any():
-            out[known] = [[float(x) for x in v] for v in encode([prefix + t for t in texts[known]])]
+            rows = np.asarray(encode([prefix + t for t in texts[known]]), float)
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            out[known] = list(rows / np.where(length > 0, length, 1))
         return out
 
-    return lambda c: normalise(run(c))
+    return run
