@@ -41,12 +41,13 @@ def embedder(encode, prefix: str = ""):
     """
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if known.any():
-            rows = np.asarray(encode([prefix + t for t in texts[known]]), float)
+        out: list = [None] * len(texts)
+        known = [i for i, t in enumerate(texts) if t is not None]
+        if known:
+            rows = np.asarray(encode([prefix + texts.iloc[i] for i in known]), float)
             length = np.linalg.norm(rows, axis=1, keepdims=True)
-            out[known] = list(rows / np.where(length > 0, length, 1))
-        return out
+            for i, v in zip(known, rows / np.where(length > 0, length, 1), strict=True):
+                out[i] = v
+        return pd.Series(out)
 
     return run
