@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_tokens, jaccard, whitespace_tokens, word_ngrams
-from ..session import materialize, release
+from ..session import materialize, release, spread
 
 #: Frequent words that tell the languages apart.
 STOP_WORDS = {
@@ -72,7 +72,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def shingle_hashes(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and sh: hashes of the distinct word shingles; short texts are one shingle."""
-    toks = docs.select("doc_id", document_tokens(F.col("text")).alias("toks"))
+    toks = spread(docs.select("doc_id", "text")).select("doc_id", document_tokens(F.col("text")).alias("toks"))
     short = F.filter(F.array(F.array_join("toks", " ")), lambda s: s != "")
     grams = F.when(F.size("toks") >= width, word_ngrams(F.col("toks"), width)).otherwise(short)
     return toks.select("doc_id", grams.alias("g")).select("doc_id", F.array_distinct(F.transform("g", lambda s: F.xxhash64(s))).alias("sh"))
@@ -183,7 +183,7 @@ def mixture_quota(df: DataFrame, label: str, quotas: dict[str, int], order: list
 
 def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """item_id, doc_id and n_shared: distinct word n-grams that both hold."""
-    tokens = lambda df, key: df.select(key, document_tokens(F.col("text")).alias("toks"))
+    tokens = lambda df, key: spread(df.select(key, "text")).select(key, document_tokens(F.col("text")).alias("toks"))
     grams = lambda df, key: tokens(df, key).select(key, F.explode_outer(F.array_distinct(word_ngrams(F.col("toks"), n))).alias("g")).where("g is not null")
     wanted = grams(items, "item_id")
     few = F.broadcast(wanted) if wanted.limit(200_001).count() <= 200_000 else wanted

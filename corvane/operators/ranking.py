@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import RRF_K, document_tokens, query_tokens
 from ..functions.vectors import dot, norm
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.schemas import ARMS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -43,7 +43,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def tokenised(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, toks and len of every document."""
-    return docs.select("doc_id", document_tokens(F.col(text)).alias("toks")).withColumn("len", F.size("toks").cast("long"))
+    docs = spread(docs.select("doc_id", F.col(text).alias("text")))
+    return docs.select("doc_id", document_tokens(F.col("text")).alias("toks")).withColumn("len", F.size("toks").cast("long"))
 
 
 def terms_of(toks: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, decimals: int | None =
     broadcast to the vectors, which are read once for each block.
     """
     q = queries.select("query_id", F.col("vector").alias("qv")).withColumn("qn", norm(F.col("qv")))
-    v = vectors.select("doc_id", "vector").withColumn("vn", norm(F.col("vector")))
+    v = spread(vectors.select("doc_id", "vector")).withColumn("vn", norm(F.col("vector")))
     blocks = query_blocks(q)
     sim = F.try_divide(dot(F.col("qv"), F.col("vector")), F.col("qn") * F.col("vn"))
     sim = sim if decimals is None else F.round(sim, decimals)

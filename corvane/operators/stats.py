@@ -29,7 +29,8 @@ def _drawn(rep: Column, draw: Column, n: Column, seed: int) -> Column:
 
 def hash_means(values: DataFrame, group: list[str], b: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """group, rep and mean of each replicate; indices by MD5 of seed|rep|draw."""
-    v = _values(values, group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    reps = values.sparkSession.range(b).select(F.col("id").cast("int").alias("rep"))  # dealt over all cores, as few groups aren't
+    v = reps.join(F.broadcast(_values(values, group)))
     at = lambda i: _drawn(F.col("rep"), i, F.size("v"), seed)
     total = F.aggregate(F.sequence(F.lit(0), F.size("v") - 1), F.lit(0.0), lambda acc, i: acc + F.get("v", at(i)))
     return v.select(*group, "rep", F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x) / F.size("v")).alias("mean"), (total / F.size("v")).alias("m"))

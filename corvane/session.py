@@ -86,3 +86,13 @@ def plan_bytes(df: DataFrame, unknown: int = 1 << 28) -> int:
     """Catalyst's size estimate of the rows of ``df``; ``unknown`` where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else unknown
+
+
+def spread(df: DataFrame, least: int = 16 << 20) -> DataFrame:
+    """``df``, dealt over all cores if it is small: less than ``least`` bytes a core.
+
+    A small file may be a single row group and so a single task, whatever it takes to
+    work on; large inputs have tasks enough and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < least * cores else df
