@@ -427,6 +427,45 @@ def test_fingerprint(spark):
     assert fingerprint.compare_with_next(ties.where("doc_id is null")).count() == 2
 
 
+def plain_chunks(data):
+    """Chunks of some bytes, one byte after the other; 64 on average, 16 to 256."""
+    out, start, h = [], 0, 0
+    hashes = []
+    for byte in data:
+        h = (2 * h + int(fingerprint.GEAR[byte])) % 2**32
+        hashes.append(h)
+    while start < len(data):
+        end = start + 1
+        while end < len(data):
+            size = end - start
+            bits = 7 if size < 64 else 5
+            if size >= 256 or size >= 16 and len(data) - start > 16 and hashes[end - 1] < 2 ** (32 - bits):
+                break
+            end += 1
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def test_fingerprint_against_a_plain_chunker():
+    import xxhash
+
+    rng = random.Random(11)
+    shares = []
+    for n in (*range(0, 40), 63, 64, 65, 255, 256, 257, 1000, 5000, 20000):
+        text = "".join(rng.choice("abcde \né") for _ in range(n)) if n % 3 else "a" * n
+        chunks = plain_chunks(text.encode())
+        ends = np.cumsum([len(c) for c in chunks]).tolist()
+        assert fingerprint.cut_points(text.encode()) == ends, n
+        plain = {xxhash.xxh3_64_intdigest(c) >> 16: len(c) for c in chunks}
+        assert fingerprint.encode(fingerprint.chunk_set(text)) == ",".join(f"{d:012x}.{k}" for d, k in sorted(plain.items()))
+        other = {xxhash.xxh3_64_intdigest(c) >> 16: len(c) for c in plain_chunks(("x" + text[: n // 2]).encode())}
+        both, most = sum(k for d, k in plain.items() if d in other), max(sum(plain.values()), sum(other.values()))
+        assert fingerprint.likeness(plain, other) == (1.0 if plain == other else both / most)
+        shares.append(fingerprint.likeness(plain, other))
+    assert shares[-1] > 0.4  # a byte in front moves the cuts with their text
+
+
 def plain_clean(texts, min_words):
     """The texts without repeats, by loops and dictionaries over words and their offsets."""
     full = 1 << 64
