@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 ``run`` writes every stage as Parquet into the shared folder and reads it again
-as the next one's documents; a stage's table goes when the next one is written. All stages but the last return the columns of
-``documents``; the last adds nothing but draws the sample.
+as the next one's documents; a stage's table goes when the next one is written.
+All stages but the last return the columns of ``documents``; the last adds nothing
+but draws the sample.
 """
 
 from __future__ import annotations
