@@ -58,14 +58,14 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, limit: int = 2000, weight:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str | StructType, limit: int = 500) -> DataFrame:
-    """Apply ``make()``, called once a task, to each row; it yields output rows."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: str | StructType, limit: int = 500, weight: Callable | None = None) -> DataFrame:
+    """Apply ``make()``, called once a task, to each row; it yields output rows, batched by ``limit`` in rows or ``weight``."""
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(target)
 
     def run(batches):
         each = make()
-        return batched((out for row in rows_of(batches) for out in each(row)), arrow, limit)
+        return batched((out for row in rows_of(batches) for out in each(row)), arrow, limit, weight)
 
     return map_arrow(df, run, target)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, html, jaccard, linededup, mixing, pii, toxicity, warc
+from . import chat, decontaminate, fim, fingerprint, html, jaccard, lexical, linededup, mixing, pii, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_decontaminate": op2_decontaminate,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_fim": op11_fim,
+    "op12_sharding": op12_sharding,
+    "op13_search": op13_search,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -226,4 +241,4 @@ WITH p AS (
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper > page_id THEN keeper END AS refers_to FROM p
 """
 
-ORACLE: dict[str, str] = {"op3_pii": OP3_SQL, "op10_warc": OP10_SQL, "op1_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_chat": OP5_SQL, "op9_mixing": mixing.sql()}
+ORACLE: dict[str, str] = {"op3_pii": OP3_SQL, "op10_warc": OP10_SQL, "op1_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op5_chat": OP5_SQL, "op9_mixing": mixing.sql(), "op11_fim": fim.sql(), "op12_sharding": sharding.sql(), "op13_search": lexical.sql()}
