@@ -203,20 +203,29 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: in
     return retrieve(queries, docs, vectors, "hybrid", k, pool).withColumnRenamed("score", "rrf_score")
 
 
-def build_index(docs: DataFrame, path: str, reset: bool = False) -> None:
-    """Write postings (sorted by term within files) and corpus statistics."""
-    from ..sources.writers import write_table
+def build_index(docs: DataFrame, path: str, reset: bool = False) -> int:
+    """Write postings (sorted by term within files) and corpus statistics as one version of ``path``; returns its number.
+
+    Both tables appear together or not at all (``sources.versions``). For
+    increments see :mod:`corvane.operators.segments`.
+    """
+    from ..sources.versions import Versions
+
+    toks = materialize(tokenised(docs), "tokens")
+    posts = terms_of(toks).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return Versions(docs.sparkSession, path).load({"postings": posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "stats": stats}, reset)
 
-    write_table(postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id"), f"{path}/postings", reset)
-    write_table(corpus_stats(docs), f"{path}/stats", reset)
 
+def search_index(queries: DataFrame, path: str, k: int, version: int | None = None) -> DataFrame:
+    """Lexical top k from one version of an index, by default the last; files are pruned by term."""
+    from ..sources.versions import Versions
 
-def search_index(queries: DataFrame, path: str, k: int) -> DataFrame:
-    """Lexical top k from an index that has been built; files are pruned by term."""
-    spark = queries.sparkSession
+    index = Versions(queries.sparkSession, path)
+    state = index.state(version)
     terms = query_terms(queries)
-    post = spark.read.parquet(f"{path}/postings").join(small(terms.select("term").distinct()), "term", "left_semi")
-    return ranked(bm25_of_postings(terms, post, spark.read.parquet(f"{path}/stats").first()), [F.col("score"), F.col("doc_id")], k)
+    post = index.read("postings", state).join(small(terms.select("term").distinct()), "term", "left_semi")
+    return ranked(bm25_of_postings(terms, post, index.read("stats", state).first()), [F.col("score"), F.col("doc_id")], k)
 
 
 # ---------------------------------------------------------------- declared refinements

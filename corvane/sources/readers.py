@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,7 @@ class PagedSource(DataSource):
 
     ``fetch`` is a function (start, rows) -> list of JSON objects, given under a
     name as ``module:function``; ``limit`` and ``page`` bound the pages.
+    ``streaming.pages`` has the resumable form.
     """
 
     @classmethod
@@ -140,19 +142,38 @@ class _PagedReader(DataSourceReader):
         self.fetch, self.limit, self.page = options["fetch"], int(options.get("limit", "500")), min(200, int(options.get("page", "200")))
 
     def partitions(self):
-        return [InputPartition((start, min(self.page, self.limit - start))) for start in range(0, self.limit, self.page)]
+        # without rows a split of its own, as Spark wants one
+        return [InputPartition((start, min(self.page, self.limit - start))) for start in range(0, max(1, self.limit), self.page)]
 
     def read(self, partition) -> Iterator[tuple]:
-        import importlib
-
-        module, _, name = self.fetch.partition(":")
         start, rows = partition.value
-        for i, doc in enumerate(getattr(importlib.import_module(module), name)(start, rows)):
+        for i, doc in enumerate(named_function(self.fetch)(start, rows) if rows else ()):
             yield start + i, json.dumps(doc, ensure_ascii=False)
 
 
+def named_function(name: str) -> Callable:
+    """The function that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def available(fetch: Callable[[int, int], list], start: int, most: int) -> int:
+    """How many rows an API has from ``start`` on, ``most`` at most, by single rows in log2(most) calls."""
+    if most <= 0 or fetch(start + most - 1, 1):
+        return max(0, most)
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        if fetch(start + middle - 1, 1):
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def read_paged(spark: SparkSession, fetch: str, schema: str, limit: int = 500, page: int = 200) -> DataFrame:
-    """The pages' objects with their position ``seq`` in the result list."""
+    """The pages' objects with their position ``seq`` in the result list, up to ``limit`` or its end."""
     spark.dataSource.register(PagedSource)
-    raw = spark.read.format("paged_api").option("fetch", fetch).option("limit", limit).option("page", page).load()
+    held = available(named_function(fetch), 0, limit)
+    raw = spark.read.format("paged_api").option("fetch", fetch).option("limit", held).option("page", page).load()
     return raw.select("seq", F.from_json("doc", schema).alias("d")).select("seq", "d.*")
