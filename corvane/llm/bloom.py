@@ -83,5 +83,4 @@ def might_hold(spark, bloom: Bloom, column: str) -> Column:
 def split(df: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` may be among the longs ``key`` of ``keys``, all others)."""
     test = might_hold(df.sparkSession, build(keys, key), column)
-    marked = df.withColumn("_may", test)
-    return marked.where("_may").drop("_may"), marked.where("not _may").drop("_may")
+    return df.where(test), df.where(~test)

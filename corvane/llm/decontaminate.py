@@ -10,9 +10,10 @@ The benchmark is read to the driver in blocks of some ``block_words`` words,
 sized by a count taken first. A window adds as many nodes as it has words at
 most, so a block's automaton has some ``window * block_words`` nodes: 88 MB in a
 Python worker for 200,000 random words at the default window. Each block is one
-broadcast and one pass over the documents, written before the next begins, so
-that a task never holds two automata; a larger benchmark needs more passes, not
-more memory, and nothing is left out. Blocks are dealt by item, so an item with
+broadcast and one pass over the documents, whose hits are written before the next
+begins, so that a task never holds two automata; a larger benchmark needs more
+passes, not more memory, and nothing is left out. With several blocks the rows are
+written once with numbers, and a block adds the rows that it hits. Blocks are dealt by item, so an item with
 more words than a block makes its block larger.
 
 Defined results: null or empty text has no words and no hits; an item without
@@ -28,8 +29,9 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import materialize
+from ..session import materialize, release
 from .arrowio import map_rows
 from .words import letter_words
 
@@ -107,55 +109,99 @@ def char_spans(text: str, spans: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _one_block(df: DataFrame, items: list[tuple], window: int) -> DataFrame:
-    """Adds the hits of one block to columns words, item_ids and offsets."""
-    shared = df.sparkSession.sparkContext.broadcast(items)
+_HIT_COLUMNS = f"n_words long, n_hit long, item_ids array<string>, word_spans {HITS}, char_spans {HITS}"
+
+
+def _row_of(keys, text: str | None, n_words: int, spans: list[list[int]], items: set[str]) -> tuple:
+    as_structs = lambda pairs: [{"start": a, "end": b} for a, b in pairs]
+    chars = char_spans(text, spans) if spans else []
+    return keys, text, n_words, sum(b - a for a, b in spans), sorted(items), as_structs(spans), as_structs(chars)
+
+
+def _names(items: set) -> set[str]:
+    return {"" if x is None else str(x) for x in items}
+
+
+def _one_pass(rows: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    """Hits of one block in rows of keys and text."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def make():
         numbers, automaton, owners = build_automaton(shared.value, window)
 
         def each(row):
-            doc_id, text, n_words, n_hit, old_items, old_words, old_chars = row
-            words = letter_words(text)
+            words = letter_words(row[1])
             spans, found = find_hits(words, numbers, automaton, owners) if automaton and words else ([], set())
-            if old_words:
-                spans = merge_spans([*([x["start"], x["end"]] for x in old_words), *spans])
-            items_now = sorted({*(old_items or ()), *("" if x is None else str(x) for x in found)})
-            chars = char_spans(text, spans) if found else [(x["start"], x["end"]) for x in old_chars or ()]
-            as_structs = lambda pairs: [{"start": a, "end": b} for a, b in pairs]
-            yield doc_id, text, len(words), sum(b - a for a, b in spans), items_now, as_structs(spans), as_structs(chars)
+            yield _row_of(*row, len(words), spans, _names(found))
 
         return each
 
-    return map_rows(df, make, df.schema, limit=256)
+    return map_rows(rows, make, StructType([*rows.schema, *StructType.fromDDL(_HIT_COLUMNS)]), limit=256)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Hits of ``benchmark`` in each document.
+def _block_hits(rows: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    """row, spans and item_ids of the rows (row, text) that one block hits."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
 
-    Returns doc_id, text, n_words, n_hit, item_ids (sorted as strings),
-    word_spans and char_spans (ranges of the original text), one row for each
-    row of ``documents``; ``columns`` names further columns to carry along.
-    """
+    def make():
+        numbers, automaton, owners = build_automaton(shared.value, window)
+
+        def each(row):
+            words = letter_words(row[1])
+            spans, found = find_hits(words, numbers, automaton, owners) if automaton and words else ([], set())
+            if found:
+                yield row[0], [{"start": a, "end": b} for a, b in spans], sorted(_names(found))
+
+        return each
+
+    return map_rows(rows, make, f"row long, spans {HITS}, item_ids array<string>")
+
+
+def _many_passes(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """Hits of several blocks: the rows are written once with numbers, each block adds the hits of its rows only."""
+    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "benchmark-rows")
+    parts = [materialize(_block_hits(numbered.select("row", "text"), [tuple(r) for r in block.collect()], window), "benchmark-block") for block in blocks]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionAll(part)
+    found = found.groupBy("row").agg(F.collect_list(F.struct("spans", "item_ids")).alias("found"))
+
+    def make():
+        def each(row):
+            keys, text, hits = row
+            spans = merge_spans([[x["start"], x["end"]] for h in hits or () for x in h["spans"]])
+            yield _row_of(keys, text, len(letter_words(text)), spans, {i for h in hits or () for i in h["item_ids"]})
+
+        return each
+
+    met = numbered.join(found, "row", "left").select("keys", "text", "found")
+    out = materialize(map_rows(met, make, StructType([*rows.schema, *StructType.fromDDL(_HIT_COLUMNS)]), limit=256), "benchmark-hits")
+    for table in (numbered, *parts):
+        release(table)
+    return out
+
+
+def _scan(documents: DataFrame, benchmark: DataFrame, window: int, block_words: int, columns: tuple[str, ...]) -> DataFrame:
+    """keys (a struct of ``columns``), text and the hits of every row."""
     bench = benchmark.select("item_id", "text")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_count(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     blocks = max(1, -(-(bench.agg(F.sum(words)).first()[0] or 0) // block_words))
-    df = documents.select(
-        F.struct("doc_id", *columns).alias("doc_id"),
-        "text",
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<string>").alias("item_ids"),
-        F.array().cast(HITS).alias("word_spans"),
-        F.array().cast(HITS).alias("char_spans"),
-    )
-    for block in range(blocks):
-        mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        if block:
-            df = materialize(df, "benchmark-block")
-        df = _one_block(df, [tuple(r) for r in mine.collect()], window)
-    return df.select("doc_id.*", *df.columns[1:])
+    rows = documents.select(F.struct(*columns).alias("keys"), "text")
+    if blocks == 1:
+        return _one_pass(rows, [tuple(r) for r in bench.collect()], window)
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return _many_passes(rows, [bench.where(dealt == b) for b in range(blocks)], window)
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
+    """Hits of ``benchmark`` in each document.
+
+    Returns doc_id, text, n_words, n_hit, item_ids (sorted as strings),
+    word_spans and char_spans (ranges of the original text), one row for each
+    row of ``documents``.
+    """
+    return _scan(documents, benchmark, window, block_words, ("doc_id",)).select("keys.*", "text", "n_words", "n_hit", "item_ids", "word_spans", "char_spans")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -176,11 +222,12 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    rest = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-    hits = scan(documents, benchmark, window, columns=rest)
-    return hits.where(F.col("n_hit") == 0).select(documents.columns)
+    # text goes along once, outside of the struct of the others
+    rest = tuple(c for c in documents.columns if c != "text")
+    hits = _scan(documents, benchmark, window, block_words, rest).where(F.col("n_hit") == 0)
+    return hits.select(*[F.col("text") if c == "text" else F.col("keys")[c].alias(c) for c in documents.columns])
 
 
 def items_digest(items: list[str]) -> str:

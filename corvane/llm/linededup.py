@@ -331,9 +331,16 @@ def without(data: bytes, gone: list[tuple[int, int]]) -> str:
 def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of ``documents`` with the repeats taken out of text, and n_removed.
 
-    n_removed is the number of ranges removed; n_chars, where there is one, is
-    the new length. Only rows that may change are shuffled.
+    n_removed is the number of ranges removed (a column of that name is replaced);
+    n_chars, where there is one, is the new length. Only rows that may change are
+    shuffled.
     """
+    names = [c for c in documents.columns if c != "n_removed"]
+    return _cleaned(documents, min_words).select(*[F.col("row")[c].alias(c) for c in names], F.col("removed").alias("n_removed"))
+
+
+def _cleaned(documents: DataFrame, min_words: int) -> DataFrame:
+    """row (a struct of the columns of ``documents``) and removed."""
     chunked = _chunked(documents)
     segments, gone = repeats(chunked, min_words)
     may, other = bloom.split(chunked.select("row", "rest", "text", "a"), "row", segments.select("row").distinct(), "row")
@@ -351,17 +358,16 @@ def clean(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = chunked.select("rest", "text").schema.add("n_removed", "long")
     done = map_texts(hit, 1, make, schema, limit=200)
     names = documents.columns
-    columns = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in names]
-    out = done.select(*columns, "n_removed").unionAll(other.select(*columns, F.lit(0).cast("long").alias("n_removed")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+    length = lambda c: F.when(F.col("n_removed") > 0, F.length("text").cast(documents.schema[c].dataType)).otherwise(F.col("rest")[c])
+    columns = [(F.col("text") if c == "text" else length(c) if c == "n_chars" else F.col("rest")[c]).alias(c) for c in names]
+    rows = done.unionAll(other.select("rest", "text", F.lit(0).cast("long").alias("n_removed")))
+    return rows.select(F.struct(*columns).alias("row"), F.col("n_removed").alias("removed"))
 
 
 def drop_repeats(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """:func:`clean` without the rows that have lost all their words."""
-    cleaned = clean(documents, min_words)
-    return cleaned.where((F.col("n_removed") == 0) | (F.length("text") > 0)).select(documents.columns)
+    cleaned = _cleaned(documents, min_words)
+    return cleaned.where((F.col("removed") == 0) | (F.length(F.col("row")["text"]) > 0)).select("row.*")
 
 
 def report(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -171,14 +171,30 @@ def term_counts(scanned: DataFrame) -> DataFrame:
     return scanned.where("term is not null").select("term", "n_t").unionAll(ones).groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
 
+def entity_classes(texts: DataFrame) -> DataFrame:
+    """row, entity and n_e: of the entities that occur in the same texts the smallest one; n_e is the number of texts.
+
+    What a term tells about an entity follows from the texts of both, so one
+    entity speaks for its class: a text's entities that occur nowhere else, say
+    the addresses of a log, are one. Sets of texts are compared by their size
+    and two sums of 64-bit hashes.
+    """
+    held = texts.select("row", F.explode("entities").alias("entity"))
+    sums = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]
+    sets = held.groupBy("entity").agg(F.count("*").alias("n_e"), *sums)
+    classes = materialize(sets.groupBy("n_e", "s0", "s1").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-classes")
+    known = materialize(held.join(classes, "entity").select("row", "entity", "n_e"), "pii-entities")
+    release(classes)
+    return known
+
+
 def rare_pairs(texts: DataFrame, counts: DataFrame, n: int, disclosure: float) -> DataFrame:
-    """row, entity, term, n_e and n_t of the terms that are rare enough to disclose the entity."""
+    """row, entity (of its class), term, n_e and n_t of the terms that are rare enough to disclose the entity."""
 
     def most(n_e: Column) -> Column:
         return F.pow(n_e / n, F.lit(disclosure)) * (n * (1 + 1e-9))
 
-    held = texts.select("row", F.explode("entities").alias("entity"))
-    known = materialize(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")), "entity").select("row", "entity", "n_e"), "pii-entities")
+    known = entity_classes(texts)
     bounds = known.groupBy("row").agg(most(F.max("n_e")).alias("most"))
     terms = texts.select("row", F.explode(F.array_distinct("words.term")).alias("term")).join(bounds, "row")
     rare = materialize(terms.join(counts, "term").where("n_t <= most").select("row", "term", "n_t"), "pii-rare")
@@ -243,6 +259,7 @@ def sanitise(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with masked texts; doc_id must be a key, rows without one keep their base masks only."""
     spans = report(documents, **options).where("doc_id is not null").select("doc_id", "spans").dropDuplicates(["doc_id"])
     columns = documents.columns
-    joined = documents.join(spans.withColumnRenamed("spans", "_spans"), "doc_id", "left")
+    rows = documents.select("doc_id", F.struct(*columns).alias("row"))  # whatever the other columns are called
+    joined = rows.join(spans, "doc_id", "left")
     masked = F.udf(lambda t, s: mask(t, s if s is not None else ",".join(x for k in KINDS for x in show(k, base_spans(t)[k]))), "string", useArrow=True)
-    return joined.withColumn("text", masked("text", "_spans")).select(columns)
+    return joined.select(*[masked(F.col("row")["text"], F.col("spans")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])

@@ -195,6 +195,11 @@ def fit(
 
 def score(documents: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of every document and its score; no other column is looked at."""
+    return _scored(documents, machine, columns).select("keys.*", "score")
+
+
+def _scored(documents: DataFrame, machine: Machine, columns: tuple[str, ...]) -> DataFrame:
+    """keys (a struct of ``columns``) and score."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(machine)
     keys = documents.select(F.struct(*columns).alias("keys"), "text")
@@ -212,7 +217,7 @@ def score(documents: DataFrame, machine: Machine, columns: tuple[str, ...] = ("d
         return each
 
     schema = keys.select("keys").schema.add("score", "double")
-    return map_rows(keys, make, schema).select("keys.*", "score")
+    return map_rows(keys, make, schema)
 
 
 def report(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -223,5 +228,5 @@ def report(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **op
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The documents that score below ``threshold``, with their own columns."""
-    scored = score(documents, fit(documents, labels, **options), tuple(documents.columns))
-    return scored.where(F.col("score") < threshold).select(documents.columns)
+    scored = _scored(documents, fit(documents, labels, **options), tuple(documents.columns))
+    return scored.where(F.col("score") < threshold).select("keys.*")

@@ -152,7 +152,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, opener: Callable
                 offset += len(member)
                 first = next(rows, None)
 
-    index = map_arrow(todo, lambda batches: batched(store(rows_of(batches, 64)), arrow), schema)
+    index = map_arrow(todo, lambda batches: batched(store(rows_of(batches, 16)), arrow), schema)
     return materialize(index, "warc-index")
 
 
@@ -171,8 +171,8 @@ def coalesced(rows: Iterator[tuple], gap: int, most: int) -> Iterator[tuple[str,
         yield held
 
 
-def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 32 << 20, opener: Callable = filesystem) -> DataFrame:
-    """The records that ``index`` selects, parsed."""
+def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 32 << 20, opener: Callable = filesystem, payloads: bool = True) -> DataFrame:
+    """The records that ``index`` selects, parsed and checked; without ``payloads`` these stay in the task, as null."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -186,13 +186,14 @@ def read(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 8 << 20
                 for _, start, end, members in ranges:
                     data = opened.read_at(end - start, start)
                     for offset, length in members:
-                        yield parse(zlib.decompress(data[offset - start : offset - start + length], 31))
+                        found = parse(zlib.decompress(memoryview(data)[offset - start : offset - start + length], 31))
+                        yield found if payloads else (*found[:-1], None)
 
     spark = index.sparkSession
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // task_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
     wanted = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
-    return map_arrow(wanted, lambda batches: batched(load(rows_of(batches)), arrow, 100), schema)
+    return map_arrow(wanted, lambda batches: batched(load(rows_of(batches)), arrow, 1 << 20, lambda r: 1000 + len(r[-1] or "")), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -202,4 +203,4 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     folder = scratch_path(pages.sparkSession, "warc")
     index = write(pages, folder, least_bytes)
-    return read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, fingerprint, html, jaccard, linededup, mixing, pii, toxicity, warc
+from corvane.llm import chat, decontaminate, fim, fingerprint, html, jaccard, linededup, mixing, pii, toxicity, warc
 from corvane.llm.graph import components
 from corvane.llm.words import letter_words, words_of
 
@@ -811,3 +811,65 @@ def test_warc(spark):
     assert [warc.filesystem(x)[1] for x in ("file:///tmp/a", "dbfs:/a/b", "/x")] == ["/tmp/a", "/dbfs/a/b", "/x"]
     raw = warc.record(5, "http://x/", b"<p>", "response", None)
     assert b"\r\n\r\nHTTP/1.1 200 OK\r\n" in raw and raw.endswith(b"\r\n\r\n<p>\r\n\r\n") and warc.parse(raw)[6] == "<p>"
+
+
+CLASHES = "_may _spans n_words n_hit item_ids word_spans char_spans score n_removed row rest keys spans h k ord idx bucket place base terms entity may h1 found".split()
+
+
+@pytest.mark.parametrize("name", ["jaccard", "pii", "decontaminate", "blocks", "toxicity", "linededup", "fim", "mixing"])
+def test_own_columns_come_back(spark, name):
+    """Operators on documents return extra columns as they were, whatever their names."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, 30)), "en", f"s{i % 2}", 7, *[f"{c}{i}" for c in CLASHES]) for i in range(60)]
+    rows += [(60, rows[0][1], *rows[0][2:5], *[f"{c}60" for c in CLASHES]), (61, None, None, None, None, *[f"{c}61" for c in CLASHES])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES))
+    bench = spark.createDataFrame([(i, rows[i][1] if i < 3 else " ".join(words(rng, 12))) for i in range(9)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = {
+        "jaccard": lambda: jaccard.one_of_each(docs),
+        "pii": lambda: pii.sanitise(docs),
+        "decontaminate": lambda: decontaminate.drop_contaminated(docs, bench, 10),
+        "blocks": lambda: decontaminate.drop_contaminated(docs, bench, 10, block_words=40),
+        "toxicity": lambda: toxicity.drop_toxic(docs, labels, threshold=2.0),
+        "linededup": lambda: linededup.drop_repeats(docs),
+        "fim": lambda: fim.rewrite(docs),
+        "mixing": lambda: mixing.sample(docs),
+    }[name]()
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) >= (1 if name == "mixing" else 55)
+    for r in got:
+        assert [r[c] for c in CLASHES] == [f"{c}{r.doc_id}" for c in CLASHES]
+    if name in ("decontaminate", "blocks"):
+        assert {r.doc_id for r in got} == set(range(3, 60)) | {61}
+
+
+def test_decontamination_blocks_release(spark, tmp_path):
+    """Three blocks give what one gives, and leave one scratch table, the result's."""
+    from pathlib import Path
+
+    from corvane import session
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 40))) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    texts = [r.text for r in docs.collect()]
+    bench = spark.createDataFrame([(i, " ".join(texts[i].split()[5:25])) for i in range(12)], "item_id long, text string")
+    folder = Path(session.shared_dir(spark).removeprefix("file://")) / "corvane"
+    was = set(folder.glob("benchmark-*"))
+    many = decontaminate.scan(docs, bench, block_words=80)
+    assert len(set(folder.glob("benchmark-*")) - was) == 1
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(many) == rows(decontaminate.scan(docs, bench))
+
+
+def test_pii_many_entities_in_a_text(spark):
+    """A text of many entities and rare words makes no product of them, and finds the same words."""
+    ips = [f"10.{i // 250 % 250}.{i % 250}.{i // 62500 + 1}" for i in range(20_000)]
+    names = ["".join(random.Random(i).choices("abcdefghijklmnop", k=9)) for i in range(20_000)]
+    log = " ".join(f"{a} {b}" for a, b in zip(ips, names))
+    texts = [log, "shared 1.2.3.4 word", "shared 1.2.3.4 other", *[f"filler word {i}" for i in range(40)]]
+    docs = frame(spark, texts)
+    pairs = pii.rare_pairs(pii.scan(docs).where("size(entities) > 0").select("row", "entities", "words"), pii.term_counts(pii.scan(docs)), len(texts), 0.8)
+    assert pairs.count() < 25_000
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert spans[0].count("term:") == len(names) and "term:0:6" in spans[1] and "term:0:6" in spans[2]
