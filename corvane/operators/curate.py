@@ -211,8 +211,9 @@ def residue(c: Column) -> Column:
 def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Names joined to the canonical ones by a normalised alias; null if unknown."""
     norm = lambda c: F.regexp_replace(F.lower(c), r"[\s_-]+", "")
-    a = aliases.select(norm(F.col("alias")).alias("_n"), "canonical")
-    return names.withColumn("_n", norm(F.col("name"))).join(a, "_n", "left").drop("_n")
+    a = aliases.select(norm(F.col("alias")).alias("key"), "canonical")
+    rows = names.select(F.struct("*").alias("row"), norm(F.col("name")).alias("key"))
+    return rows.join(a, "key", "left").select("row.*", "canonical")
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -250,7 +251,7 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
 def nearest(pairs: DataFrame) -> DataFrame:
     """The nearest right row of each left one; ties by right_id."""
     w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return pairs.select(F.struct("*").alias("row"), F.row_number().over(w).alias("place")).where("place = 1").select("row.*")
 
 
 def co_citation(edges: DataFrame, most: int | None = None) -> DataFrame:

@@ -38,7 +38,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     than one row of a key leaves each task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    numbered = df.select(F.struct("*").alias("row"), F.row_number().over(w).alias("place"))  # whatever the columns are called
+    return numbered.where("place = 1").select("row.*")
 
 
 def merge_keep_first(base: DataFrame, fetched: DataFrame, key: str = "bibcode") -> DataFrame:
