@@ -19,10 +19,13 @@ farther away are repeats themselves). Ranges of ``min_words`` words and more are
 white space that follows. What a range repeats lies at a smaller place of the
 order, so one copy of it always stays.
 
-Only runs of ``LEAST_RUN`` words and more in repeated chunks are looked at: a
-repeated passage without that many words in whole chunks is left alone. That
-happens to 8 in 100 passages of 25 words on lines of their own and to 22 in 100
-amid other text, to 2 and 7 of those of 30 words and to fewer than 1 from 40 on.
+Only runs of ``LEAST_RUN`` words and more in repeated chunks are looked at, so a
+repeated passage is found by a whole chunk inside of it. ``MIN_WORDS`` is the length
+from which on more than 9 in 10 passages are found and go whole, whether on lines of
+their own or amid other text (measured over 300 pairs of random texts a case: 98 and
+92 in 100 of 40 words, over 99 from 45 on). With a smaller ``min_words`` shorter ones
+go where they are found: of 30 words 98 and 95 in 100, of 25 words 93 and 77, of 20
+words 76 and 55.
 
 Rows are told apart by a number of their own, so rows that share a doc_id, and
 equal rows, repeat one another like any others; a null doc_id counts as the
@@ -46,7 +49,7 @@ from . import bloom
 from .arrowio import map_arrow, map_texts
 from .words import mix, words_of
 
-MIN_WORDS = 15
+MIN_WORDS = 40
 #: Words in consecutive repeated chunks from which on a passage is looked at.
 LEAST_RUN = 4
 #: Of equal words or lines in a row so many make a line or a chunk.
