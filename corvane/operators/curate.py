@@ -254,10 +254,18 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.struct("*").alias("row"), F.row_number().over(w).alias("place")).where("place = 1").select("row.*")
 
 
-def co_citation(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """a, b and n: how many sources cite both; ``most`` is a report limit."""
-    left, right = edges.select("source", F.col("target").alias("a")), edges.select("source", F.col("target").alias("b"))
-    out = left.distinct().join(right.distinct(), "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+def co_citation(edges: DataFrame, most: int | None = None, least: int = 1) -> DataFrame:
+    """a, b and n: how many sources cite both, ``least`` at least; ``most`` is a report limit.
+
+    A pair of ``least`` sources has two targets with as many, so targets with fewer
+    are left out before they are paired: of a long list only what others cite, too.
+    """
+    once = edges.select("source", "target").where("target is not null").distinct()
+    if least > 1:
+        cited = materialize(once.groupBy("target").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("target"), "cited")
+        once = once.join(cited, "target", "left_semi")
+    left, right = once.select("source", F.col("target").alias("a")), once.select("source", F.col("target").alias("b"))
+    out = left.join(right, "source").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return out if most is None else out.orderBy(F.desc("n"), "a", "b").limit(most)
 
 

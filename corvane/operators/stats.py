@@ -1,7 +1,8 @@
-"""Resampling statistics over small tables of per-query values.
+"""Resampling statistics over tables of per-query values.
 
-The values are a few hundred rows; the replicates are what is large, so these
-are dealt over the cluster. Indices come either from a hash of (seed, replicate,
+The values are mostly a few hundred rows; the replicates are what is large, so
+these are dealt over the cluster. Up to ``BROADCAST_VALUES`` values go to the tasks
+as arrays; more are joined draw by draw, with the same indices. Indices come either from a hash of (seed, replicate,
 draw), which any engine can repeat, or from a NumPy generator whose stream is
 fixed.
 """
@@ -9,10 +10,14 @@ fixed.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import import_path, materialize
+
 REPLICATES, SEED = 10_000, 20260531
+BROADCAST_VALUES = 1_000_000
 
 
 def _values(values: DataFrame, group: list[str]) -> DataFrame:
@@ -29,6 +34,8 @@ def _drawn(rep: Column, draw: Column, n: Column, seed: int) -> Column:
 
 def hash_means(values: DataFrame, group: list[str], b: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """group, rep and mean of each replicate; indices by MD5 of seed|rep|draw."""
+    if values.limit(BROADCAST_VALUES + 1).count() > BROADCAST_VALUES:
+        return _joined_means(values, group, b, seed)
     reps = values.sparkSession.range(b).select(F.col("id").cast("int").alias("rep"))  # dealt over all cores, as few groups aren't
     v = reps.join(F.broadcast(_values(values, group)))
     at = lambda i: _drawn(F.col("rep"), i, F.size("v"), seed)
@@ -36,6 +43,17 @@ def hash_means(values: DataFrame, group: list[str], b: int = REPLICATES, seed: i
     return v.select(*group, "rep", F.size("v").alias("n"), (F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x) / F.size("v")).alias("mean"), (total / F.size("v")).alias("m"))
 
 
+def _joined_means(values: DataFrame, group: list[str], b: int, seed: int) -> DataFrame:
+    """:func:`hash_means` with a row a draw: each is joined with the value of its index."""
+    w = Window.partitionBy(*group).orderBy("id", "value")
+    placed = materialize(values.select(*group, F.col("value").cast("double").alias("value"), (F.row_number().over(w) - 1).alias("at")), "values")
+    sizes = placed.groupBy(*group).agg(F.count("*").cast("int").alias("n"), F.avg("value").alias("mean"))
+    reps = values.sparkSession.range(b).select(F.col("id").cast("int").alias("rep"))
+    draws = sizes.join(reps).select(*group, "n", "mean", "rep", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("draw"))
+    drawn = draws.withColumn("at", _drawn(F.col("rep"), F.col("draw"), F.col("n"), seed))
+    return drawn.join(placed, [*group, "at"]).groupBy(*group, "rep", "n", "mean").agg(F.avg("value").alias("m")).select(*group, "rep", "n", "mean", "m")
+
+
 def interval(means: DataFrame, group: list[str]) -> DataFrame:
     """group, n, mean, lo and hi: linear percentiles 2.5 and 97.5 of the replicates."""
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
@@ -61,6 +79,8 @@ def leave_one_out(diffs: DataFrame, b: int = REPLICATES, seed: int = SEED) -> Da
     draws once: place k is value k for the ids behind it and value k + 1 for the
     others. Differences between one id and the next add up to all means.
     """
+    if diffs.limit(BROADCAST_VALUES + 1).count() > BROADCAST_VALUES:
+        raise ValueError(f"leave-one-out of more than {BROADCAST_VALUES} values: {REPLICATES} replicates of as many intervals")
     v = diffs.agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("v")).withColumn("size", F.size("v"))
     reps = diffs.sparkSession.range(b).select(F.col("id").cast("int").alias("rep")).join(F.broadcast(v)).where("size > 1")
     draws = reps.select("rep", "v", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 2)).alias("draw"))
@@ -141,14 +161,33 @@ def numpy_paired(values: DataFrame, order: list[tuple], keys: list[str], b: int
     """Intervals of differences, a fresh generator each, with the intervals without one id in turn.
 
     keys, n, mean, lo, hi, excludes_zero; loo_surviving, how many of the loo_total
-    intervals without one id exclude zero, and hinges, the ids of the others.
+    intervals without one id exclude zero, and hinges, the ids of the others. As every
+    interval has a generator of its own, they are dealt over the tasks.
     """
-    found, rows = _by_group(values, keys), []
-    for g in order:
-        pairs = found.get(tuple(g), [])
-        v = np.array([x for _, x in pairs])
-        whole, *without = stream_intervals([v, *[np.delete(v, i) for i in range(len(v))]], b, seed, True)
-        clear = [not lo <= 0 <= hi for _, _, lo, hi in (whole, *without)]
-        hinges = ",".join(str(i) for (i, _), c in zip(pairs, clear[1:], strict=True) if not c)
-        rows.append((*map(str, g), int(whole[0]), *map(float, whole[1:]), bool(clear[0]), int(sum(clear[1:])), len(v), hinges))
-    return values.sparkSession.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + ", n int, mean double, lo double, hi double, excludes_zero boolean, loo_surviving int, loo_total int, hinges string")
+    spark = values.sparkSession
+    import_path(spark)
+    order = list(dict.fromkeys(map(tuple, order)))
+    found = _by_group(values, keys)
+    pairs = [found.get(tuple(g), []) for g in order]
+    shared = spark.sparkContext.broadcast([(g, [str(i) for i, _ in p], np.array([x for _, x in p])) for g, p in zip(order, pairs, strict=True)])
+    ends = np.cumsum([len(p) + 1 for p in pairs]) if pairs else np.zeros(0, int)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for unit in frame["id"]:
+                which = int(np.searchsorted(ends, unit, "right"))
+                g, ids, v = shared.value[which]
+                left = int(unit - ends[which] + len(v))  # -1 for all values
+                n, mean, lo, hi = stream_intervals([v if left < 0 else np.delete(v, left)], b, seed, True)[0]
+                rows.append((*map(str, g), left, "" if left < 0 else ids[left], int(n), float(mean), float(lo), float(hi), not lo <= 0 <= hi))
+            yield pd.DataFrame(rows, columns=[*keys, "left", "left_id", "n", "mean", "lo", "hi", "clear"])
+
+    named = ", ".join(f"{k} string" for k in keys)
+    units = spark.range(int(ends[-1]) if len(ends) else 0).repartition(spark.sparkContext.defaultParallelism)
+    each = units.mapInPandas(run, f"{named}, left int, left_id string, n int, mean double, lo double, hi double, clear boolean")
+    one = lambda c: F.max(F.when(F.col("left") < 0, F.col(c))).alias(c)
+    without = F.col("left") >= 0
+    hinges = F.array_sort(F.collect_list(F.when(without & ~F.col("clear"), F.struct("left", "left_id"))))
+    out = each.groupBy(*keys).agg(*[one(c) for c in ("n", "mean", "lo", "hi")], one("clear").alias("excludes_zero"), F.count_if(without & F.col("clear")).cast("int").alias("loo_surviving"), F.count_if(without).cast("int").alias("loo_total"), F.array_join(F.transform(hinges, lambda h: h["left_id"]), ",").alias("hinges"))
+    return out

@@ -177,7 +177,7 @@ def cross_match(spark, sf_dir):
 
 def co_citation(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
-    return curate.co_citation(edges).where("n > 1")
+    return curate.co_citation(edges, least=2)
 
 
 def event_velocity(spark, sf_dir):

@@ -6,7 +6,7 @@ import importlib
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -43,14 +43,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     pass counts them; the counts, one a split, are all that meets in one place.
     """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
-    counts = {r["p"]: r["n"] for r in lines.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return lines.select(F.lit(0).cast("long").alias("line_no"), "line")
-    offset = F.element_at(F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]), F.col("p"))
-    return lines.select((offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "line")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    offsets = lines.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    at = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.join(F.broadcast(offsets), "p").select((F.col("before") + at + 1).alias("line_no"), "line")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -153,6 +153,41 @@ def test_bootstrap_grids(spark, monkeypatch):
     assert r.hinges == ",".join(str(i) for i in range(12) if not alone[i])
 
 
+def test_bootstrap_joined(spark, monkeypatch):
+    """Values that are too many to broadcast give the same intervals."""
+    rows = [("a", i, float(i % 3)) for i in range(9)] + [("b", i, float(i)) for i in range(4)]
+    values = spark.createDataFrame(rows, "g string, id long, value double")
+    show = lambda: sorted((r.g, r.n, round(r.mean, 9), round(r.lo, 9), round(r.hi, 9)) for r in stats.bootstrap(values, ["g"], 40).collect())
+    want = show()
+    monkeypatch.setattr(stats, "BROADCAST_VALUES", 5)
+    assert show() == want
+    with pytest.raises(ValueError, match="leave-one-out"):
+        stats.leave_one_out(values)
+
+
+def test_co_citation_least(spark):
+    edges = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "b"), (3, "c"), (3, None), (3, "d")], "source int, target string")
+    all_ = {(r.a, r.b): r.n for r in curate.co_citation(edges).collect()}
+    assert all_ == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("c", "d"): 1}
+    assert {(r.a, r.b): r.n for r in curate.co_citation(edges, least=2).collect()} == {("a", "b"): 2}
+
+
+def test_jdbc(spark):
+    """A database in the driver's JVM, read whole and in ranges of a key."""
+    url = "jdbc:derby:memory:corvane;create=true"
+    spark.range(50).selectExpr("id as K", "id * 2 as V").write.format("jdbc").option("url", url).option("dbtable", "T").mode("overwrite").save()
+    whole = readers.read_jdbc(spark, url, "select K, V from T where K < 30")
+    assert sorted((r.K, r.V) for r in whole.collect()) == [(i, 2 * i) for i in range(30)]
+    parts = readers.read_jdbc(spark, url, "select K, V from T", "K", (0, 50), 4)
+    assert parts.rdd.getNumPartitions() == 4 and sorted(r.K for r in parts.collect()) == list(range(50))
+
+
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "a.tex").write_bytes(b"\\emph{x}")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    assert [(r.path.rsplit("/", 1)[1], bytes(r.content)) for r in readers.whole_files(spark, str(tmp_path), "*.tex").collect()] == [("a.tex", b"\\emph{x}")]
+
+
 def test_leave_one_out_against_each_subset(spark):
     rows = [(i * 3, float(np.sin(i))) for i in range(9)]
     got = {r.left_out: r for r in stats.leave_one_out(spark.createDataFrame(rows, "id long, value double"), 60).collect()}
