@@ -217,15 +217,20 @@ def build_index(docs: DataFrame, path: str, reset: bool = False) -> int:
     return Versions(docs.sparkSession, path).load({"postings": posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "stats": stats}, reset)
 
 
-def search_index(queries: DataFrame, path: str, k: int, version: int | None = None) -> DataFrame:
-    """Lexical top k from one version of an index, by default the last; files are pruned by term."""
+def index_postings(queries: DataFrame, path: str, version: int | None = None) -> tuple[DataFrame, tuple]:
+    """The postings of the queries' terms, and (n, avgdl), of one version of an index; files are pruned by term."""
     from ..sources.versions import Versions
 
     index = Versions(queries.sparkSession, path)
     state = index.state(version)
-    terms = query_terms(queries)
-    post = index.read("postings", state).join(small(terms.select("term").distinct()), "term", "left_semi")
-    return ranked(bm25_of_postings(terms, post, index.read("stats", state).first()), [F.col("score"), F.col("doc_id")], k)
+    terms = query_terms(queries).select("term").distinct()
+    return index.read("postings", state).join(small(terms), "term", "left_semi"), index.read("stats", state).first()
+
+
+def search_index(queries: DataFrame, path: str, k: int, version: int | None = None) -> DataFrame:
+    """Lexical top k from one version of an index, by default the last."""
+    scored = bm25_of_postings(query_terms(queries), *index_postings(queries, path, version))
+    return ranked(scored, [F.col("score"), F.col("doc_id")], k)
 
 
 # ---------------------------------------------------------------- declared refinements

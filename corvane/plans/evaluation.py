@@ -17,10 +17,8 @@ SLICES, METRICS = ("named", "broad", "all"), ("recall", "rr")
 
 
 def index_of(queries: DataFrame, path: str) -> tuple[DataFrame, tuple]:
-    """The postings of the queries' terms, and (n, avgdl), from a built index."""
-    spark = queries.sparkSession
-    terms = ranking.query_terms(queries).select("term").distinct()
-    return spark.read.parquet(f"{path}/postings").join(ranking.small(terms), "term", "left_semi"), spark.read.parquet(f"{path}/stats").first()
+    """The postings of the queries' terms, and (n, avgdl), from the last version of a built index."""
+    return ranking.index_postings(queries, path)
 
 
 def values_of(scored: DataFrame, label: Column, pairs: bool = False) -> DataFrame:
