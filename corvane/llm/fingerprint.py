@@ -109,6 +109,8 @@ def in_order(documents: DataFrame, partitions: int | None = None) -> DataFrame:
     ``next_run`` marks, behind the rows of a run, those that follow it: the
     first of the next run, or after the last run the first of all. Run borders
     are ids of the table, so that each run's follower is known from its id.
+    Rows of one doc_id, and rows without one, are one run and so one task, streamed in
+    the order of their texts: doc_id is taken for a key that few rows share.
     """
     spark = documents.sparkSession
     import_path(spark)
