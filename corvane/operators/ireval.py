@@ -55,9 +55,16 @@ def per_query(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id").agg(*cells)
 
 
-def sliced(rows: DataFrame, label: Column) -> DataFrame:
-    """Every row in slice ``all`` and in the slice of its label."""
-    return rows.withColumn("slice", F.explode(F.array(F.lit("all"), label)))
+def labelled(rows: DataFrame, label: Column | DataFrame) -> DataFrame:
+    """``rows`` with ``own``: an expression over query_id, or the slice of a table (query_id, slice)."""
+    if isinstance(label, DataFrame):
+        return rows.join(label.select("query_id", F.col("slice").alias("own")), "query_id", "left")
+    return rows.withColumn("own", label)
+
+
+def sliced(rows: DataFrame, label: Column | DataFrame) -> DataFrame:
+    """Every row in slice ``all`` and in the slice of its label (see :func:`labelled`)."""
+    return labelled(rows, label).withColumn("slice", F.explode(F.array(F.lit("all"), F.col("own")))).drop("own")
 
 
 def arm_table(scored: DataFrame, label: Column) -> DataFrame:
@@ -97,7 +104,7 @@ def best_gold_rank(gold: DataFrame, dense: DataFrame, lexical: DataFrame) -> Dat
     return out
 
 
-def pool_sweep(full: DataFrame, gold: DataFrame, pools: list[int], label: Column, cuts: tuple[int, int] = (10, 50)) -> DataFrame:
+def pool_sweep(full: DataFrame, gold: DataFrame, pools: list[int], label: Column | DataFrame, cuts: tuple[int, int] = (10, 50)) -> DataFrame:
     """pool, slice: union recall, fused recall at both cuts, gaps, tags, candidates.
 
     One pass over the rankings: every row is copied into the pools it belongs to.
@@ -161,13 +168,14 @@ def frozen_gate(measured: DataFrame, expected: DataFrame, keys: list[str], value
     return want.join(measured.select(*keys, F.col(value).alias("got")), keys, "left").where(F.coalesce(F.abs(F.col("got") - F.col("want")), F.lit(1.0)) > tolerance)
 
 
-def accounting(queries: DataFrame, gold: DataFrame, label: Column) -> DataFrame:
+def accounting(queries: DataFrame, gold: DataFrame, label: Column | DataFrame) -> DataFrame:
     """One row: n_scored, n_by_label (map) and skipped, the sorted ids of queries without gold.
 
-    ``label`` is an expression over query_id; a null label counts as ``(none)``.
+    ``label`` is that of :func:`labelled`; a null one counts as ``(none)``.
     """
     scored = gold.where("doc_id is not null").select("query_id").distinct().withColumn("scored", F.lit(True))
-    rows = queries.select("query_id").distinct().join(scored, "query_id", "left").select("query_id", F.coalesce("scored", F.lit(False)).alias("scored"), F.coalesce(label, F.lit("(none)")).alias("label"))
+    known = labelled(queries.select("query_id").distinct().join(scored, "query_id", "left"), label)
+    rows = known.select("query_id", F.coalesce("scored", F.lit(False)).alias("scored"), F.coalesce("own", F.lit("(none)")).alias("label"))
     counts = rows.where("scored").groupBy("label").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("n_by_label"))
     return rows.agg(F.count_if("scored").alias("n_scored"), F.array_sort(F.collect_list(F.when(~F.col("scored"), F.col("query_id").cast("string")))).alias("skipped")).join(counts)
 

@@ -82,8 +82,7 @@ def sweep(
     if wrong:
         raise ValueError(f"the committed list differs from the frozen gold: {', '.join(sorted(wrong))}")
     slices = ireval.partitioned(gold.select("query_id").distinct(), partition)
-    of = F.create_map(*[x for r in slices.select("query_id", "slice").collect() for x in (F.lit(r["query_id"]), F.lit(r["slice"]))])
-    label = F.try_element_at(of, F.col("query_id"))
+    label = materialize(slices.select("query_id", "slice").distinct(), "slices")
     heads = ranking.head_rankings(queries, vectors, *index_of(queries, index), max(pools))
     table = materialize(ireval.pool_sweep(heads, gold, pools, label), "pools")
     if expected is not None:
