@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import curate, ingest, ireval, ranking, stats
 from ..session import scratch_path
 from ..sources import readers, writers
-from . import retrieval
+from . import corpus, retrieval
 from .authoring import render_context
 from .retrieval import K, PLACES, docs_of, items_of
 from .tables import table
@@ -208,6 +208,7 @@ ORACLE = {
     "refusal_rate": f"WITH {_LABELLED} SELECT count(*) AS n, round(avg(CASE WHEN n_chars < 200 THEN 1 ELSE 0 END), 6) AS false_refusal_rate, avg(CASE WHEN n_chars < 200 THEN 1 ELSE 0 END) <= 0.1 AS within_cap FROM d WHERE quality = 1",
     "scoring_account": f"WITH {retrieval._GOLD}, s AS (SELECT item_id, CASE WHEN item_id <= 18 THEN 'named' ELSE 'broad' END AS kind, item_id IN (SELECT query_id FROM gold) AS scored FROM benchmark), k AS (SELECT kind || '=' || count(*) AS e FROM s WHERE scored GROUP BY kind) SELECT count(*) FILTER (scored) AS n_scored, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) FILTER (NOT scored), '') AS skipped, (SELECT string_agg(e, ',' ORDER BY e) FROM k) AS by_label FROM s",
     "length_buckets": "SELECT CAST(floor(n_chars / 500) AS INTEGER) AS length_group, count(*) AS n FROM documents GROUP BY 1",
+    "markup_residue": rf"SELECT page_id, regexp_matches(coalesce(html, ''), '\\[A-Za-z]+|</?[A-Za-z][^>]*>') AS before, residue AS after FROM pages JOIN ({corpus.ORACLE['clean_markup']}) USING (page_id)",
     "alias_names": "SELECT n_nationkey, lower(substr(n_name, 1, 3)) || CASE WHEN n_nationkey % 3 = 0 THEN '-' ELSE ' ' END || substr(n_name, 4) AS name, CASE WHEN n_nationkey % 5 <> 4 THEN array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS canonical FROM nation",
     "chunk_papers": f"WITH {_REC}, x AS (SELECT *, regexp_replace(regexp_replace(title || '. ' || regexp_replace(coalesce(abstract, ''), '^\\s+|\\s+$', '', 'g'), '^[. ]+|[. ]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM rec WHERE year > 2003) SELECT bibcode || ':abstract:0' AS chunk_id, bibcode, title, year, CAST(len([w FOR w IN regexp_split_to_array(t, '\\s+') IF w <> '']) AS BIGINT) AS token_count FROM x",
     "unit_vectors": "SELECT vec_id, round(sqrt(list_dot_product(u, u)), 6) AS length, round(u[1], 6) AS x0 FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings)",
