@@ -196,7 +196,8 @@ def _growth(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
 def _segments(repeats: DataFrame, min_words: int) -> DataFrame:
     """row, i0, i1 and home, j0, j1: chunks i0 to i1 of a row repeat chunks j0 to j1 of ``home``.
 
-    Runs that can't reach ``min_words``, by the lines beside them, are left out.
+    Runs that can't reach ``min_words``, by the lines beside them and with the runs
+    near them, are left out.
     """
 
     def run(batches):
@@ -214,7 +215,10 @@ def _segments(repeats: DataFrame, min_words: int) -> DataFrame:
             last = np.append(first[1:], len(row))[: len(first)] - 1
             words = np.add.reduceat(n, first) if len(first) else n
             most = words + _growth(e[first] >> 16 & 0xFFFF, other[first] >> 16 & 0xFFFF) + _growth(e[last] & 0xFFFF, other[last] & 0xFFFF)
-            ok = np.repeat((words >= LEAST_RUN) & (most >= min_words), last - first + 1)
+            # runs that may grow until they touch count together
+            far = np.ones(len(first), bool)
+            far[1:] = (row[first[1:]] != row[last[:-1]]) | (idx[first[1:]] - idx[last[:-1]] > 2 * REACH + 1)
+            ok = np.repeat((words >= LEAST_RUN) & (_run_words(far, most) >= min_words), last - first + 1)
             new = gap.copy()
             new[1:] |= (home[1:] != home[:-1]) | (at[1:] != at[:-1] + 1)
             row, idx, home, at, new = (x[ok] for x in (row, idx, home, at, new))
