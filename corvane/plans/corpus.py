@@ -196,10 +196,9 @@ def stream_counts(spark, sf_dir):
 
 def fuzzy_names(spark, sf_dir):
     """Trigram similarity of the stated query set of suppliers (keys divisible by 100) to all."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", T.char_ngrams(F.col("s_name")).alias("g"))
-    q = s.where("s_suppkey % 100 = 0").select(F.col("s_suppkey").alias("q"), F.col("g").alias("qg"))
-    hits = s.select("s_suppkey", "g", F.explode("g").alias("t")).join(q.select("q", "qg", F.explode("qg").alias("t")), "t").groupBy("q", "s_suppkey").agg(F.first("g").alias("g"), F.first("qg").alias("qg"))
-    return hits.select("q", "s_suppkey", F.round(T.jaccard(F.col("qg"), F.col("g")), 6).alias("similarity")).where("similarity >= 0.6 and q <> s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.char_ngrams(F.col("s_name")).alias("grams"))
+    near = curate.similar_sets(s.where("id % 100 = 0").withColumnRenamed("id", "q"), s, 0.6)
+    return near.select("q", F.col("id").alias("s_suppkey"), F.round(F.col("common") / F.col("united"), 6).alias("similarity")).where("similarity >= 0.6 and q <> s_suppkey")
 
 
 QUERIES = {

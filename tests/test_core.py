@@ -549,3 +549,19 @@ def test_streaming_append(spark, tmp_path):
         s = stream.file_stream(spark, src, "k string, v int")
         stream.append_once(s, "k", str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_similar_sets_in_blocks_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = {i: sorted({f"g{x}" for x in rng.integers(0, 9, rng.integers(1, 12))}) for i in range(120)} | {500: []}
+    df = spark.createDataFrame(list(sets.items()), "id long, grams array<string>")
+    q = df.where("id % 5 = 0").withColumnRenamed("id", "q")
+    jaccard = lambda a, b: (len(set(a) & set(b)), len(set(a) | set(b)))
+    want = {(a, b, *jaccard(sets[a], sets[b])) for a in sets if a % 5 == 0 for b in sets if sets[a] and sets[b] and len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b]))}
+    for cells in (1 << 25, 400):
+        monkeypatch.setattr(curate, "SET_CELLS", cells)
+        found = curate.similar_sets(q, df, 0.5)
+        assert {tuple(r) for r in found.collect()} == want
+        assert found.count() == len(want)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert curate.similar_sets(q.where("q < 0"), df, 0.5).count() == 0
