@@ -2,7 +2,7 @@
 
 Query sets are small next to the corpus. They are broadcast when their size is
 known to be under ``BROADCAST_ROWS`` rows, or vectors in blocks of
-``BROADCAST_BYTES``; a larger set is joined in blocks or by shuffle, with the same
+``BROADCAST_BYTES`` (``nearest``: of rows and bytes); a larger set is joined in blocks or by shuffle, with the same
 result. Ranks are cut by a group limit before the
 shuffle, so no more than k rows of a query leave each task.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.text import RRF_K, document_tokens, query_tokens
 from ..functions.vectors import dot, norm
 from ..session import materialize, spread
 from ..sources.schemas import ARMS
+from . import nearest
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
@@ -145,9 +147,26 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, decimals: int | None =
     return out.where("score is not null")
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
-    """query_id, doc_id, score and rank; ties by doc_id."""
-    return ranked(dense_scores(queries, vectors, decimals), [F.desc("score"), F.col("doc_id")], k)
+def _whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, IntegralType)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None = None, weight: Column | None = None, others: bool = False) -> DataFrame:
+    """query_id, doc_id, score and rank; ties by doc_id.
+
+    ``weight``, an expression over doc_id, is multiplied with the rounded cosine;
+    ``others`` leaves out the vectors with the query's own id. Where ids are whole
+    numbers the scores come from matrix products (``nearest``), else from a join.
+    """
+    order = [F.desc("score"), F.col("doc_id")]
+    if _whole(vectors, "doc_id") and (not others or _whole(queries, "query_id")):
+        return ranked(nearest.heads(queries, vectors, k, decimals, weight, others), order, k)
+    scored = dense_scores(queries, vectors, decimals)
+    scored = scored.where("query_id <> doc_id") if others else scored
+    if weight is not None:
+        s = F.col("score") * weight
+        scored = scored.withColumn("score", s if decimals is None else F.round(s, decimals))
+    return ranked(scored, order, k)
 
 
 # ---------------------------------------------------------------- fusion
@@ -246,9 +265,14 @@ def fielded_bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float],
     return ranked(parts.groupBy("query_id", "doc_id").agg(total.alias("score")), [F.col("score"), F.col("doc_id")], k)
 
 
+def half_life_weight(age: Column, half_life: float) -> Column:
+    """1, halved for each ``half_life`` of age."""
+    return F.pow(F.lit(0.5), age / F.lit(half_life))
+
+
 def recency(scored: DataFrame, age: Column, half_life: float, k: int, decimals: int | None = None) -> DataFrame:
     """Scores (higher is better) halved for each ``half_life`` of age."""
-    s = F.col("score") * F.pow(F.lit(0.5), age / F.lit(half_life))
+    s = F.col("score") * half_life_weight(age, half_life)
     return ranked(scored.withColumn("score", s if decimals is None else F.round(s, decimals)), [F.desc("score"), F.col("doc_id")], k)
 
 
@@ -313,6 +337,20 @@ def head_rankings(queries: DataFrame, vectors: DataFrame, post: DataFrame, stats
     return materialize(d.join(x.select("query_id", "doc_id", "lexical_rank"), ["query_id", "doc_id"], "full_outer"), "rankings")
 
 
+def best_dense_ranks(queries: DataFrame, vectors: DataFrame, gold: DataFrame, name: str, decimals: int | None = None) -> DataFrame:
+    """:func:`best_ranks` by cosine: gold pairs are scored, then the vectors up to the best one of a query are counted."""
+    if not _whole(vectors, "doc_id"):
+        scored = dense_scores(queries, vectors, decimals).withColumn("score", -F.col("score"))
+        return best_ranks(scored, gold, name)
+    q = queries.select("query_id", "vector")
+    pairs = gold.select("query_id", "doc_id").distinct().join(vectors.select("doc_id", "vector"), "doc_id").join(q.withColumnRenamed("vector", "qv"), "query_id")
+    sim = F.try_divide(dot(F.col("qv"), F.col("vector")), norm(F.col("qv")) * norm(F.col("vector")))
+    scored = pairs.select("query_id", "doc_id", (sim if decimals is None else F.round(sim, decimals)).alias("score")).where("score is not null")
+    best = scored.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("score"), "doc_id")).alias("g"))
+    marks = materialize(best.select("query_id", (-F.col("g.score")).alias("score"), "g.doc_id"), "marks")
+    return nearest.up_to(marks.join(q, "query_id"), vectors, decimals).select("query_id", F.col("n").cast("int").alias(name))
+
+
 def best_ranks(scored: DataFrame, gold: DataFrame, name: str) -> DataFrame:
     """query_id and the best rank of its gold, at any depth, by ascending score and doc_id.
 

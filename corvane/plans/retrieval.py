@@ -132,7 +132,7 @@ def dense_topk(spark, sf_dir):
 def dense_eval(spark, sf_dir):
     q, v = _dense_sets(spark, sf_dir)
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    top = ranking.ranked(ranking.dense_scores(q, v, PLACES).where("query_id <> doc_id"), [F.desc("score"), F.col("doc_id")], K)
+    top = ranking.dense_topk(q, v, K, PLACES, others=True)
     own = labels.toDF("query_id", "own")
     each = top.join(labels, "doc_id").join(own, "query_id").groupBy("query_id").agg((F.count_if(F.col("label") == F.col("own")) / F.count("*")).alias("p"), F.coalesce(F.lit(1.0) / F.min(F.when(F.col("label") == F.col("own"), F.col("rank"))), F.lit(0.0)).alias("rr"))
     return _r(each.agg(F.count("*").alias("n"), F.avg("p").alias("precision"), F.avg("rr").alias("mrr")), "precision", "mrr")
@@ -193,8 +193,8 @@ def fielded_bm25(spark, sf_dir):
 
 def recency_topk(spark, sf_dir):
     q, v = _dense_sets(spark, sf_dir)
-    scored = ranking.dense_scores(q, v, PLACES)
-    return _r(ranking.recency(scored, F.pmod("doc_id", F.lit(30)).cast("double"), 10.0, K, PLACES), "score")
+    weight = ranking.half_life_weight(F.pmod("doc_id", F.lit(30)).cast("double"), 10.0)
+    return _r(ranking.dense_topk(q, v, K, PLACES, weight), "score")
 
 
 def rerank_topk(spark, sf_dir):
