@@ -21,6 +21,8 @@ from . import nearest
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+#: Pairs of a posting and a query's word that a task scores.
+PAIRS = 2_000_000
 
 
 def ranked(scored: DataFrame, order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -100,18 +102,32 @@ def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", decimals: int
     return bm25_of_postings(terms, *cut_postings(terms, docs, text), decimals)
 
 
-def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals: int | None = None) -> DataFrame:
-    """Scores from postings (doc_id, len, term, tf) and (n, avgdl)."""
+def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Scores from postings (doc_id, len, term, tf) and (n, avgdl).
+
+    A query's words meet most documents, so there are far more pairs than postings.
+    The postings are dealt by document, ``PAIRS`` pairs a task; pairs are
+    made and summed within the task, and :func:`ranked` cuts them there. ``only`` has
+    the pairs (query_id, doc_id) to score, by default all.
+    """
     n, avgdl = stats[0] or 0, stats[1] or 1.0
+    spark = post.sparkSession
     df = document_frequency(post)
     idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").select("query_id", "term", (F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("qf")).alias("w"))
+    weights = materialize(terms.join(df, "term").select("query_id", "term", "df", (F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("qf")).alias("w")), "weights")
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))
     total = F.sum(part)
     total = total if decimals is None else F.round(total, decimals)
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return post.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg((-total).alias("score"))
+    if only is not None:
+        pairs = only.select("query_id", "doc_id").distinct().join(post, "doc_id")
+        return pairs.join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id").agg((-total).alias("score"))
+    rows, met = weights.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    weights = weights.select("query_id", "term", "w")
+    if rows > BROADCAST_ROWS:
+        return post.join(weights, "term").groupBy("query_id", "doc_id").agg((-total).alias("score"))
+    post = post.repartition(max(spark.sparkContext.defaultParallelism, -(-met // PAIRS)), "doc_id")
+    return post.join(F.broadcast(weights), "term").groupBy("query_id", "doc_id").agg((-total).alias("score"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, text: str = "text", decimals: int | None = None) -> DataFrame:
@@ -351,12 +367,20 @@ def best_dense_ranks(queries: DataFrame, vectors: DataFrame, gold: DataFrame, na
     return nearest.up_to(marks.join(q, "query_id"), vectors, decimals).select("query_id", F.col("n").cast("int").alias(name))
 
 
+def best_lexical_ranks(terms: DataFrame, post: DataFrame, stats: tuple, gold: DataFrame, name: str, decimals: int | None = None) -> DataFrame:
+    """:func:`best_ranks` by BM25: gold pairs are scored on their own, so that no pair is shuffled."""
+    own = bm25_of_postings(terms, post, stats, decimals, gold)
+    return best_ranks(bm25_of_postings(terms, post, stats, decimals), own, name)
+
+
 def best_ranks(scored: DataFrame, gold: DataFrame, name: str) -> DataFrame:
     """query_id and the best rank of its gold, at any depth, by ascending score and doc_id.
 
     Nothing is sorted: the rows up to the best gold row of a query are counted,
-    with map-side combine. Queries whose gold is not scored are left out.
+    with map-side combine. Queries whose gold is not scored are left out. Gold that
+    has its scores saves a join with ``scored``.
     """
-    best = scored.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min(F.struct("score", "doc_id")).alias("g"))
-    up_to = (F.col("score") < F.col("g.score")) | (F.col("score") == F.col("g.score")) & (F.col("doc_id") <= F.col("g.doc_id"))
+    own = gold if "score" in gold.columns else scored.join(gold.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"])
+    best = materialize(own.groupBy("query_id").agg(F.min(F.struct("score", "doc_id")).alias("g")), "best")
+    up_to = (F.col("doc_id") == F.col("g.doc_id")) | (F.col("score") < F.col("g.score")) | (F.col("score") == F.col("g.score")) & (F.col("doc_id") <= F.col("g.doc_id"))
     return scored.join(small(best), "query_id").where(up_to).groupBy("query_id").agg(F.count("*").cast("int").alias(name))

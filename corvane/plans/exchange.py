@@ -87,7 +87,8 @@ def section_weights(spark, sf_dir):
     """Items ranked by the better of title (twice) and body."""
     title = F.regexp_extract("text", r"^[^\n]*", 0)
     docs = docs_of(spark, sf_dir).select("doc_id", title.alias("title"), F.substring("text", F.length(title) + 2, F.length("text")).alias("body"))
-    parts = [ranking.bm25(items_of(spark, sf_dir), docs, f, PLACES).select("query_id", "doc_id", F.lit(f).alias("section"), (-F.col("score")).alias("score")) for f in ("title", "body")]
+    # a document among the first K by its better section is among the first K by that section
+    parts = [ranking.lexical_topk(items_of(spark, sf_dir), docs, K, f, PLACES).select("query_id", "doc_id", F.lit(f).alias("section"), (-F.col("score")).alias("score")) for f in ("title", "body")]
     return ranking.weigh_sections(parts[0].unionAll(parts[1]), {"title": 2.0}, K).withColumn("score", F.round("score", 6))
 
 

@@ -60,3 +60,21 @@ def test_half_up_is_sparks(spark):
     for d in (2, 5, 9):
         want = [r.r for r in df.select(F.round("x", d).alias("r")).collect()]
         assert np.array_equal(nearest.half_up(x, d), np.array(want), equal_nan=True)
+
+
+def test_lexical_pairs_are_cut_before_the_shuffle(spark, monkeypatch):
+    """No pair of a query and a document crosses a shuffle: only postings do, and each task's heads."""
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 12, 9))) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 12} w{i % 5} w7") for i in range(30)], "query_id long, query string")
+    whole = {tuple(r) for r in ranking.lexical_topk(queries, docs, 5, decimals=9).collect()}
+    monkeypatch.setattr(ranking, "PAIRS", 500)
+    top = ranking.lexical_topk(queries, docs, 5, decimals=9)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in top.collect()} == whole
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("query_id" in x and "doc_id" in x for x in exchanges) and any("REPARTITION_BY_NUM" in x for x in exchanges)
+    terms, (post, stats) = ranking.query_terms(queries), ranking.cut_postings(ranking.query_terms(queries), docs)
+    gold = queries.select("query_id", (F.col("query_id") * 3).alias("doc_id"))
+    want = ranking.best_ranks(ranking.bm25_of_postings(terms, post, stats, 9), gold, "n")
+    assert sorted(ranking.best_lexical_ranks(terms, post, stats, gold, "n", 9).collect()) == sorted(want.collect())
