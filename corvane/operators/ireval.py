@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RRF_K
-from .ranking import best_ranks, ranked
+from .ranking import ranked
 
 ARM_RANKS = {"dense": "dense_rank", "lexical": "lexical_rank", "hybrid": "hybrid_rank"}
 
@@ -92,15 +92,15 @@ def decisive(scored: DataFrame) -> DataFrame:
     return scored.where(F.size(F.array_distinct(hit)) > 1)
 
 
-def best_gold_rank(gold: DataFrame, dense: DataFrame, lexical: DataFrame) -> DataFrame:
-    """query_id and the best rank of its gold in either arm, at any depth.
+def best_gold_rank(gold: DataFrame, *arms: DataFrame) -> DataFrame:
+    """query_id and the best rank of its gold in every arm, at any depth.
 
-    ``dense`` and ``lexical`` score (query_id, doc_id, score) the whole corpus, the
-    lower the better; null where an arm does not score any gold.
+    ``arms`` are tables of best ranks (``ranking.best_ranks`` and its like); null
+    where an arm does not score any gold.
     """
     out = gold.select("query_id").distinct()
-    for scored, name in ((dense, "dense_best"), (lexical, "lexical_best")):
-        out = out.join(best_ranks(scored, gold, name), "query_id", "left")
+    for best in arms:
+        out = out.join(best, "query_id", "left")
     return out
 
 

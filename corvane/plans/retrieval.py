@@ -167,9 +167,10 @@ def candidate_size(spark, sf_dir):
 
 def best_gold_rank(spark, sf_dir):
     corpus, queries = corpus_of(spark, sf_dir), queries_of(spark, sf_dir)
-    dense = ranking.dense_scores(queries, vectors_of(spark, sf_dir), PLACES).withColumn("score", -F.col("score"))
-    lexical = ranking.bm25_of_postings(ranking.query_terms(queries), *corpus, PLACES)
-    return ireval.best_gold_rank(gold_of(spark, sf_dir, corpus[0]), dense, lexical)
+    gold = materialize(gold_of(spark, sf_dir, corpus[0]), "gold")
+    dense = ranking.best_dense_ranks(queries, vectors_of(spark, sf_dir), gold, "dense_best", PLACES)
+    lexical = ranking.best_lexical_ranks(ranking.query_terms(queries), *corpus, gold, "lexical_best", PLACES)
+    return ireval.best_gold_rank(gold, dense, lexical)
 
 
 def pool_sweep(spark, sf_dir):
