@@ -22,15 +22,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import document_tokens
 from ..session import import_path, materialize, spread
+from . import ranking
 from .ranking import document_frequency, ranked, small
 
 #: Weights of the labels.
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
+#: Documents whose words are put in order at once.
+STEP = 64
 
 
 def gaps_of(positions: Column) -> Column:
@@ -58,20 +65,49 @@ def positions_of(gaps: Column, labels: Column, only: str | None = None) -> Colum
 
 
 def index_positions(docs: DataFrame, parts: dict[str, str] | None = None) -> DataFrame:
-    """row, doc_id, term, gaps and labels; ``parts`` maps columns, in order, to labels. To be written by term."""
+    """row, doc_id, term, gaps and labels, a scratch table; ``parts`` maps columns, in order, to labels.
+
+    A document's postings follow from its row alone, so no word is shuffled.
+    """
     parts = parts or {"text": "D"}
     if not set(parts.values()) <= set(WEIGHTS):
         raise ValueError(f"labels are {', '.join(WEIGHTS)}")
 
-    def marked(column: str, label: str) -> Column:
-        return F.transform(document_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(label).alias("label")))
-
-    rows = spread(docs.select("doc_id", *parts)).select("doc_id", F.concat(*[marked(*part) for part in parts.items()]).alias("toks"))
-    toks = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "positions")  # rows keep their numbers
-    each = toks.select("row", "doc_id", F.posexplode_outer("toks").alias("at", "t")).where("t is not null")
-    place = F.struct((F.col("at") + 1).alias("at"), F.col("t.label").alias("label"))
-    found = each.groupBy("row", "doc_id", F.col("t.term").alias("term")).agg(F.array_sort(F.collect_list(place)).alias("p"))
-    return found.select("row", "doc_id", "term", gaps_of(F.col("p.at")).alias("gaps"), F.array_join("p.label", "").alias("labels"))
+    import_path(docs.sparkSession)
+    key = docs.schema["doc_id"].dataType
+    schema = StructType([StructField("row", LongType()), StructField("doc_id", key), StructField("term", StringType()), StructField("gaps", ArrayType(IntegerType())), StructField("labels", StringType())])
+    arrow, letters = to_arrow_schema(schema), "".join(parts.values())
+    rows = spread(docs.select("doc_id", *parts)).select(F.monotonically_increasing_id().alias("row"), "doc_id", *[document_tokens(F.col(c)).alias(f"part{i}") for i, c in enumerate(parts)])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                yield _posted(batch.slice(at, STEP), letters, arrow)
+
+    return materialize(rows.mapInArrow(run, schema), "index")  # rows keep their numbers
+
+
+def _posted(rows: pa.RecordBatch, letters: str, schema: pa.Schema) -> pa.RecordBatch:
+    """The postings of whole documents (row, doc_id and the tokens of each part), which need no other rows."""
+    sizes = np.array([pc.list_value_length(c).to_numpy() for c in rows.columns[2:]], np.int64)
+    tokens = pa.chunked_array([c.flatten() for c in rows.columns[2:]]).combine_chunks().dictionary_encode()
+    n = rows.num_rows
+    owner = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+    label = np.repeat(np.frombuffer(letters.encode(), np.uint8), sizes.sum(1))
+    before = np.cumsum(sizes, 0) - sizes  # words of the document in earlier parts
+    at = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(b, s) for s, b in zip(sizes, before, strict=True)]) + 1
+    code = tokens.indices.to_numpy()
+    order = np.lexsort((at, code, owner))
+    owner, code, at, label = owner[order], code[order], at[order], label[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    starts = np.flatnonzero(new)
+    gaps = np.where(new, at, at - np.concatenate(([0], at[:-1])))
+    edges = pa.array(np.append(starts, len(at)).astype(np.int32))
+    own = pa.array(owner[starts])
+    marks = pa.StringArray.from_buffers(len(starts), edges.buffers()[1], pa.py_buffer(label.tobytes()))
+    columns = [rows.column(0).take(own), rows.column(1).take(own), tokens.dictionary.take(pa.array(code[starts])), pa.ListArray.from_arrays(edges, pa.array(gaps.astype(np.int32))), marks]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -131,6 +167,14 @@ def weighted_search(index: DataFrame, queries: DataFrame, k: int, weights: dict[
     asked = query_words(queries)
     count = lambda label: F.length("labels") - F.length(F.replace("labels", F.lit(label)))
     part = sum((count(label) * float(w) for label, w in weights.items()), F.lit(0.0))
-    scored = index.select("row", "doc_id", "term", part.alias("part")).join(small(asked.select("query_id", "term")), "term").groupBy("query_id", "row", "doc_id").agg(F.sum("part").alias("score"))
+    post = index.select("row", "doc_id", "term", part.alias("part")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    words = asked.select("query_id", "term")
+    met = words.join(document_frequency(post), "term").agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    if met[0] <= ranking.BROADCAST_ROWS:  # pairs are made and summed in the task that has the document
+        cores = index.sparkSession.sparkContext.defaultParallelism
+        pairs = post.repartition(max(cores, -(-met[1] // ranking.PAIRS)), "row").join(F.broadcast(words), "term")
+    else:
+        pairs = post.join(words, "term")
+    scored = pairs.groupBy("query_id", "row", "doc_id").agg(F.sum("part").alias("score"))
     scored = scored if decimals is None else scored.withColumn("score", F.round("score", decimals))
     return ranked(scored.where("score > 0").drop("row"), [F.desc("score"), F.col("doc_id")], k)

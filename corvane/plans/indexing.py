@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ann, citations, positional, ranking, segments
-from ..session import materialize, scratch_path
+from ..session import scratch_path
 from ..sources.versions import Versions
 from . import retrieval
 from .corpus import FOLD
@@ -50,7 +50,7 @@ def _titled(spark, sf_dir):
 
 
 def _positions(spark, sf_dir):
-    return materialize(positional.index_positions(_titled(spark, sf_dir), {"title": "A", "body": "D"}), "index")
+    return positional.index_positions(_titled(spark, sf_dir), {"title": "A", "body": "D"})
 
 
 def phrase_search(spark, sf_dir):

@@ -298,3 +298,18 @@ def test_paged_ingest_resumes(spark, as_module, tmp_path):
 def test_paged_batch_stops(spark, as_module):
     df = readers.read_paged(spark, "test_indexes:api", "bibcode string, n int", limit=500, page=4)
     assert df.rdd.getNumPartitions() == 7 and sorted(r.n for r in df.collect()) == list(range(27))
+
+
+def test_positions_of_a_document_come_from_its_row(spark, monkeypatch):
+    rows = [(1, "b a b", "a c"), (1, None, "c c"), (None, "", "é E"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    for step in (64, 1):
+        monkeypatch.setattr(positional, "STEP", step)
+        got = {(r.doc_id, r.term, tuple(r.gaps), r.labels) for r in positional.index_positions(docs, {"title": "A", "body": "D"}).collect()}
+        assert got == {(1, "b", (1, 2), "AA"), (1, "a", (2, 2), "AD"), (1, "c", (5,), "D"), (1, "c", (1, 1), "DD"), (None, "e", (1, 1), "DD")}
+    index = positional.index_positions(docs, {"title": "A", "body": "D"})
+    queries = spark.createDataFrame([(1, "a c"), (2, "b zz")], "query_id long, query string")
+    found = positional.weighted_search(index, queries, 5, decimals=9)
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert not any("query_id" in x and "row" in x for x in exchanges)
+    assert {(r.query_id, r.doc_id, r.score) for r in found.collect()} == {(1, 1, 1.2), (1, 1, 0.2), (2, 1, 2.0)}
