@@ -25,6 +25,8 @@ from ..sources.versions import Conflict, Versions
 from . import ranking
 
 FAN = 4
+#: Replaced rows that are broadcast (some 100 MB).
+GONE_ROWS = 2_000_000
 POSTINGS, DOCUMENTS, GONE = "postings", "documents", "gone"
 
 
@@ -45,21 +47,29 @@ def _with(tables: dict, name: str, more: dict) -> dict:
     return tables | {name: {"schema": more["schema"], "folders": [*old, *more["folders"]]}}
 
 
-def _live(index: Versions, state: dict, name: str, only: list[str] | None = None) -> DataFrame:
-    """Rows of a table of segments that no later refresh has replaced."""
+def _live(index: Versions, state: dict, name: str, only: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Rows of a table of segments that no later refresh has replaced, those of ``terms`` if they are given.
+
+    Terms are cut first. What is gone is broadcast up to ``GONE_ROWS`` rows, so that
+    postings are not shuffled by document to take it off.
+    """
     rows = index.read(name, state)
     rows = rows if only is None else rows.where(F.col("segment").isin(only))
+    rows = rows if terms is None else rows.join(ranking.small(terms), "term", "left_semi")
     if not state["tables"].get(GONE, {"folders": []})["folders"]:
         return rows
-    return rows.join(ranking.small(index.read(GONE, state).select("segment", "doc_id")), ["segment", "doc_id"], "left_anti").select(rows.columns)
+    gone = index.read(GONE, state).select("segment", "doc_id")
+    gone = gone if only is None else gone.where(F.col("segment").isin(only))
+    few = gone.limit(GONE_ROWS + 1).count() <= GONE_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, ["segment", "doc_id"], "left_anti").select(rows.columns)
 
 
 def _segment(index: Versions, postings: DataFrame, documents: DataFrame) -> tuple[dict, dict, str, dict]:
     """Staged postings and documents of a new segment, its name and its figures."""
     name = uuid.uuid4().hex
     mark = F.lit(name).alias("segment")
-    ordered = postings.select(mark, "doc_id", "len", "term", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    p = index.stage(ordered, POSTINGS)
+    ordered = postings.select("doc_id", "len", "term", "tf").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    p = index.stage(ordered.select(mark, "doc_id", "len", "term", "tf"), POSTINGS)  # the name is not shuffled
     d = index.stage(documents.select(mark, "doc_id", "len"), DOCUMENTS)
     docs, tokens = index.spark.read.parquet(f"{index.root}/data/{d['folders'][0]}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
     return p, d, name, {"docs": docs, "tokens": tokens, POSTINGS: p["folders"][0], DOCUMENTS: d["folders"][0]}
@@ -131,6 +141,6 @@ def search(index: Versions, queries: DataFrame, k: int, version: int | None = No
     """Lexical top k of queries (query_id, query) in one version."""
     state = _state(index, version)
     terms = ranking.query_terms(queries)
-    post = _live(index, state, POSTINGS).join(ranking.small(terms.select("term").distinct()), "term", "left_semi")
+    post = _live(index, state, POSTINGS, terms=terms.select("term").distinct())
     scored = ranking.bm25_of_postings(terms, post, statistics(index, state["version"]), decimals)
     return ranking.ranked(scored, [F.col("score"), F.col("doc_id")], k)

@@ -313,3 +313,18 @@ def test_positions_of_a_document_come_from_its_row(spark, monkeypatch):
     exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert not any("query_id" in x and "row" in x for x in exchanges)
     assert {(r.query_id, r.doc_id, r.score) for r in found.collect()} == {(1, 1, 1.2), (1, 1, 0.2), (2, 1, 2.0)}
+
+
+def test_what_is_gone_is_taken_off_without_a_shuffle(spark, tmp_path, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" all")).alias("text"))
+    index = Versions(spark, str(tmp_path / "x"))
+    segments.refresh(index, docs, fan=0)
+    segments.refresh(index, docs.where("doc_id % 3 = 0").withColumn("text", F.lit("new all")), fan=0)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 5)  # fewer than are gone
+    state = segments._state(index)
+    rows = segments._live(index, state, segments.POSTINGS, terms=spark.createDataFrame([("all",), ("new",)], "term string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert sorted(r.doc_id for r in rows.where("term = 'all'").collect()) == list(range(40)) and rows.where("term = 'new'").count() == 14
+    monkeypatch.setattr(segments, "GONE_ROWS", 1)
+    assert sorted(r.doc_id for r in segments._live(index, state, segments.POSTINGS).where("term = 'all'").collect()) == list(range(40))
