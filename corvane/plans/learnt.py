@@ -35,7 +35,7 @@ def language_accuracy(spark, sf_dir):
 def topic_perplexity(spark, sf_dir):
     """Held-out words and their perplexity under the topics and under one distribution of words."""
     docs = docs_of(spark, sf_dir)
-    known, held = topics.term_counts(docs.where(~_held_out())), topics.term_counts(docs.where(_held_out()))
+    known, held = (topics.pack(topics.term_counts(docs.where(c))) for c in (~_held_out(), _held_out()))
     mixture = topics.perplexity(held, *topics.fit(known, TOPICS, ROUNDS))
     one = topics.perplexity(held, *topics.fit(known, 1, 0)).toDF("n2", "unigram")
     return mixture.join(one).select("n_words", F.round("perplexity", 2).alias("perplexity"), F.round("unigram", 2).alias("unigram"))
@@ -43,7 +43,7 @@ def topic_perplexity(spark, sf_dir):
 
 def learnt_topics(spark, sf_dir):
     """doc_id and topic of every document with words."""
-    counts = topics.term_counts(docs_of(spark, sf_dir))
+    counts = topics.pack(topics.term_counts(docs_of(spark, sf_dir)))
     return topics.assign(counts, *topics.fit(counts, TOPICS, ROUNDS)).select("doc_id", "topic")
 
 

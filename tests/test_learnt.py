@@ -89,6 +89,26 @@ def test_topics(spark):
     assert many.perplexity == pytest.approx(math.exp(-total / 8), rel=1e-3)
 
 
+@pytest.mark.parametrize("table", [0, 3, 9])
+def test_packed_topics(spark, table, monkeypatch):
+    """Numbered, joined and single terms have one model, documents in several runs too, and no count is shuffled in a round."""
+    monkeypatch.setattr(topics, "ROWS", 7)
+    rng = random.Random(4)
+    docs = {i: Counter(rng.choices([f"w{j}" for j in range(8)], k=9) + [f"own{i}"] * (i % 3)) for i in range(12)}
+    rows = spark.createDataFrame([(i, w, n) for i, c in docs.items() for w, n in c.items()], "doc_id long, term string, n long")
+    lean = {r.doc_id: r.h for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).alias("h")).distinct().collect()}
+    packed = topics.pack(rows.repartition(3), table)
+    assert packed.n_names <= table and packed.docs.count() == 12
+    model, shares = topics.fit(packed, 2, 3)
+    lp, want = plain_em(docs, lean, 2, 3)
+    got = {r.term: r.lp for r in model.collect()}
+    assert shares == pytest.approx(want, abs=1e-3)
+    assert set(got) == set(lp) and all(got[w] == pytest.approx(lp[w], abs=1e-3) for w in lp)
+    given = packed.docs.selectExpr("doc_id", "array(1.0D, 1.0D) AS p", "array(1L) AS alone")
+    plan = topics._round(packed, given, None, None, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]
+
+
 # ---------------------------------------------------------------- alignment
 
 
