@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,6 +42,8 @@ from .ranking import ranked, small
 
 SAMPLE_BYTES, SAMPLE_ROWS = 64 << 20, 65_536
 BLOCK, QUERY_BLOCK = 4096, 256
+#: Estimates that a task makes, and candidates that it holds.
+PAIRS, HELD = 4_000_000, 1 << 20
 SHORTLIST, TARGET = 200, 0.98
 CODES, QUANTISER = "codes", "quantiser"
 
@@ -107,7 +110,9 @@ def _usable(v: Column, dim: int) -> Column:
 
 
 def _unit(v: Column, dim: int) -> Column:
-    return F.when(_usable(v, dim), F.transform(v, lambda x: x.cast("double") / norm(v)))
+    # the norm is the lambda's argument, as inside of the inner one it would be taken for every number
+    divided = F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
+    return F.when(_usable(v, dim), divided)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -232,6 +237,30 @@ def _probed(queries: DataFrame, quantiser: Quantiser, probes: int) -> DataFrame:
     return _in_blocks(usable.mapInArrow(run, flat), "query_id", QUERY_BLOCK, schema, pack)
 
 
+def _heads(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of each query, equal ones by doc, a null doc first as Spark sorts it."""
+    order = np.lexsort((doc, -score, query))
+    query = query[order]
+    return order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+
+
+def _dealt(codes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of codes with the blocks of queries that probe their cell, dealt by the estimates to make, not by bytes.
+
+    A cell with more than ``PAIRS`` estimates goes to several tasks.
+    """
+    spark = codes.sparkSession
+    each = [df.groupBy("cell").agg(F.sum(F.size(c)).alias(c)) for df, c in ((codes, "doc_ids"), (asked, "query_ids"))]
+    load = each[0].join(each[1], "cell").select("cell", (F.col("doc_ids") * F.col("query_ids")).alias("pairs"))  # a row a cell
+    load = materialize(load, "cells")
+    pairs = load.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    share = F.broadcast(load.select("cell", F.ceil(F.col("pairs") / PAIRS).cast("int").alias("shares")))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))  # fewer would be shuffled again
+    own = codes.join(share, "cell").withColumn("share", F.pmod(F.xxhash64("codes", "doc_ids"), F.col("shares")).cast("int"))
+    met = asked.join(share, "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return own.repartition(parts, "cell", "share").join(met.repartition(parts, "cell", "share").hint("merge"), ["cell", "share"])
+
+
 def candidates(index: Versions, queries: DataFrame, probes: int | None = None, shortlist: int = SHORTLIST, state: dict | None = None) -> DataFrame:
     """query_id and doc_id of the best ``shortlist`` by estimated cosine in the probed cells."""
     import_path(index.spark)
@@ -241,21 +270,38 @@ def candidates(index: Versions, queries: DataFrame, probes: int | None = None, s
     dim, parts = quantiser.cells.shape[1], len(quantiser.books)
     codes = index.read(CODES, state)
     asked = materialize(_probed(queries, quantiser, probes or state["facts"]["probes"]), "probes")
-    met = codes.join(asked, "cell").select("query_ids", "bases", "units", "doc_ids", "codes")
+    met = _dealt(codes, asked).select("query_ids", "bases", "units", "doc_ids", "codes")
     schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", codes.schema["doc_ids"].dataType.elementType), StructField("estimate", DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        held, rows = [], 0
+
+        def best():
+            table = pa.Table.from_batches(held).combine_chunks()
+            query = table.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+            doc = pc.rank(table.column(1), "ascending", null_placement="at_start").to_numpy()
+            return table.take(pa.array(_heads(query, doc, table.column(2).to_numpy(), shortlist))).to_batches()
+
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 code = np.frombuffer(one.column(4)[0].as_py(), np.uint8).reshape(-1, parts)
                 scores = shared.value.score(_matrix(one.column(2), dim), one.column(1).flatten().to_numpy(), code)
                 k = min(shortlist, len(code))
-                best = np.argpartition(-scores, k - 1, 1)[:, :k]
+                first = np.argpartition(-scores, k - 1, 1)[:, :k]
                 asked_ids, ids = one.column(0).flatten(), one.column(3).flatten()
-                rows = np.repeat(np.arange(len(asked_ids)), k)
-                yield pa.RecordBatch.from_arrays([asked_ids.take(pa.array(rows)), ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=arrow)
+                places = np.repeat(np.arange(len(asked_ids)), k)
+                held.append(pa.RecordBatch.from_arrays([asked_ids.take(pa.array(places)), ids.take(pa.array(first.ravel())), pa.array(np.take_along_axis(scores, first, 1).ravel())], schema=arrow))
+                rows += len(places)
+                if rows >= HELD:
+                    held = best()
+                    rows = sum(x.num_rows for x in held)
+                    if rows >= HELD // 2:
+                        yield from held
+                        held, rows = [], 0
+        if rows:
+            yield from best()
 
     found = met.mapInArrow(run, schema)
     return ranked(found, [F.desc("estimate"), F.col("doc_id")], shortlist, "place").select("query_id", "doc_id")

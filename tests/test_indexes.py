@@ -63,6 +63,22 @@ def test_ann_blocks(spark, clouds, tmp_path, monkeypatch):
     assert sorted(map(tuple, ann.candidates(index, queries, 2, 30).collect())) == want
 
 
+def test_ann_dealt(spark, clouds, tmp_path, monkeypatch):
+    """A hot cell goes to several tasks, these cut what they hold, and the candidates stay the same."""
+    vectors, queries = clouds
+    monkeypatch.setattr(ann, "BLOCK", 37)
+    index = ann.build(vectors, str(tmp_path / "i"), cells=3, parts=5)
+    want = sorted(map(tuple, ann.candidates(index, queries, 2, 30).collect()))
+    monkeypatch.setattr(ann, "PAIRS", 3000)
+    monkeypatch.setattr(ann, "HELD", 2000)
+    assert sorted(map(tuple, ann.candidates(index, queries, 2, 30).collect())) == want
+    codes = index.read(ann.CODES)
+    asked = spark.createDataFrame([(c, [7] * 30) for c in range(3)], "cell int, query_ids array<int>")
+    tasks = ann._dealt(codes, asked).groupBy("cell").agg(F.countDistinct("share").alias("n"), F.count("*").alias("rows")).collect()
+    assert max(t.n for t in tasks) > 3
+    assert {t.cell: t.rows for t in tasks} == {r.cell: r["count"] for r in codes.where("cell >= 0").groupBy("cell").count().collect()}
+
+
 def test_ann_odd(spark, tmp_path):
     one = spark.createDataFrame([("a", [3.0, 4.0]), (None, [3.0, 4.0])], "doc_id string, vector array<double>")
     q = spark.createDataFrame([("q", [1.0, 0.0]), ("null", None), ("zero", [0.0, 0.0])], "query_id string, vector array<double>")
