@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release
 
+#: No number of paths under it overflows eight bytes.
+LONG = 1 << 63
+
 
 def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, hops and paths of the nodes within ``depth`` steps of each start.
@@ -16,7 +19,8 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
     what has been visited. So a cycle ends by itself, a node is expanded once a
     start, and a step makes one row an edge that leaves the frontier. ``hops`` is
     the distance and ``paths`` the number of different shortest chains, as a
-    decimal. Every frontier is a scratch table, so a lost executor costs a step at
+    decimal; while the largest number of edges into a node, to the power of the step, is
+    under ``LONG`` they are summed as whole numbers of eight bytes. Every frontier is a scratch table, so a lost executor costs a step at
     most.
 
     Defined results: repeated edges count once; edges with a null end, loops and null
@@ -24,11 +28,13 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
     """
     e = edges.select(F.col("source").alias("node"), "target").where("node <> target").distinct()
     e = materialize(e, "edges")
+    most = e.groupBy("target").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     from_here = starts.toDF("start").where("start is not null").distinct()
-    frontier = materialize(from_here.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(1).cast("decimal(38,0)").alias("paths")), "frontier")
+    frontier = materialize(from_here.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("paths")), "frontier")
     steps = [frontier]
     for hop in range(1, depth + 1):
-        reached = frontier.join(e, "node").groupBy("start", "target").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
+        kind = "long" if most**hop < LONG else "decimal(38,0)"
+        reached = frontier.join(e, "node").groupBy("start", "target").agg(F.sum(F.col("paths").cast(kind)).cast(kind).alias("paths"))
         visited = steps[0].select("start", "node")
         for step in steps[1:]:
             visited = visited.unionAll(step.select("start", "node"))
@@ -38,6 +44,7 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
             break
         steps.append(frontier)
     release(e)
+    steps = [step.withColumn("paths", F.col("paths").cast("decimal(38,0)")) for step in steps]
     out = steps[0].where("hops > 0")
     for step in steps[1:]:
         out = out.unionAll(step)

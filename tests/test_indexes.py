@@ -231,6 +231,19 @@ def test_segments(spark, tmp_path):
 # ---------------------------------------------------------------- citation chains
 
 
+def test_citation_chains_long(spark, monkeypatch):
+    """Paths are summed as whole numbers while these can't overflow, then as decimals."""
+    layers = [[(i, j) for i in range(a, a + 4) for j in range(a + 4, a + 8)] for a in range(0, 24, 4)]
+    edges = spark.createDataFrame([e for layer in layers for e in layer], "source long, target long")
+    starts = spark.createDataFrame([(0,)], "id long")
+    want = sorted((n, n // 4, 4 ** (n // 4 - 1)) for n in range(4, 28))
+    for least in (citations.LONG, 60, 2):
+        monkeypatch.setattr(citations, "LONG", least)
+        got = citations.citation_chains(edges, starts, 9)
+        assert got.schema["paths"].dataType.simpleString() == "decimal(38,0)"
+        assert sorted((r.node, r.hops, int(r.paths)) for r in got.collect()) == want
+
+
 def test_citation_chains(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(1, 1), (None, 3), (3, None), (0, 1), (1, 0)] * 2
