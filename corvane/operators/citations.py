@@ -2,13 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from ..session import materialize, release
+from ..session import import_path, materialize, release
 
 #: No number of paths under it overflows eight bytes.
 LONG = 1 << 63
+#: Keys that go to one task, rows that it holds, and products that it makes at once.
+KEYS, HELD, PRODUCTS = 1 << 14, 1 << 21, 1 << 22
+
+
+def _sums(edges: tuple, entries: tuple, dense: float = 1 / 32):
+    """(start, target, paths): products of edges (node, target) and entries (node, start, paths), summed piece by piece.
+
+    A matrix, nodes by starts, is made where at least the share ``dense`` of it is filled.
+    """
+    nodes, at = np.unique(entries[0], return_inverse=True)
+    place = np.searchsorted(nodes, edges[0])
+    met = np.flatnonzero(nodes[np.minimum(place, len(nodes) - 1)] == edges[0])
+    met = met[np.argsort(edges[1][met], kind="stable")]
+    place, target = place[met], edges[1][met]
+    starts, column = np.unique(entries[1], return_inverse=True)
+    full = len(at) >= dense * len(nodes) * len(starts)
+    if full:
+        matrix = np.zeros((len(nodes), len(starts)), np.int64)
+        matrix[at, column] = entries[2]
+        cost = np.full(len(met), len(starts))
+    else:
+        order = np.argsort(at, kind="stable")
+        n = np.bincount(at, minlength=len(nodes))
+        first, cost = np.cumsum(n) - n, n[place]
+    cuts = np.searchsorted(np.cumsum(cost), np.arange(PRODUCTS, cost.sum() + 1, PRODUCTS))
+    for a, b in zip([0, *(cuts + 1)], [*(cuts + 1), len(met)], strict=True):
+        if a == b:
+            continue
+        if full:
+            runs = np.flatnonzero(np.r_[True, target[a + 1 : b] != target[a : b - 1]])
+            total = np.add.reduceat(matrix[place[a:b]], runs)
+            row, col = np.nonzero(total)
+            yield starts[col], target[a:b][runs][row], total[row, col]
+        else:
+            each = cost[a:b]
+            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            entry = order[np.repeat(first[place[a:b]], each) + inner]
+            to, start, paths = np.repeat(target[a:b], each), entries[1][entry], entries[2][entry]
+            by = np.lexsort((start, to))
+            to, start = to[by], start[by]
+            runs = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (start[1:] != start[:-1])])
+            yield start[runs], to[runs], np.add.reduceat(paths[by], runs)
+
+
+def _products(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """start, target and paths, in parts: nodes that are near each other go to one task, edges before the frontier's rows.
+
+    A task holds ``HELD`` rows and the edges of a node.
+    """
+    import_path(edges.sparkSession)
+    schema = StructType([StructField(c, LongType()) for c in ("start", "target", "paths")])
+    arrow = to_arrow_schema(schema)
+    rows = edges.selectExpr("cast(node AS bigint) AS node", "cast(target AS bigint) AS other", "cast(NULL AS bigint) AS paths")
+    rows = rows.unionAll(frontier.selectExpr("cast(node AS bigint)", "cast(start AS bigint)", "cast(paths AS bigint)"))
+    rows = rows.repartition(F.floor(F.col("node") / KEYS)).sortWithinPartitions("node", "paths")
+
+    def run(batches):
+        held, size, kept = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def work():
+            nonlocal kept
+            node, other, paths = (pa.chunked_array([b.column(i) for b in held]).combine_chunks() for i in range(3))
+            edge = paths.is_null().to_numpy(zero_copy_only=False)
+            node, other, paths = node.to_numpy(), other.to_numpy(), paths.fill_null(0).to_numpy()
+            mine = np.r_[kept[0], node[edge]], np.r_[kept[1], other[edge]]
+            last = mine[0] == node[-1]
+            kept = mine[0][last], mine[1][last]
+            if len(mine[0]) and not edge.all():
+                for part in _sums(mine, (node[~edge], other[~edge], paths[~edge])):
+                    for at in range(0, len(part[0]), 1 << 18):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)]) for x in part], schema=arrow)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD:
+                yield from work()
+                held, size = [], 0
+        if size:
+            yield from work()
+
+    return rows.mapInArrow(run, schema)
 
 
 def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -16,8 +102,9 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
 
     Breadth first over edges (source, target): a step joins the frontier with the
     edges, sums paths by (start, node) with map-side combine, and an anti-join drops
-    what has been visited. So a cycle ends by itself, a node is expanded once a
-    start, and a step makes one row an edge that leaves the frontier. ``hops`` is
+    what has been visited. So a cycle ends by itself and a node is expanded once a
+    start. Where keys are whole numbers, the edges that leave the frontier are
+    multiplied and summed as matrices in the tasks, else they are a row each. ``hops`` is
     the distance and ``paths`` the number of different shortest chains, as a
     decimal; while the largest number of edges into a node, to the power of the step, is
     under ``LONG`` they are summed as whole numbers of eight bytes. Every frontier is a scratch table, so a lost executor costs a step at
@@ -31,10 +118,15 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
     most = e.groupBy("target").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     from_here = starts.toDF("start").where("start is not null").distinct()
     frontier = materialize(from_here.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("paths")), "frontier")
+    whole = all(isinstance(t, IntegralType) for t in (e.schema["node"].dataType, e.schema["target"].dataType, frontier.schema["start"].dataType))
     steps = [frontier]
     for hop in range(1, depth + 1):
         kind = "long" if most**hop < LONG else "decimal(38,0)"
-        reached = frontier.join(e, "node").groupBy("start", "target").agg(F.sum(F.col("paths").cast(kind)).cast(kind).alias("paths"))
+        if whole and kind == "long":
+            parts = _products(frontier, e).select(F.col("start").cast(frontier.schema["start"].dataType), F.col("target").cast(e.schema["target"].dataType), "paths")
+        else:
+            parts = frontier.join(e, "node").select("start", "target", F.col("paths").cast(kind))
+        reached = parts.groupBy("start", "target").agg(F.sum("paths").cast(kind).alias("paths"))
         visited = steps[0].select("start", "node")
         for step in steps[1:]:
             visited = visited.unionAll(step.select("start", "node"))

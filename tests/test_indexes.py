@@ -244,6 +244,27 @@ def test_citation_chains_long(spark, monkeypatch):
         assert sorted((r.node, r.hops, int(r.paths)) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("dense", [0, 9])
+def test_citation_products(dense, monkeypatch):
+    """Products as a matrix and row by row, in small pieces, give the sums of a plain loop, and fewer rows than edges and entries make."""
+    monkeypatch.setattr(citations, "PRODUCTS", 50)
+    rng = random.Random(6)
+    edges = sorted({(rng.randrange(12), rng.randrange(9)) for _ in range(70)})
+    entries = sorted({(rng.randrange(2, 14), s): rng.randrange(1, 5) for s in (3, 5, 8) for _ in range(9)}.items())
+    want = Counter()
+    for a, t in edges:
+        for (n, s), p in entries:
+            if n == a:
+                want[s, t] += p
+    columns = np.array(edges).T, np.array([(n, s, p) for (n, s), p in entries]).T
+    got, rows = Counter(), 0
+    for part in citations._sums(tuple(columns[0]), tuple(columns[1]), dense):
+        rows += len(part[0])
+        for s, t, p in zip(*(x.tolist() for x in part), strict=True):
+            got[s, t] += p
+    assert got == want and rows < sum(n == a for a, _ in edges for (n, _), _ in entries)
+
+
 def test_citation_chains(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(1, 1), (None, 3), (3, None), (0, 1), (1, 0)] * 2
