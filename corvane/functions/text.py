@@ -43,6 +43,14 @@ def document_tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def document_words(c: Column) -> Column:
+    """:func:`document_tokens` before they are folded, joined by blanks; a blank may stand at either end.
+
+    Every letter that is folded becomes a letter, so words are the same before and after.
+    """
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+
+
 def with_query_prefix(c: Column, prefix: str = QUERY_PREFIX) -> Column:
     return F.concat(F.lit(prefix), c)
 

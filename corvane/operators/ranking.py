@@ -17,7 +17,7 @@ from ..functions.text import RRF_K, document_tokens, query_tokens
 from ..functions.vectors import dot, norm
 from ..session import materialize, spread
 from ..sources.schemas import ARMS
-from . import nearest
+from . import nearest, packed
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
@@ -71,7 +71,8 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count("*").alias("df"))
+    kept = packed.packed_of(post)
+    return kept.frequency if kept else post.groupBy("term").agg(F.count("*").alias("df"))
 
 
 #: Marks one row of each document in cut postings; no token is empty.
@@ -79,12 +80,22 @@ EVERY = ""
 
 
 def cut_postings(wanted: DataFrame, docs: DataFrame, text: str = "text") -> tuple[DataFrame, tuple]:
-    """Postings of the terms ``wanted``, as a scratch table, and (n, avgdl) of all documents.
+    """Postings of the terms ``wanted``, from a scratch table, and (n, avgdl) of all documents.
 
-    The texts are tokenised once: one marked row of each document carries its
-    length. Terms are cut before they are counted, so the index of a whole corpus
-    is never shuffled for a query set.
+    The texts are tokenised once, and the index of a whole corpus is never shuffled for
+    a query set: up to ``BROADCAST_ROWS`` terms are looked up where a text is read
+    (``packed``), more are joined before they are counted.
     """
+    terms = wanted.select("term").where("term is not null").distinct().limit(BROADCAST_ROWS + 1).toArrow()
+    if terms.num_rows > BROADCAST_ROWS:
+        return _joined_postings(wanted, docs, text)
+    table = packed.pack(spread(docs.select("doc_id", F.col(text).alias("text"))), terms.column("term").combine_chunks())
+    stats = table.agg(F.count("*"), F.sum("len") / F.count("*")).first()
+    return packed.postings(table, terms.column("term").combine_chunks(), small), stats
+
+
+def _joined_postings(wanted: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, tuple]:
+    """:func:`cut_postings` for any number of terms: one marked row of each document carries its length."""
     spark = docs.sparkSession
     marked = wanted.select("term").unionAll(spark.range(1).select(F.lit(EVERY).alias("term"))).distinct()
     toks = tokenised(docs, text)
@@ -102,19 +113,24 @@ def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", decimals: int
     return bm25_of_postings(terms, *cut_postings(terms, docs, text), decimals)
 
 
-def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals: int | None = None, only: DataFrame | None = None) -> DataFrame:
+def term_weights(terms: DataFrame, post: DataFrame, stats: tuple) -> DataFrame:
+    """query_id, term, df and w: the idf times the query's count; a scratch table."""
+    idf = F.log((F.lit(float(stats[0] or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("qf")
+    return materialize(terms.join(document_frequency(post), "term").select("query_id", "term", "df", weight.alias("w")), "weights")
+
+
+def bm25_of_postings(terms: DataFrame, post: DataFrame, stats: tuple, decimals: int | None = None, only: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Scores from postings (doc_id, len, term, tf) and (n, avgdl).
 
     A query's words meet most documents, so there are far more pairs than postings.
     The postings are dealt by document, ``PAIRS`` pairs a task; pairs are
     made and summed within the task, and :func:`ranked` cuts them there. ``only`` has
-    the pairs (query_id, doc_id) to score, by default all.
+    the pairs (query_id, doc_id) to score, by default all; ``weights``, those of all documents, are those of ``post`` by default.
     """
-    n, avgdl = stats[0] or 0, stats[1] or 1.0
+    avgdl = stats[1] or 1.0
     spark = post.sparkSession
-    df = document_frequency(post)
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = materialize(terms.join(df, "term").select("query_id", "term", "df", (F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("qf")).alias("w")), "weights")
+    weights = term_weights(terms, post, stats) if weights is None else weights
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))
     total = F.sum(part)
@@ -342,6 +358,21 @@ def route(queries: DataFrame, rules: list[tuple[str, str]], default: str) -> Dat
     return queries.select("query_id", chosen.alias("source"))
 
 
+def lexical_heads(terms: DataFrame, post: DataFrame, stats: tuple, k: int, decimals: int | None = None, name: str = "rank") -> DataFrame:
+    """query_id, doc_id, score and place of the first ``k`` by BM25.
+
+    Packed postings are scored in NumPy where doc_id is a whole number; documents that share one, and others, from a join.
+    """
+    order, kept = [F.col("score"), F.col("doc_id")], packed.packed_of(post)
+    if kept is None or not _whole(post, "doc_id"):
+        return ranked(bm25_of_postings(terms, post, stats, decimals), order, k, name)
+    weights = term_weights(terms, post, stats)
+    scored = packed.heads(kept, weights, k, (K1, B, stats[1] or 1.0), decimals)
+    if kept.rest is not None:
+        scored = scored.unionAll(bm25_of_postings(terms, kept.rest, stats, decimals, weights=weights))
+    return ranked(scored, order, k, name)
+
+
 def head_rankings(queries: DataFrame, vectors: DataFrame, post: DataFrame, stats: tuple, k: int, decimals: int | None = None) -> DataFrame:
     """query_id, doc_id, dense_rank and lexical_rank of the first ``k`` of either arm; a scratch table.
 
@@ -349,7 +380,7 @@ def head_rankings(queries: DataFrame, vectors: DataFrame, post: DataFrame, stats
     are made once; ``post`` and ``stats`` come from :func:`cut_postings`.
     """
     d = dense_topk(queries, vectors, k, decimals).select("query_id", "doc_id", F.col("rank").alias("dense_rank"))
-    x = ranked(bm25_of_postings(query_terms(queries), post, stats, decimals), [F.col("score"), F.col("doc_id")], k, "lexical_rank")
+    x = lexical_heads(query_terms(queries), post, stats, k, decimals, "lexical_rank")
     return materialize(d.join(x.select("query_id", "doc_id", "lexical_rank"), ["query_id", "doc_id"], "full_outer"), "rankings")
 
 

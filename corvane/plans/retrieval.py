@@ -22,6 +22,8 @@ from .tables import table
 
 PLACES, K, POOL, DEEP = 9, 10, 50, 500
 WHOLE = 10_000
+#: Pairs of an item and a document that are broadcast to the texts; two numbers each.
+FOUND = 2_000_000
 POOLS = [50, 100, 200, DEEP]
 
 
@@ -71,7 +73,12 @@ def gold_of(spark, sf_dir, post):
     inner = split.select("query_id", "query", F.explode("inner").alias("term"))
     df = ranking.document_frequency(post)
     rarest = inner.join(df, "term", "left").groupBy("query_id", "query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", "query", "r.term")
-    found = post.select("doc_id", "term").join(ranking.small(rarest), "term").join(docs, "doc_id")
+    pairs = materialize(post.select("doc_id", "term").join(ranking.small(rarest), "term").select("query_id", "doc_id").distinct(), "pairs")
+    texts = rarest.select("query_id", "query")
+    if pairs.limit(FOUND + 1).count() <= FOUND:
+        found = docs.join(F.broadcast(pairs), "doc_id").join(ranking.small(texts), "query_id")
+    else:
+        found = pairs.join(ranking.small(texts), "query_id").join(docs, "doc_id")
     out = found.where(F.contains("text", "query")).select("query_id", "doc_id")
     whole = split.where(F.size("inner") == 0).select("query_id", "query")
     n = whole.count()

@@ -78,3 +78,54 @@ def test_lexical_pairs_are_cut_before_the_shuffle(spark, monkeypatch):
     gold = queries.select("query_id", (F.col("query_id") * 3).alias("doc_id"))
     want = ranking.best_ranks(ranking.bm25_of_postings(terms, post, stats, 9), gold, "n")
     assert sorted(ranking.best_lexical_ranks(terms, post, stats, gold, "n", 9).collect()) == sorted(want.collect())
+
+
+def test_packed_heads_are_those_of_joined_postings(spark, monkeypatch):
+    """Against the join of all pairs: folded and odd words, repeated and null doc_ids, ties, small blocks and steps."""
+    rng = np.random.default_rng(9)
+    words = ["naïve", "été", "Σίσυφος", "x1", "über", "zażółć", "İz", "naive", "the", "²half", "中文"]
+    rows = [(i, "  ".join(words[x] for x in rng.integers(0, 11, 1 + i % 17)) + ("." if i % 2 else "")) for i in range(150)]
+    rows += [(7, "naive the"), (7, "the the été"), (8, rows[8][1]), (None, "the été"), (None, "x1"), (500, None), (501, ""), (502, " ... "), (503, "the été")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, f"naive the ete ete {'x1 uber zazolc' if i % 2 else 'half iz'}") for i in range(9)] + [(50, "nowhere"), (51, None)], "query_id long, query string")
+    terms = ranking.query_terms(queries)
+    packed, stats = ranking.cut_postings(terms, docs)
+    joined, known = ranking._joined_postings(terms, docs, "text")
+    columns = ["doc_id", "len", "term", "tf"]
+    assert stats == known and sorted(map(str, packed.select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
+    assert sorted(ranking.document_frequency(packed).collect()) == sorted(ranking.document_frequency(joined).collect())
+    want = ranking.ranked(ranking.bm25_of_postings(terms, joined, known, 9), [F.col("score"), F.col("doc_id")], 12)
+    for block, step in ((4096, 1 << 20), (2, 40)):
+        monkeypatch.setattr(nearest, "BLOCK_ROWS", block)
+        monkeypatch.setattr(ranking.packed, "BLOCK_ROWS", block)
+        monkeypatch.setattr(ranking.packed, "PAIRS", step)
+        got = ranking.lexical_heads(terms, packed, stats, 12, 9)
+        assert _rows(got) == _rows(want.select(got.columns)) and got.count() > 100
+    assert ranking.lexical_heads(terms.where("query_id = 50"), packed, stats, 5, 9).count() == 0
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, ranking.cut_postings(terms, docs)[0].select(columns).collect())) == sorted(map(str, joined.select(columns).collect()))
+
+
+def test_pool_ci_shuffles_no_posting_and_no_text(spark, tmp_path):
+    """Postings of whole documents are read as they were written, and texts stay where they are read to find the gold."""
+    from corvane.plans import retrieval
+
+    docs = [(i, f"alpha beta gamma w{i % 7} delta epsilon") for i in range(60)] + [(3, "so alpha beta gamma w4 delta it is, in a longer text")]
+    items = [(i, f"beta gamma w{i} delta") for i in range(7)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(60)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    post, stats = retrieval.corpus_of(spark, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the texts were many
+    try:
+        gold = retrieval.gold_of(spark, str(tmp_path), post)
+        found = sorted(map(tuple, gold.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == sorted((i, j) for i, x in items for j, t in docs if x in t)
+    terms = ranking.query_terms(retrieval.items_of(spark, str(tmp_path)))
+    assert ranking.lexical_heads(terms, post, stats, 5, 9).count() == 35
+    heads = ranking.lexical_heads(terms, *ranking.cut_postings(terms, spark.createDataFrame(docs[:60], "doc_id long, text string")), 5, 9)
+    assert heads.count() == 35
+    for made in (gold, heads):
+        assert "Exchange hashpartitioning(doc_id" not in made._jdf.queryExecution().executedPlan().toString()
