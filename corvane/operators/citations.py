@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from ..session import import_path, materialize, release
+from ..session import import_path, materialize, release, tidy
+from . import frontiers
 
 #: No number of paths under it overflows eight bytes.
 LONG = 1 << 63
+#: Whole keys are packed by blocks (``frontiers``) where their range is at most so many times the number of edges.
+RANGE = 64
 #: Keys that go to one task, rows that it holds, and products that it makes at once.
 KEYS, HELD, PRODUCTS = 1 << 14, 1 << 21, 1 << 22
 
@@ -97,14 +100,32 @@ def _products(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _packed_steps(edges: DataFrame, starts: DataFrame, depth: int, most: int, bits: int) -> tuple[list[DataFrame], int]:
+    """start, node and paths of every step that has rows and whose paths are under ``LONG``, and the step to go on with."""
+    links, heavy = frontiers.links(edges, bits)
+    packed, hop = [frontiers.starting(starts, bits)], 1
+    while hop <= depth and most**hop < LONG:
+        fresh = frontiers.step(packed[-1], packed, links, heavy, bits, most**hop)
+        tidy(edges.sparkSession)  # a step's shuffle files are not read again
+        hop += 1
+        if not fresh.limit(1).count():
+            hop = depth + 1
+            break
+        packed.append(fresh)
+    release(links)
+    return [frontiers.unpacked(p, bits) for p in packed], hop
+
+
 def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, hops and paths of the nodes within ``depth`` steps of each start.
 
     Breadth first over edges (source, target): a step joins the frontier with the
-    edges, sums paths by (start, node) with map-side combine, and an anti-join drops
-    what has been visited. So a cycle ends by itself and a node is expanded once a
-    start. Where keys are whole numbers, the edges that leave the frontier are
-    multiplied and summed as matrices in the tasks, else they are a row each. ``hops`` is
+    edges, sums paths by (start, node), and what has been visited is dropped. So a
+    cycle ends by itself and a node is expanded once a start. Where keys are whole
+    numbers without large gaps, frontiers are packed (``frontiers``): neither sums nor visited
+    nodes are shuffled a row each. With gaps, the edges that leave the frontier are
+    multiplied and summed in the tasks, and an anti-join drops what has been visited; other keys have
+    a row an edge. ``hops`` is
     the distance and ``paths`` the number of different shortest chains, as a
     decimal; while the largest number of edges into a node, to the power of the step, is
     under ``LONG`` they are summed as whole numbers of eight bytes. Every frontier is a scratch table, so a lost executor costs a step at
@@ -117,13 +138,21 @@ def citation_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFram
     e = materialize(e, "edges")
     most = e.groupBy("target").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     from_here = starts.toDF("start").where("start is not null").distinct()
-    frontier = materialize(from_here.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("paths")), "frontier")
-    whole = all(isinstance(t, IntegralType) for t in (e.schema["node"].dataType, e.schema["target"].dataType, frontier.schema["start"].dataType))
-    steps = [frontier]
-    for hop in range(1, depth + 1):
+    kinds = from_here.schema["start"].dataType, e.schema["target"].dataType
+    whole = all(isinstance(t, IntegralType) for t in (e.schema["node"].dataType, *kinds))
+    steps, first = [], 1
+    if whole:
+        low, high, n = e.agg(F.least(F.min("node"), F.min("target")), F.greatest(F.max("node"), F.max("target")), F.count("*")).first()
+        if n and high - low < RANGE * n:
+            steps, first = _packed_steps(e, from_here, depth, most, frontiers.width(low, high))
+            steps = [step.select(F.col("start").cast(kinds[0]), F.col("node").cast(kinds[1] if hop else kinds[0]), F.lit(hop).alias("hops"), "paths") for hop, step in enumerate(steps)]
+    if not steps:
+        steps = [materialize(from_here.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(1).cast("long").alias("paths")), "frontier")]
+    frontier = steps[-1]
+    for hop in range(first, depth + 1):
         kind = "long" if most**hop < LONG else "decimal(38,0)"
         if whole and kind == "long":
-            parts = _products(frontier, e).select(F.col("start").cast(frontier.schema["start"].dataType), F.col("target").cast(e.schema["target"].dataType), "paths")
+            parts = _products(frontier, e).select(F.col("start").cast(kinds[0]), F.col("target").cast(kinds[1]), "paths")
         else:
             parts = frontier.join(e, "node").select("start", "target", F.col("paths").cast(kind))
         reached = parts.groupBy("start", "target").agg(F.sum("paths").cast(kind).alias("paths"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import ann, citations, positional, ranking, segments
+from corvane.operators import ann, citations, frontiers, positional, ranking, segments
 from corvane.sources import readers, versions
 from corvane.sources.versions import Conflict, Versions
 from corvane.streaming import pages
@@ -265,6 +265,44 @@ def test_citation_products(dense, monkeypatch):
     assert got == want and rows < sum(n == a for a, _ in edges for (n, _), _ in entries)
 
 
+@pytest.mark.parametrize(("full", "cells"), [(0, 96), (9, 96), (9, 1 << 20)])
+def test_packed_products(full, cells, monkeypatch):
+    """A block's products with a packed frontier, through edges and through entries, are the sums of a plain loop."""
+    monkeypatch.setattr(frontiers, "FULL", full)
+    monkeypatch.setattr(frontiers, "CELLS", cells)
+    rng = random.Random(7)
+    for many in (3, 90):
+        edges = sorted({(rng.randrange(16), rng.randrange(40) - 20) for _ in range(150)})
+        entries = {(rng.randrange(16), rng.randrange(5)): rng.randrange(1, 300) for _ in range(many)}
+        want = Counter()
+        for a, t in edges:
+            for (n, s), p in entries.items():
+                if n == a:
+                    want[t, s] += p
+        nodes, targets = np.array(edges).T
+        block = frontiers.Block(nodes.astype(np.uint32), targets, 4)
+        codes = np.array([n * frontiers.STARTS + s for n, s in entries])
+        got = [x for part in block.products(codes, np.array(list(entries.values())), 5) for x in zip(*(c.tolist() for c in part), strict=True)]
+        assert {(t, s): p for t, s, p in got} == want and len(got) == len(want)
+
+
+def test_citation_chains_are_packed(spark, monkeypatch):
+    """Frontiers in small blocks, edges of one block in several tasks: the rows of joins, and a packed row for many of these."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(rng.randrange(200) - 60, rng.randrange(200) - 60) for _ in range(500)] + [(5, n) for n in range(120)], "source long, target int")
+    starts = spark.createDataFrame([(i,) for i in range(-20, 60)] + [(10**12,), (None,)], "id long")
+    monkeypatch.setattr(citations, "RANGE", 0)
+    want = sorted(map(tuple, citations.citation_chains(edges, starts, 4).collect()))
+    monkeypatch.setattr(citations, "RANGE", 64)
+    monkeypatch.setattr(frontiers, "HELD", 30)
+    monkeypatch.setattr(frontiers, "BITS", (4, 5))
+    steps, made = frontiers.step, []
+    monkeypatch.setattr(frontiers, "step", lambda *a: made.append(steps(*a)) or made[-1])
+    got = citations.citation_chains(edges, starts, 4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 4000
+    assert len(made) == 4 and sum(x.count() for x in made) < len(want) / 20
+
+
 def test_citation_chains(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(70)] + [(1, 1), (None, 3), (3, None), (0, 1), (1, 0)] * 2
