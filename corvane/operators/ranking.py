@@ -15,9 +15,9 @@ from pyspark.sql.types import IntegralType
 
 from ..functions.text import RRF_K, document_tokens, query_tokens
 from ..functions.vectors import dot, norm
-from ..session import materialize, spread
+from ..session import materialize, release, spread, tidy
 from ..sources.schemas import ARMS
-from . import nearest, packed
+from . import blocks, nearest, packed
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
@@ -257,15 +257,36 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: in
 def build_index(docs: DataFrame, path: str, reset: bool = False) -> int:
     """Write postings (sorted by term within files) and corpus statistics as one version of ``path``; returns its number.
 
-    Both tables appear together or not at all (``sources.versions``). For
+    Both tables appear together or not at all (``sources.versions``). Texts are read once and postings
+    shuffled once, in blocks (``blocks``). For
     increments see :mod:`corvane.operators.segments`.
     """
     from ..sources.versions import Versions
 
-    toks = materialize(tokenised(docs), "tokens")
-    posts = terms_of(toks).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    return Versions(docs.sparkSession, path).load({"postings": posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "stats": stats}, reset)
+    index = Versions(docs.sparkSession, path)
+    base = index.state()["version"]
+    if base >= 0 and not reset:
+        raise ValueError(f"{path} already exists; reset to load it again")
+    docs = docs.select("doc_id", "text")
+    staged = _staged(index, docs)
+    tidy(docs.sparkSession)  # blocks that were shuffled are not read again
+    tokens = index.read("postings", {"tables": {"postings": staged}}).agg(F.sum("tf").cast("double").alias("tokens"))
+    stats = docs.agg(F.count("*").alias("n")).join(tokens).select("n", F.try_divide(F.coalesce("tokens", F.lit(0.0)), "n").alias("avgdl"))
+    return index.commit({"postings": staged, "stats": index.stage(stats, "stats")}, base)
+
+
+def _staged(index, docs: DataFrame) -> dict:
+    """The postings of docs (doc_id, text), written for a version of ``index``; rows of one doc_id and length are one document."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again"))
+    if not again.limit(1).count():
+        return index.stage(blocks.by_term(docs), "postings")
+    again = materialize(again, "repeated")
+    twice, same = small(again), F.col("doc_id").eqNullSafe(F.col("again"))
+    merged = postings(docs.join(twice, same, "left_semi")).select("doc_id", "len", "term", "tf")
+    posts = blocks.by_term(docs.join(twice, same, "left_anti")).unionAll(merged.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    staged = index.stage(posts, "postings")
+    release(again)
+    return staged
 
 
 def index_postings(queries: DataFrame, path: str, version: int | None = None) -> tuple[DataFrame, tuple]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import ann, citations, frontiers, positional, ranking, segments
+from corvane.operators import ann, blocks, citations, frontiers, positional, ranking, segments
 from corvane.sources import readers, versions
 from corvane.sources.versions import Conflict, Versions
 from corvane.streaming import pages
@@ -195,6 +195,31 @@ def test_index_versions(spark, tmp_path):
     assert ids(first) == [1, 2] and ids(None) == [1]
 
 
+def test_index_is_shuffled_in_blocks(spark, tmp_path, monkeypatch):
+    """Small blocks, ranges and chunks, with folded words, a term of several ranges, repeated and null doc_ids: the postings of a plain count, in order, and no row of one shuffled."""
+    rng = random.Random(3)
+    words = ["naïve", "Été", "x1", "the", "²half", "中文", "zażółć", *(f"w{i}" for i in range(60))]
+    rows = [(i, " the ".join(rng.choices(words, k=1 + i % 9)) + "." * (i % 2)) for i in range(300)]
+    rows += [(7, "naive the"), (8, rows[8][1]), (None, "the été"), (None, "x1 x1"), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(str, ranking.postings(docs).select("doc_id", "len", "term", "tf").collect()))
+    stats = ranking.corpus_stats(docs).first()
+    for name, size in (("BLOCK", 16), ("FILE", 40), ("HELD", 64)):
+        monkeypatch.setattr(blocks, name, size)
+    index = Versions(spark, str(tmp_path / "i"))
+    assert ranking.build_index(docs, index.root) == 0 and tuple(index.read("stats").first()) == pytest.approx(tuple(stats))
+    assert sorted(map(str, index.read("postings").collect())) == want
+    assert [f.dataType.simpleString() for f in index.read("postings").schema] == ["bigint", "bigint", "string", "bigint"]
+    once = docs.where("doc_id > 8 and doc_id < 900")
+    made = blocks.by_term(once)
+    parts = made.withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(map(str, made.collect())) == sorted(map(str, ranking.postings(once).select(made.columns).collect()))
+    runs = [[r.term for r in parts if r.p == p] for p in sorted({r.p for r in parts})]
+    assert len(runs) > 10 and all(x == sorted(x) for x in runs) and all(a[-1] <= b[0] for a, b in zip(runs, runs[1:]) if a[0] != a[-1] and b[0] != b[-1])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert all("term" not in line and "doc_id" not in line for line in plan.splitlines() if "Exchange" in line and "ROUND" not in line.upper())
+
+
 # ---------------------------------------------------------------- segments
 
 
